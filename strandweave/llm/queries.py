@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, mixing, rollup, sharding
+from . import audio, bpe, mixing, rollup, sharding
 from .common import documents
 
 
@@ -18,6 +18,10 @@ def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.document_rollup(documents(spark, sf_dir)).totals()
 
 
+def op5_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.bpe_digests(documents(spark, sf_dir))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -27,7 +31,7 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_telephony_audio, op2_token_rollup, op9_mix_sources, op10_shards)}
+    return {f.__name__: f for f in (op1_telephony_audio, op2_token_rollup, op5_bpe_transducer, op9_mix_sources, op10_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
