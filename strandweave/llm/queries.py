@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, bpe, mixing, neardup, rollup, sharding
+from . import audio, bpe, linededup, mixing, neardup, rollup, sharding
 from .common import documents
 
 
@@ -22,6 +22,10 @@ def op5_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(documents(spark, sf_dir))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_digests(documents(spark, sf_dir))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir), width=4)
 
@@ -35,8 +39,8 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_telephony_audio, op2_token_rollup, op5_bpe_transducer, op8_near_duplicates, op9_mix_sources, op10_shards)}
+    return {f.__name__: f for f in (op1_telephony_audio, op2_token_rollup, op5_bpe_transducer, op7_line_dedup, op8_near_duplicates, op9_mix_sources, op10_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_token_rollup": rollup.ORACLE, "op9_mix_sources": mixing.ORACLE}
+    return {"op2_token_rollup": rollup.ORACLE, "op7_line_dedup": linededup.ORACLE, "op9_mix_sources": mixing.ORACLE}
