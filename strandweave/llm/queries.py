@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, bpe, linededup, mixing, neardup, outliers, rollup, sharding
+from . import audio, bpe, langid, linededup, mixing, neardup, outliers, rollup, sharding
 from .common import documents
 
 
@@ -18,6 +18,10 @@ def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.document_rollup(documents(spark, sf_dir)).totals()
 
 
+def op3_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
 def op4_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.judge(documents(spark, sf_dir))
 
@@ -43,7 +47,7 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_telephony_audio, op2_token_rollup, op4_outliers, op5_bpe_transducer, op7_line_dedup, op8_near_duplicates, op9_mix_sources, op10_shards)}
+    return {f.__name__: f for f in (op1_telephony_audio, op2_token_rollup, op3_language_crf, op4_outliers, op5_bpe_transducer, op7_line_dedup, op8_near_duplicates, op9_mix_sources, op10_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
