@@ -9,9 +9,10 @@ there.  What remains is confirmed on the full shingle sets.
 Equal sets are collapsed first.  Then each band bucket proposes the pairs of
 its members with its smallest id, which is as many as there are members;
 confirmed links give components.  A second pass takes the buckets whose members
-are still in several components and proposes the pairs across these, so no pair
-that shares a bucket goes unexamined unless it is connected already.  Two
-documents of similarity 0.8 share none of the 50 buckets with a probability of
+are still in several components and holds members of different components
+against each other, a block of ``BLOCK`` by a block: only sketches are compared
+there, only pairs that pass are emitted, and each once.  So no pair that shares a
+bucket goes unexamined unless it is connected already.  Two documents of similarity 0.8 share none of the 50 buckets with a probability of
 3e-7.
 
 Words: runs of characters other than ASCII white space, A-Z in lower case.  A
@@ -38,10 +39,12 @@ from .graph import components
 
 ROWS, BANDS, BITS = 6, 50, 1024
 SAMPLES = ROWS * BANDS
-#: Estimates below this (more than six standard deviations under 0.8) end a candidate.
-LEAST_ESTIMATE = 0.65
+#: Estimates below this (five standard deviations under 0.8) end a candidate.
+LEAST_ESTIMATE = 0.68
 #: XOR population counts above this mean a lower estimate.
 MOST_ODD = math.floor(BITS / 2 * (1 - math.exp(-4 * SAMPLES * (1 - LEAST_ESTIMATE) / BITS)))
+#: Members of a bucket that are compared with others at a time.
+BLOCK = 512
 #: Words remembered before the cache starts anew; bytes split at a time.
 MAX_WORDS, CHUNK = 400_000, 1 << 22
 
@@ -139,6 +142,51 @@ def _sets(width: int):
     return run
 
 
+def _across(percent: int):
+    """Pairs of different components in blocks of a bucket, sorted by (k, i, j), that sketches don't tell apart.
+
+    A pair is taken in the first band it shares only.
+    """
+
+    def group(c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        place = int(np.argmax((c["bands"] == c["k"][0]).all(0)))
+        xs = np.flatnonzero(c["own"] == c["i"][0])
+        ys = np.flatnonzero(c["own"] == c["j"][0])
+        a, b = [], []
+        for x in xs:
+            y = ys[ys > x] if c["i"][0] == c["j"][0] else ys
+            y = y[c["g"][y] != c["g"][x]]
+            n = c["n"][x]
+            y = y[np.minimum(c["n"][y], n) * 100 >= np.maximum(c["n"][y], n) * percent]
+            y = y[np.bitwise_count(c["odd"][y] ^ c["odd"][x]).sum(1, dtype=np.int64) <= MOST_ODD]
+            y = y[~(c["bands"][y, :place] == c["bands"][x, :place]).any(1)]
+            a.append(np.full(len(y), c["doc_id"][x]))
+            b.append(c["doc_id"][y])
+        a, b = np.concatenate([*a, np.zeros(0, np.int64)]), np.concatenate([*b, np.zeros(0, np.int64)])
+        return np.minimum(a, b), np.maximum(a, b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+
+        def pairs(c: dict[str, np.ndarray], cuts: list[int]) -> pa.RecordBatch:
+            got = [group({n: v[s:e] for n, v in c.items()}) for s, e in zip(cuts, cuts[1:]) if e - s > 1]
+            got.append((np.zeros(0, np.int64), np.zeros(0, np.int64)))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([g[i] for g in got]).astype(np.int64)) for i in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            c = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("k", "i", "j", "own", "doc_id", "g", "n")}
+            c |= {n: batch.column(n).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1) for n in ("odd", "bands")}
+            c = {n: np.concatenate([held[n], v]) for n, v in c.items()} if held else c
+            turn = 1 + np.flatnonzero((c["k"][1:] != c["k"][:-1]) | (c["i"][1:] != c["i"][:-1]) | (c["j"][1:] != c["j"][:-1]))
+            cuts = [0, *turn.tolist()]  # the last group may go on
+            yield pairs(c, cuts)
+            held = {n: v[cuts[-1] :] for n, v in c.items()}
+        if held:
+            yield pairs(held, [0, len(held["k"])])
+
+    return run
+
+
 @F.arrow_udf(T.LongType())
 def _common(a: pa.Array, b: pa.Array) -> pa.Array:
     """Size of the intersection of two sorted sets."""
@@ -178,39 +226,42 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     full = materialise(buckets.join(centres.select("k", "c"), "k"), "near-buckets")  # only buckets of two and more
     about = reps.select("doc_id", "n", "odd")
 
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        """Of distinct pairs (a, b): those whose sketches and then full sets are similar enough."""
-        near = (
-            pairs.join(about.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("odd").alias("oa")), "a")
-            .join(about.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("ob")), "b")
-            .where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-            .where(_odd_count("oa", "ob") <= MOST_ODD)
-            .select("a", "b")
-            .distinct()
-        )
-        near = materialise(near, name)
-        ids = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
-        sets = materialise(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, s binary").dropDuplicates(), name + "-sets")
+    # one shuffle of the texts brings the full sets of all documents that share a bucket
+    ids = full.select("doc_id").distinct()
+    sets = materialise(docs.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, s binary").dropDuplicates(), "near-sets")
+
+    def confirmed(near: DataFrame, name: str) -> DataFrame:
+        """Of distinct pairs (a, b): those whose full sets are similar enough."""
         shared = (
             near.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
             .join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
             .withColumn("common", _common("sa", "sb"))
         )
         union = (F.octet_length("sa") + F.octet_length("sb")) / 8 - F.col("common")
-        return materialise(shared.where(F.col("common") * 100 >= union * percent).select("a", "b").distinct(), name + "-links")
-
-    links = confirmed(full.where("doc_id <> c").select(F.col("c").alias("a"), F.col("doc_id").alias("b")).distinct(), "near-stars")
+        return materialise(shared.where(F.col("common") * 100 >= union * percent).select("a", "b").distinct(), name)
+
+    stars = (
+        full.where("doc_id <> c").select(F.col("c").alias("a"), F.col("doc_id").alias("b")).distinct()
+        .join(about.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("odd").alias("oa")), "a")
+        .join(about.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("ob")), "b")
+        .where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+        .where(_odd_count("oa", "ob") <= MOST_ODD)
+        .select("a", "b")
+        .distinct()
+    )
+    links = confirmed(materialise(stars, "near-stars"), "near-links")
     found = components(links)
     placed = full.select("k", "doc_id").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("k", "doc_id", F.coalesce("component", "doc_id").alias("g"))
-    mixed = placed.groupBy("k").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("k")
-    open_ = materialise(placed.join(mixed, "k", "left_semi"), "near-open")
-    x, y = open_.alias("x"), open_.alias("y")
-    across = (
-        x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.g") < F.col("y.g")))
-        .select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
-        .distinct()
+    mixed = placed.groupBy("k").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("k", "m")
+    open_ = placed.join(mixed, "k").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    blocks = (
+        open_.select("k", "doc_id", "g", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "g")
+        .join(reps.select("doc_id", "n", "odd", "bands"), "doc_id")
+        .select("k", "i", "j", "own", "doc_id", "g", "n", "odd", "bands")
     )
-    more = confirmed(across, "near-across")
+    across = blocks.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(_across(percent), "a long, b long").distinct()
+    more = confirmed(materialise(across, "near-across"), "near-more")
     whole = components(links.unionByName(more).unionByName(same))
     return (
         members.join(whole.withColumnRenamed("id", "doc_id"), "doc_id", "left")
