@@ -100,7 +100,7 @@ def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("dk", F.xxhash64("text"))
     cand = materialise(
         text.alias("d")
-        .join(places.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.dk") == F.col("p.dk")))
+        .join(places.hint("merge").alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.dk") == F.col("p.dk")))
         .select("d.doc_id", "d.dk", F.split("text", "\n").alias("ls"), "at")
         .select("doc_id", "dk", "ls", F.explode("at").alias("a"))
         .select("a.h1", "a.h2", F.struct("doc_id", "dk", "a.pos").alias("ord"), F.btrim(F.expr("ls[a.pos]"), F.lit(SPACE)).alias("l"))
@@ -122,7 +122,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     """``df`` with its text column reduced, plus n_lines and n_removed."""
     gone = materialise(removed_lines(df, id_col, text_col, min_chars), "lines-gone").select(F.col("doc_id").alias("__id"), F.col("dk").alias("__dk"), F.col("gone").alias("__gone"))
     rows = df.withColumn("__key", F.xxhash64(F.col(text_col)))
-    joined = rows.join(gone, rows[id_col].eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__dk")), "left").withColumn("__lines", F.split(F.col(text_col), "\n"))
+    joined = rows.join(gone.hint("merge"), rows[id_col].eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__dk")), "left").withColumn("__lines", F.split(F.col(text_col), "\n"))
     left = F.expr("array_sort(array_except(sequence(0, size(__lines) - 1), __gone))")
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda p: F.get(F.col("__lines"), p)), "\n"))
     return (
