@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, bpe, langid, linededup, mixing, neardup, outliers, rollup, sharding
+from . import audio, bpe, idfile, langid, linededup, mixing, neardup, outliers, rollup, sharding
 from .common import documents
 
 
@@ -30,6 +30,10 @@ def op5_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(documents(spark, sf_dir))
 
 
+def op6_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idfile.write_and_read(documents(spark, sf_dir))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_digests(documents(spark, sf_dir))
 
@@ -47,7 +51,7 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_telephony_audio, op2_token_rollup, op3_language_crf, op4_outliers, op5_bpe_transducer, op7_line_dedup, op8_near_duplicates, op9_mix_sources, op10_shards)}
+    return {f.__name__: f for f in (op1_telephony_audio, op2_token_rollup, op3_language_crf, op4_outliers, op5_bpe_transducer, op6_id_files, op7_line_dedup, op8_near_duplicates, op9_mix_sources, op10_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
