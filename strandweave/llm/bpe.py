@@ -25,11 +25,14 @@ from collections.abc import Iterable, Iterator
 from functools import cache
 from itertools import islice
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import byte_groups
+
 MAX_STATES = 150_000
 #: Bytes after which settled tokens are emitted.
 WINDOW = 1024
@@ -264,15 +267,22 @@ def bpe_digests(df: DataFrame, path: str | None = None, pattern: str | None = No
     return df.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text").mapInArrow(run, SCHEMA)
 
 
-def encode_column(df: DataFrame, path: str | None = None, pattern: str | None = None, text_col: str = "text", out: str = "token_ids") -> DataFrame:
-    """``df`` with an array column of token ids; null texts give null."""
-    from pyspark.sql import functions as F
-
+def encode_rows(df: DataFrame, keep: list[str], path: str | None = None, pattern: str | None = None, text_col: str = "text") -> DataFrame:
+    """The columns ``keep`` with n_tokens, token_ids and round_trip (the ids decode to the text); null texts have no ids."""
     path, pattern = path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern or public_tokenizers.PATTERN
+    rows = df.select(df[text_col].alias("__text"), *keep)
 
-    @F.arrow_udf("array<int>")
-    def ids(texts: pa.Array) -> pa.Array:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path, pattern)
-        return pa.array([None if x is None else t.encode(x) for x in texts.to_pylist()], pa.list_(pa.int32()))
-
-    return df.withColumn(out, ids(text_col))
+        for batch in batches:
+            texts = [x or "" for x in batch.column(0).to_pylist()]
+            for a, b in byte_groups(texts, CHUNK):
+                ids = [b"".join(t.encode_bytes(x)) for x in texts[a:b]]
+                n = np.array([len(i) // 4 for i in ids], np.int64)
+                same = [t.decode_bytes(memoryview(i).cast("I").tolist()).decode("utf-8", "replace") == x for i, x in zip(ids, texts[a:b])]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+                some = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*some.columns[1:], pa.array(n), lists, pa.array(same, pa.bool_())], names=[*keep, "n_tokens", "token_ids", "round_trip"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
+    return rows.mapInArrow(run, f"{kinds}, n_tokens long, token_ids array<int>, round_trip boolean")

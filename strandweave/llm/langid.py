@@ -31,6 +31,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import byte_groups
 
@@ -327,6 +328,24 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     return df.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text").mapInArrow(run, "doc_id long, lang_pred string, score double, switches long")
 
 
+def accepted(df: DataFrame, model: Model | None, least_score: float, text_col: str = "text"):
+    """Column: whether a text has a language, with at least ``least_score`` of its words."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    state: dict[str, Predictor] = {}
+
+    @F.arrow_udf(T.BooleanType())
+    def ok(texts: pa.Array) -> pa.Array:
+        if shared.value is None:
+            return pa.array([False] * len(texts), pa.bool_())
+        p, out, values = state.setdefault("p", Predictor(shared.value)), [], texts.to_pylist()
+        for a, b in byte_groups([t or "" for t in values], GROUP):
+            labels, scores, _ = p.documents(values[a:b])
+            out += [x != "und" and s >= least_score for x, s in zip(labels, scores)]
+        return pa.array(out, pa.bool_())
+
+    return ok(F.col(text_col))
+
+
 def label_spans(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, stop (words, half-open), lang: the stretches of equal label; words without letters join the stretch before."""
     shared = df.sparkSession.sparkContext.broadcast(model)

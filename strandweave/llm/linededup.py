@@ -119,23 +119,30 @@ def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """``df`` with its text column reduced, plus n_lines and n_removed."""
-    gone = materialise(removed_lines(df, id_col, text_col, min_chars), "lines-gone").select(F.col("doc_id").alias("__id"), F.col("dk").alias("__dk"), F.col("gone").alias("__gone"))
-    rows = df.withColumn("__key", F.xxhash64(F.col(text_col)))
-    joined = rows.join(gone.hint("merge"), rows[id_col].eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__dk")), "left").withColumn("__lines", F.split(F.col(text_col), "\n"))
-    left = F.expr("array_sort(array_except(sequence(0, size(__lines) - 1), __gone))")
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda p: F.get(F.col("__lines"), p)), "\n"))
-    return (
-        joined.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size("__lines")).cast("long"))
-        .withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
-        .withColumn(text_col, text)
-        .select(*df.columns, "n_lines", "n_removed")
+    """``df`` with its text column reduced, plus n_lines, n_removed and n_left (lines of ``min_chars`` that stay).
+
+    Columns of ``df`` that have these names are replaced.
+    """
+    gone = materialise(removed_lines(df, id_col, text_col, min_chars), "lines-gone").select(F.col("doc_id").alias("i"), F.col("dk").alias("k"), "gone")
+    rows = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("key"))
+    joined = rows.join(gone.hint("merge"), F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left").withColumn("lines", F.split("text", "\n"))
+    left = F.expr("array_sort(array_except(sequence(0, size(lines) - 1), gone))")
+    kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.transform(left, lambda p: F.get(F.col("lines"), p)))
+    out = joined.select("row", "text", F.col("gone").isNull().alias("same"), F.size("lines").alias("n"), F.size("gone").alias("g"), kept.alias("kept"))
+    own = [F.col("row")[c].alias(c) for c in df.columns if c not in (text_col, "n_lines", "n_removed", "n_left")]
+    text = F.when(F.col("same"), F.col("text")).otherwise(F.array_join("kept", "\n")).alias(text_col)
+    return out.select(
+        *own,
+        text,
+        F.when(F.col("text").isNull(), 0).otherwise(F.col("n")).cast("long").alias("n_lines"),
+        F.when(F.col("same"), 0).otherwise(F.col("g")).cast("long").alias("n_removed"),
+        F.coalesce(F.size(F.filter("kept", lambda x: F.length(F.btrim(x, F.lit(SPACE))) >= min_chars)), F.lit(0)).cast("long").alias("n_left"),
     )
 
 
 def line_digests(df: DataFrame) -> DataFrame:
     out = dedup_lines(df.select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", F.when(F.col("n_removed") > 0, F.col("n_removed")).otherwise(0).cast("long").alias("n_removed"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars_kept"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    return out.select("doc_id", "n_lines", "n_removed", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars_kept"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 ORACLE = r"""

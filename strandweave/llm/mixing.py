@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, n_words
+from .common import WORD, materialise, n_words
 
 #: Hex digits of the key that make a range: 4096 ranges a source.
 RANGE_DIGITS = 3
@@ -100,6 +100,22 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_
     )
 
 
+def apply_mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``df`` as the mix takes them: once an epoch, and the one a budget ends in cut after its last word taken.
+
+    Rows of one id and source count as one here.
+    """
+    got = mix(df, id_col, source_col, text_col, **options).where("taken > 0").select(F.col("doc_id").alias("i"), F.col("source").alias("s"), "epochs", "part", "size").dropDuplicates(["i", "s"])
+    got = materialise(got, "mix-taken")
+    rows = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
+    both = rows.join(got.hint("merge"), F.col("id").eqNullSafe(F.col("i")) & F.col("source").eqNullSafe(F.col("s")))
+    copies = F.col("epochs") + F.when(F.col("part") > 0, 1).otherwise(0)
+    each = both.withColumn("copy", F.explode(F.sequence(F.lit(1), copies.cast("int"))))
+    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("part").cast("int")), " ")
+    text = F.when((F.col("copy") > F.col("epochs")) & (F.col("part") < F.col("size")), head).otherwise(F.col("text"))
+    return each.select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in df.columns])
+
+
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
