@@ -39,12 +39,12 @@ from .graph import components
 
 ROWS, BANDS, BITS = 6, 50, 1024
 SAMPLES = ROWS * BANDS
-#: Estimates below this (five standard deviations under 0.8) end a candidate.
-LEAST_ESTIMATE = 0.68
+#: Estimates below this (nearly five standard deviations under 0.8) end a candidate.
+LEAST_ESTIMATE = 0.65
 #: XOR population counts above this mean a lower estimate.
 MOST_ODD = math.floor(BITS / 2 * (1 - math.exp(-4 * SAMPLES * (1 - LEAST_ESTIMATE) / BITS)))
 #: Members of a bucket that are compared with others at a time.
-BLOCK = 512
+BLOCK = 256
 #: Words remembered before the cache starts anew; bytes split at a time.
 MAX_WORDS, CHUNK = 400_000, 1 << 22
 
@@ -169,9 +169,13 @@ def _across(percent: int):
         held: dict[str, np.ndarray] = {}
 
         def pairs(c: dict[str, np.ndarray], cuts: list[int]) -> pa.RecordBatch:
-            got = [group({n: v[s:e] for n, v in c.items()}) for s, e in zip(cuts, cuts[1:]) if e - s > 1]
-            got.append((np.zeros(0, np.int64), np.zeros(0, np.int64)))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([g[i] for g in got]).astype(np.int64)) for i in (0, 1)], names=["a", "b"])
+            cols: dict[str, list[np.ndarray]] = {n: [np.zeros(0, np.int64)] for n in ("k", "i", "j", "a", "b")}
+            for s, e in zip(cuts, cuts[1:]):
+                if e - s > 1:
+                    a, b = group({n: v[s:e] for n, v in c.items()})
+                    for n, v in (("a", a), ("b", b), *((n, np.full(len(a), c[n][s])) for n in "kij")):
+                        cols[n].append(v)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).astype(np.int64)) for v in cols.values()], names=list(cols))
 
         for batch in batches:
             c = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("k", "i", "j", "own", "doc_id", "g", "n")}
@@ -187,18 +191,41 @@ def _across(percent: int):
     return run
 
 
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets that aren't empty."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return int(np.count_nonzero(y[at] == x))
+
+
+def _verify(percent: int):
+    """Rows sorted by (k, i, j, kind): the sets of a block's documents (kind 0), then its pairs; emits those that are links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sets = None, {}
+        for batch in batches:
+            links: list[tuple[int, int]] = []
+            for k, i, j, kind, a, b, s in zip(*(c.to_pylist() for c in batch.columns)):
+                if (k, i, j) != key:
+                    key, sets = (k, i, j), {}
+                if kind == 0:
+                    sets[a] = np.frombuffer(s, np.uint64)
+                else:
+                    x, y = sets[a], sets[b]
+                    both = _shared(x, y)
+                    if both * 100 >= (len(x) + len(y) - both) * percent:
+                        links.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in links], pa.int64()) for n in (0, 1)], names=["a", "b"])
+
+    return run
+
+
 @F.arrow_udf(T.LongType())
 def _common(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Size of the intersection of two sorted sets."""
-    out = []
-    for x, y in zip(a, b):
-        u, v = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-        if len(u) > len(v):
-            u, v = v, u
-        at = np.searchsorted(v, u)
-        at[at == len(v)] = 0
-        out.append(int(np.count_nonzero(v[at] == u)))
-    return pa.array(out, pa.int64())
+    """Sizes of intersections of sorted sets."""
+    return pa.array([_shared(*(np.frombuffer(z.as_buffer(), np.uint64) for z in pair)) for pair in zip(a, b)], pa.int64())
 
 
 def _odd_count(a: str, b: str) -> Column:
@@ -260,8 +287,14 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
         .join(reps.select("doc_id", "n", "odd", "bands"), "doc_id")
         .select("k", "i", "j", "own", "doc_id", "g", "n", "odd", "bands")
     )
-    across = blocks.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(_across(percent), "a long, b long").distinct()
-    more = confirmed(materialise(across, "near-across"), "near-more")
+    keys = ["k", "i", "j"]
+    across = materialise(blocks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_across(percent), "k long, i long, j long, a long, b long"), "near-across")
+    # a document's set goes once to each block that has pairs of it, not to each pair
+    need = across.select(*keys, F.col("a").alias("doc_id")).unionByName(across.select(*keys, F.col("b").alias("doc_id"))).distinct()
+    held = need.join(sets, "doc_id").select(*keys, F.lit(0).alias("kind"), F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "s")
+    asked = across.select(*keys, F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("s"))
+    more = held.unionByName(asked).repartition(*keys).sortWithinPartitions(*keys, "kind").mapInArrow(_verify(percent), "a long, b long")
+    more = materialise(more.distinct(), "near-more")
     whole = components(links.unionByName(more).unionByName(same))
     return (
         members.join(whole.withColumnRenamed("id", "doc_id"), "doc_id", "left")
