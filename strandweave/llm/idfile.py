@@ -7,7 +7,8 @@ followed them last, with a confidence; order 0 predicts by adaptive counts that
 are summed anew after 256, 512, ... ids.  The three are mixed by adaptive
 weights, kept for each combination of confidences: these code whether the
 order-2 prediction, the order-1 prediction or the order-0 distribution gives the
-id, and in the last case the id under its counts.  A range coder with 64-bit
+id, and in the last case the id under its counts.  Counts are kept for the ids
+that a block has; their list stands before the block.  A range coder with 64-bit
 state and 32-bit words codes both choices.  All blocks of a file advance
 together, one id at a time, with numpy across blocks, so coding is by vector
 operations although each block is sequential.
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 from .common import scratch
 
 MAGIC = b"CMRC1"
-BLOCK, LANES = 8192, 512
+BLOCK, LANES = 8192, 1024
 #: Ids after which a file ends, at the end of a document.
 FILE_IDS = BLOCK * LANES
 SIZE1, SIZE2 = 1 << 12, 1 << 13
@@ -52,8 +53,9 @@ MAX_PIECES, CHUNK, PIECES = 400_000, 1 << 20, 1 << 16
 class _Model:
     """State of all lanes; lanes end one after another, so the live ones are the first ``m``."""
 
-    def __init__(self, lanes: int, vocab: int):
-        self.vocab, self.lanes = vocab, lanes
+    def __init__(self, lanes: int, vocab: int, own: np.ndarray):
+        """own: how many ids each lane has."""
+        self.vocab, self.lanes, self.own = vocab, lanes, own
         self.id1, self.conf1 = np.zeros(lanes * SIZE1, np.uint16), np.zeros(lanes * SIZE1, np.uint8)
         self.id2, self.conf2 = np.zeros(lanes * SIZE2, np.uint16), np.zeros(lanes * SIZE2, np.uint8)
         self.mix = np.tile(np.array([32, 16, 64], np.int32), (lanes * 32, 1))
@@ -89,8 +91,8 @@ class _Model:
 
     def recount(self, past: np.ndarray, m: int) -> None:
         """Add the ids of ``past`` (lanes x ids) to the counts and sum them anew."""
-        for i in range(m):
-            np.add.at(self.count[i], past[i], 1)
+        at = (self.lane[:m, None] * self.vocab + past[:m]).ravel()
+        self.count += np.bincount(at, minlength=self.count.size).astype(np.uint16).reshape(self.count.shape)
         one = self.count[:m].astype(np.uint32)
         one *= COUNT_STEP
         one += 1
@@ -113,8 +115,10 @@ def _code(low: np.ndarray, rng: np.ndarray, start: np.ndarray, size: np.ndarray,
     return low, rng, same | under
 
 
-def encode_blocks(blocks: list[np.ndarray], vocab: int) -> list[bytes]:
-    """Coded bytes of each block of ids; longest blocks first."""
+def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
+    """Coded bytes of each block of ids, after the list of its ids; longest blocks first."""
+    lists, blocks = map(list, zip(*[np.unique(b, return_inverse=True) for b in blocks]))
+    vocab = max(map(len, lists))
     n, length = len(blocks), len(blocks[0])
     sizes = np.array([len(b) for b in blocks])
     ids = np.zeros((n, length), np.uint16)
@@ -122,7 +126,7 @@ def encode_blocks(blocks: list[np.ndarray], vocab: int) -> list[bytes]:
         ids[i, : len(b)] = b
     steps = np.ascontiguousarray(ids.T)
     live = np.searchsorted(-sizes, -np.arange(length), side="left")
-    model = _Model(n, vocab)
+    model = _Model(n, vocab, np.array([len(x) for x in lists]))
     out, ends = np.zeros((n, length + 64), np.uint32), np.zeros(n, np.int64)
     low, rng = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
 
@@ -150,22 +154,29 @@ def encode_blocks(blocks: list[np.ndarray], vocab: int) -> list[bytes]:
         lit = np.flatnonzero(pick == 2)
         if len(lit):
             at = model.base[lit] + x[lit]
-            a, b, tot = model.flat[at].astype(np.uint64), model.flat[at + 1].astype(np.uint64), model.flat[model.base[lit] + vocab].astype(np.uint64)
+            a, b, tot = model.flat[at].astype(np.uint64), model.flat[at + 1].astype(np.uint64), model.flat[model.base[lit] + model.own[lit]].astype(np.uint64)
             emit(lit, *_code(low[lit], rng[lit], a, b - a, tot))
         model.update(m, x, pick)
     out[model.lane, ends] = (low >> np.uint64(32)).astype(np.uint32)
     out[model.lane, ends + 1] = low.astype(np.uint32)
-    return [out[i, : ends[i] + 2].astype("<u4").tobytes() for i in range(n)]
+    heads = [zlib.compress(np.diff(x, prepend=np.uint16(0)).astype("<u2").tobytes()) for x in lists]
+    return [struct.pack("<II", len(x), len(h)) + h + out[i, : ends[i] + 2].astype("<u4").tobytes() for i, (x, h) in enumerate(zip(lists, heads))]
 
 
-def decode_blocks(coded: list[bytes], sizes: list[int], vocab: int) -> list[np.ndarray]:
+def decode_blocks(coded: list[bytes], sizes: list[int]) -> list[np.ndarray]:
     """Inverse of encode_blocks; ``sizes`` must not increase."""
+    lists, rest = [], []
+    for c in coded:
+        k, h = struct.unpack_from("<II", c)
+        lists.append(np.cumsum(np.frombuffer(zlib.decompress(c[8 : 8 + h]), "<u2", k), dtype=np.uint16))
+        rest.append(c[8 + h :])
+    coded, vocab = rest, max(map(len, lists))
     n, length = len(coded), sizes[0]
     data = np.zeros((n, max(map(len, coded)) // 4 + 4), np.uint32)
     for i, c in enumerate(coded):
         data[i, : len(c) // 4] = np.frombuffer(c, "<u4")
     live = np.searchsorted(-np.array(sizes), -np.arange(length), side="left")
-    model = _Model(n, vocab)
+    model = _Model(n, vocab, np.array([len(x) for x in lists]))
     ids = np.zeros((length, n), np.uint16)
     low, rng, at_word = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64), np.full(n, 2)
     code = (data[:, 0].astype(np.uint64) << np.uint64(32)) | data[:, 1]
@@ -196,10 +207,10 @@ def decode_blocks(coded: list[bytes], sizes: list[int], vocab: int) -> list[np.n
         lit = np.flatnonzero(pick == 2)
         if len(lit):
             base = model.base[lit]
-            total = model.flat[base + vocab].astype(np.uint64)
+            total = model.flat[base + model.own[lit]].astype(np.uint64)
             v = np.minimum((code[lit] - low[lit]) // (rng[lit] // total), total - np.uint64(1)).astype(np.uint32)
             lo = np.zeros(len(lit), np.int64)  # the last place whose sum is at most v
-            step = 1 << (vocab - 1).bit_length() - 1
+            step = 1 << max(0, (vocab - 1).bit_length() - 1)
             while step:
                 mid = lo + step
                 inside = np.minimum(mid, vocab)
@@ -210,7 +221,7 @@ def decode_blocks(coded: list[bytes], sizes: list[int], vocab: int) -> list[np.n
             x[lit] = lo
         ids[t, :m] = x
         model.update(m, x, pick)
-    return [np.ascontiguousarray(ids[: sizes[i], i]) for i in range(n)]
+    return [lists[i][ids[: sizes[i], i]] for i in range(n)]
 
 
 def write_file(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, vocab: int) -> bytes:
@@ -218,7 +229,7 @@ def write_file(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, v
     cuts = [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]
     coded = []
     for i in range(0, len(cuts), LANES):  # only the very last block is shorter
-        coded += encode_blocks(cuts[i : i + LANES], vocab)
+        coded += encode_blocks(cuts[i : i + LANES])
     known = np.array([i is not None for i in doc_ids], np.uint8)
     table = zlib.compress(known.tobytes() + np.array([i or 0 for i in doc_ids], "<i8").tobytes() + np.array(lengths, "<u8").tobytes())
     head = MAGIC + struct.pack("<IIQII", vocab, len(doc_ids), len(ids), len(cuts), len(table))
@@ -246,7 +257,7 @@ def read_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
         for _, size, _ in some:
             coded.append(data[at : at + size])
             at += size
-        for ids, (_, _, crc) in zip(decode_blocks(coded, [s for s, _, _ in some], vocab), some):
+        for ids, (_, _, crc) in zip(decode_blocks(coded, [s for s, _, _ in some]), some):
             if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
                 raise ValueError("a block's checksum doesn't hold")
             parts.append(ids)
