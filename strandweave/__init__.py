@@ -1 +1,3 @@
 """Spark-native preprocessing of sequencing reads."""
+
+__version__ = "0.1.0"

@@ -133,8 +133,8 @@ def adapter_file(path: str) -> Iterator[tuple[str | None, str]]:
             yield (words[0] if words else None), seq
 
 
-def adapters(specs: list[tuple[str, str]], **defaults) -> list[Adapter | Linked]:
-    """Adapters from (where, notation) pairs; those without a name are numbered from 1."""
+def adapters(specs: list[tuple[str, str]], first_number: int = 1, **defaults) -> list[Adapter | Linked]:
+    """Adapters from (where, notation) pairs; those without a name are numbered."""
     out = []
     for where, text in specs:
         got = re.match(r"(\^?)file(\$?):", text)
@@ -143,11 +143,10 @@ def adapters(specs: list[tuple[str, str]], **defaults) -> list[Adapter | Linked]
             out += [make(got[1] + seq + got[2], where, name, **(defaults | parse_options(options))) for name, seq in adapter_file(path)]
         else:
             out.append(make(text, where, **defaults))
-    number = 0
+    number = first_number
     for a in out:
         if not a.name:
-            number += 1
-            a.name = str(number)
+            a.name, number = str(number), number + 1
         if isinstance(a, Linked):
             a.front.name = a.name
     return out
