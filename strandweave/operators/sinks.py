@@ -59,10 +59,12 @@ def info_lines(p: str, names: list[str], linked: list[bool]) -> Column:
 
 def routed(rows: list[tuple[Column, Column]]) -> Column:
     """Array of (sink, text) from (sink, text or array of texts); a null sink or text makes no row."""
-    parts = []
-    for sink, text in rows:
-        parts.append(F.transform(F.when(sink.isNotNull(), text).otherwise(F.array().cast("array<string>")), lambda t, s=sink: F.struct(s.alias("sink"), t.alias("text"))))
-    return F.filter(F.flatten(F.array(*parts)), lambda x: x["text"].isNotNull())
+
+    def lines(sink: Column, text: Column) -> Column:
+        some = F.when(sink.isNotNull(), text).otherwise(F.array().cast("array<string>"))
+        return F.transform(some, lambda t: F.struct(sink.alias("sink"), t.alias("text")))
+
+    return F.filter(F.flatten(F.array(*[lines(*r) for r in rows])), lambda x: x["text"].isNotNull())
 
 
 def write_sinks(result: DataFrame, rows: list[tuple[Column, Column]], path: str, ordered: bool = True, compression: str | None = None) -> None:
@@ -94,7 +96,7 @@ def gather(spark: SparkSession, folder: str, target: str, compress: bool = True)
     if codec is not None:
         out = codec.createOutputStream(out)
     try:
-        parts = sorted((s.getPath().toString() for s in fs.listStatus(src) if s.getPath().getName().startswith("part-")), key=lambda x: x) if fs.exists(src) else []
+        parts = sorted((s.getPath().toString() for s in fs.listStatus(src) if s.getPath().getName().startswith("part-")), key=lambda x: (len(x), x)) if fs.exists(src) else []
         for part in parts:
             q = jvm.org.apache.hadoop.fs.Path(part)
             stream = fs.open(q)
