@@ -162,8 +162,10 @@ def check(a: argparse.Namespace, paired: bool) -> None:
         raise UsageError(f"one or two input files are expected, not {len(a.inputs)}")
     if paired and not a.interleaved and len(a.inputs) == 1:
         raise UsageError("paired reads need two input files or --interleaved")
-    if not (paired and not a.interleaved) and len(a.inputs) == 2:
+    if not paired and len(a.inputs) == 2:
         raise UsageError("two input files need two output files (-o and -p) or --interleaved")
+    if a.interleaved and len(a.inputs) == 2 and a.paired_output:
+        raise UsageError("--interleaved has no use with two input and two output files")
     if not paired and a.pair_adapters:
         raise UsageError("--pair-adapters goes with paired reads only")
     names = ("untrimmed", "too_short", "too_long")
@@ -204,7 +206,7 @@ def to_spec(a: argparse.Namespace, paired: bool) -> TrimSpec:
         second = notation.adapters(a.adapters2, first_number=1 + sum(x.name.isdigit() and not _named(t) for x, t in zip(first, a.adapters1)), **options)
         if a.pair_adapters and len(first) != len(second):
             raise UsageError("--pair-adapters needs as many adapters for the first as for the second reads")
-        return TrimSpec(
+        spec = TrimSpec(
             first=Side(first, a.cut, q1, a.length, short[0], long[0]), second=Side(second, a.cut2, q2, l2, short[1], long[1]) if paired else None,
             times=a.times, action=a.action, index=a.index, both_strands=a.both_strands, pair_adapters=a.pair_adapters, nextseq=a.nextseq_trim, quality_base=a.quality_base,
             poly_a=a.poly_a, trim_n=a.trim_n, length_tag=a.length_tag, strip_suffixes=a.strip_suffix, prefix=a.prefix, suffix=a.suffix, rename=a.rename, zero_cap=a.zero_cap,
@@ -212,6 +214,9 @@ def to_spec(a: argparse.Namespace, paired: bool) -> TrimSpec:
             discard="trimmed" if a.discard_trimmed else "untrimmed" if a.discard_untrimmed else None,
             untrimmed_apart=bool(a.untrimmed_output or a.untrimmed_paired_output) and demultiplex is None, pair_filter=a.pair_filter or "any", demultiplex=demultiplex,
         )
+        for _, side in spec.sides:
+            spec.cutter(side)  # what can't be combined shows before anything is read
+        return spec
     except (ValueError, KeyError, InvalidTemplate) as e:
         raise UsageError(str(e).strip("'\"")) from e
 
