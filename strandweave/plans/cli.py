@@ -93,6 +93,7 @@ def parser() -> argparse.ArgumentParser:
     add("--fasta", action="store_true")
     add("--compression-level", type=int, default=1, help="has no effect; codecs use their own default")
     add("-Z", dest="compression_level", action="store_const", const=1)
+    add("--unordered", action="store_true", help="outputs needn't be in the order of inputs; nothing is shuffled then")
     add("--sharded", action="store_true", help="leave each output as a folder of parts")
     for name in ("info-file", "info-file-paired", "rest-file", "wildcard-file"):
         add(*(["-r"] if name == "rest-file" else []), f"--{name}", metavar="FILE")
@@ -156,6 +157,8 @@ def _demultiplex(a: argparse.Namespace, paired: bool) -> str | None:
 
 
 def check(a: argparse.Namespace, paired: bool) -> None:
+    if a.quiet and a.report:
+        raise UsageError("--quiet and --report can't be used together")
     if not a.inputs:
         raise UsageError("no input files were given")
     if len(a.inputs) > 2:
@@ -353,7 +356,7 @@ def run(argv: list[str], spark: SparkSession | None = None) -> Statistics:
         raise UsageError(str(e)) from e
     folder = storage.scratch(spark, "sinks")
     try:
-        sinks.write_sinks(result, rows, folder)
+        sinks.write_sinks(result, rows, folder, ordered=not a.unordered)
         stats = collect(result, spec, has_qualities)
         for o in outs:
             storage.deliver(spark, f"{folder}/sink={storage.escaped(spark, o.sink)}", o.path, a.sharded)

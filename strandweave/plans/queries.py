@@ -15,7 +15,8 @@ from ..functions import spec as notation
 from ..functions.align import hamming_environment
 from ..operators import fates, matching, modifiers, sinks
 from ..operators.statistics import counts
-from ..sources import fastx
+from ..sources import fastx, storage
+from . import report
 from .trim import Side, TrimSpec, demultiplexed, trim
 
 ADAPTER = "AGATCGGAAGAG"
@@ -446,6 +447,48 @@ def agg8_adjacent_bases(spark, sf_dir):
     return counts(trim(synthetic(spark, sf_dir), spec), spec).where("kind = 'match'").groupBy(F.col("s").alias("base")).agg(F.sum("n").alias("n"))
 
 
+@query("agg9_expected_matches", _FLAG + """
+, c as (select cast(length(sequence) - place as int) as removed, count(*) as n from f where place is not null group by 1)
+select removed, n, round((select count(*) from f) * pow(0.25, least(removed, 12)), 6) as expect from c""")
+def agg9_expected_matches(spark, sf_dir):
+    spec = _flagship()
+    table = counts(trim(synthetic(spark, sf_dir), spec), spec)
+    chances = spark.createDataFrame(list(enumerate(report.match_probabilities(spec.first.adapters[0], 0.5))), "length int, chance double")
+    total = table.where("kind = 'fate'").agg(F.sum("n").alias("total"))  # one row
+    removed = table.where("kind = 'match'").groupBy(F.col("c").alias("removed")).agg(F.sum("n").alias("n"))
+    joined = removed.join(chances, F.least("removed", F.lit(len(spec.first.adapters[0]))) == F.col("length")).join(F.broadcast(total))
+    return joined.select("removed", "n", F.round(F.col("total") * F.col("chance"), 6).alias("expect"))
+
+
+@query("agg12_minimal_report", _FLAG + """
+select count(*) as in_reads, cast(sum(size) as bigint) as in_bp, count(*) filter (fate is not null) as too_short, count(*) filter (fate is null) as out_reads,
+ count(*) filter (place is not null) as with_adapters, cast(sum(size - length(sequence)) as bigint) as qualtrim_bp, cast(sum(len) filter (fate is null) as bigint) as out_bp from f""")
+def agg12_minimal_report(spark, sf_dir):
+    spec = _flagship()
+    table = counts(trim(synthetic(spark, sf_dir), spec), spec)
+    of = lambda kind, more=F.lit(True): F.coalesce(F.sum(F.when((F.col("kind") == kind) & more, F.col("n"))), F.lit(0))
+    return table.agg(
+        of("fate").alias("in_reads"), of("bp_in").alias("in_bp"), of("fate", F.col("s") == "too_short").alias("too_short"), of("fate", F.col("s").isNull()).alias("out_reads"),
+        of("with_adapters").alias("with_adapters"), of("quality").alias("qualtrim_bp"), of("bp_out").alias("out_bp"),
+    )
+
+
+# Files: reads are written as text and scanned again
+
+
+def scanned(name: str, fasta: bool, codec: str, sql: str) -> None:
+    @query(name, sql)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = storage.scratch(spark, name)
+        synthetic(spark, sf_dir).select(sinks.record("", fasta)).write.option("compression", codec).text(path)
+        return fastx.read_reads(spark, path).select("name", "sequence", *([] if fasta else ["qualities"]))
+
+
+scanned("src1_fastq", False, "none", "select name, sequence, qualities from reads")
+scanned("src2_fasta", True, "none", "select name, sequence from reads")
+scanned("src7_fastq_gzip", False, "gzip", "select name, sequence, qualities from reads")
+
+
 # Pairs from streams of reads
 
 
