@@ -152,13 +152,14 @@ def _across(percent: int):
         place = int(np.argmax((c["bands"] == c["k"][0]).all(0)))
         xs = np.flatnonzero(c["own"] == c["i"][0])
         ys = np.flatnonzero(c["own"] == c["j"][0])
+        odd = c["odd"].view(np.uint64)  # of negative numbers numpy counts the bits of the absolute value
         a, b = [], []
         for x in xs:
             y = ys[ys > x] if c["i"][0] == c["j"][0] else ys
             y = y[c["g"][y] != c["g"][x]]
             n = c["n"][x]
             y = y[np.minimum(c["n"][y], n) * 100 >= np.maximum(c["n"][y], n) * percent]
-            y = y[np.bitwise_count(c["odd"][y] ^ c["odd"][x]).sum(1, dtype=np.int64) <= MOST_ODD]
+            y = y[np.bitwise_count(odd[y] ^ odd[x]).sum(1, dtype=np.int64) <= MOST_ODD]
             y = y[~(c["bands"][y, :place] == c["bands"][x, :place]).any(1)]
             a.append(np.full(len(y), c["doc_id"][x]))
             b.append(c["doc_id"][y])
