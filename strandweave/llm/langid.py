@@ -303,11 +303,14 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     if learnable is not None:
         rows = rows.where(learnable)
     rows = rows.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(label_col).alias("label"))
+    # the labels that count, at most MAX_LANGS rows, with the share of their documents that is drawn from
+    labels = rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(MAX_LANGS)
+    share = F.least(F.lit(1.0), F.lit(4.0 * DOCS_PER_LANG) / F.col("n")).alias("share")
     drawn = F.xxhash64(F.lit("langid"), "doc_id")
-    w = Window.partitionBy("label").orderBy(drawn, "doc_id")
-    # ranks are cut within each task before the shuffle
-    ids = rows.select("doc_id", "label").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= DOCS_PER_LANG).groupBy("label").agg(F.collect_set("doc_id").alias("ids"))
-    ids = ids.orderBy(F.size("ids").desc(), "label").limit(MAX_LANGS).select("label", F.explode("ids").alias("doc_id"))
+    w = Window.partitionBy("label").orderBy("drawn", "doc_id")
+    # four times the documents wanted by a threshold on the draw, then the lowest of them: what is shuffled doesn't grow with the table
+    some = rows.select("doc_id", "label", drawn.alias("drawn")).join(F.broadcast(labels.select("label", share)), "label").where((F.col("drawn") / float(1 << 64) + 0.5) <= F.col("share"))
+    ids = some.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= DOCS_PER_LANG).select("label", "doc_id").distinct()
     sample = rows.join(F.broadcast(ids), ["doc_id", "label"], "left_semi").select("doc_id", "text", "label")
     got = sample.mapInArrow(_windows, "label string, w binary").collect()
     return learn([(r["label"], bytes(r["w"]).split()) for r in got])

@@ -85,7 +85,9 @@ def document_rollup(df: DataFrame, path: str | None = None) -> TokenRollup:
         ),
         "rollup-counts",
     )
-    first = counted.where("copy is not null").groupBy("copy").agg(F.min("doc_id").alias("first_id"))
+    # written, so that the join reads two plain shuffles and a text with very many copies can be split
+    several = counted.where("copy is not null").groupBy("copy").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id")
+    first = materialise(several.select("copy", "first_id"), "rollup-copies")
     marked = materialise(counted.join(first, "copy", "left").withColumn("gone", F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False))).drop("copy", "first_id"), "rollup-marked")
     out = TokenRollup(spark, path or scratch(spark, "rollup"))
     gone, revised = changes(marked.where("gone"), "words-1", "t1", -1), marked.where("not gone and t1 <> t2")
