@@ -4,14 +4,14 @@ Ids are cut into blocks of ``BLOCK``, each coded by itself with a model that
 starts anew and a checksum over its ids.  For every id, the order-2 and order-1
 contexts (the two ids and the one id before it) each predict the id that
 followed them last, with a confidence; order 0 predicts by adaptive counts that
-are summed anew after 256, 512, ... ids.  The three are mixed by adaptive
-weights, kept for each combination of confidences: these code whether the
-order-2 prediction, the order-1 prediction or the order-0 distribution gives the
-id, and in the last case the id under its counts.  Counts are kept for the ids
-that a block has; their list stands before the block.  A range coder with 64-bit
-state and 32-bit words codes both choices.  All blocks of a file advance
-together, one id at a time, with numpy across blocks, so coding is by vector
-operations although each block is sequential.
+are summed anew after 256, 1024, ... ids.  The three are mixed by adaptive
+weights, kept for each combination of confidences: an id is coded by whether the
+order-2 prediction, the order-1 prediction or the order-0 distribution gives it,
+in the last case within that share by its counts.  Counts are kept for the ids
+that a block has; their list stands before the block.  The range coder has 16-bit
+words and a state of whole numbers in float64, in which its quotients are exact.
+All blocks of a file advance together, one id at a time, with numpy across
+blocks, so coding is by vector operations although each block is sequential.
 
 A file holds the documents of a range of ids: magic, counts, the compressed
 table of document ids and lengths, and the blocks with counts and checksums.
@@ -25,9 +25,10 @@ than a file fills a longer file.  Only the id and text columns are read.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 from itertools import islice
 
@@ -38,85 +39,104 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import byte_groups, scratch
 
-MAGIC = b"CMRC1"
-BLOCK, LANES = 8192, 1024
+MAGIC = b"CMRC2"
+BLOCK, LANES = 4096, 2048
 #: Ids after which a file ends, at the end of a document.
 FILE_IDS = BLOCK * LANES
-SIZE1, SIZE2 = 1 << 12, 1 << 13
-COUNT_STEP, MIX_STEP, MIX_LIMIT = 32, 24, 1 << 13
-TOP, BOTTOM = np.uint64(1 << 32), np.uint64(1 << 20)
-MAX_PIECES, CHUNK, PIECES = 400_000, 1 << 20, 1 << 16
+#: Entries of the tables of order 1 and 2; slots that ids of order 0 share, as many as a block may have ids at least.
+SIZE1, SIZE2, SLOTS = 1 << 11, 1 << 11, 4096
+MIX_STEP, MIX_LIMIT = 24.0, float(1 << 13)
+#: Ranges go from LEAST to FULL, words have 16 bits.
+WORD, LEAST, FULL = float(1 << 16), float(1 << 32), float(1 << 48)
+#: Pieces and chunks remembered (about 250 MB); characters cut and pieces joined at a time.
+MAX_PIECES, MAX_CHUNKS, GROUP, PIECES = 1_200_000, 700_000, 1 << 22, 1 << 16
+#: A space that pieces may go on over, or the mark that texts are cut by.
+TIED = re.compile(r"\s (?:\s|\Z)|  |\0")
 
 
 class _Model:
-    """State of all lanes; lanes end one after another, so the live ones are the first ``m``."""
-
-    def __init__(self, lanes: int, vocab: int, own: np.ndarray):
-        """own: how many ids each lane has."""
-        self.vocab, self.lanes, self.own = vocab, lanes, own
-        self.id1, self.conf1 = np.zeros(lanes * SIZE1, np.uint16), np.zeros(lanes * SIZE1, np.uint8)
-        self.id2, self.conf2 = np.zeros(lanes * SIZE2, np.uint16), np.zeros(lanes * SIZE2, np.uint8)
-        self.mix = np.tile(np.array([32, 16, 64], np.int32), (lanes * 32, 1))
-        self.count = np.zeros((lanes, vocab), np.uint16)
-        self.cum = np.tile(np.arange(vocab + 1, dtype=np.uint32), (lanes, 1))
-        self.prev, self.prev2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
+    """State of all lanes; lanes end one after another, so the live ones are the first ``m``.
+
+    An entry of a context's table is an id's place in the block's list, and in
+    its two low bits how sure it is.
+    """
+
+    def __init__(self, lanes: int, vocab: int, own: np.ndarray, inverse: bool = False):
+        """own: how many ids each lane has; ``inverse``: whether ids are looked up by their slots."""
+        self.vocab, self.own, self.inverse = vocab, own, inverse
         self.lane = np.arange(lanes)
-        self.flat = self.cum.reshape(-1)
-        self.base = self.lane * (vocab + 1)
+        self.base1, self.base2, self.base_mix, self.base_id, self.base_slot = (self.lane * k for k in (SIZE1, SIZE2, 32, vocab, SLOTS))
+        self.table1, self.table2 = np.zeros(lanes * SIZE1, np.uint16), np.zeros(lanes * SIZE2, np.uint16)
+        self.mix = np.tile(np.array([32.0, 16.0, 64.0]), (lanes * 32, 1))
+        self.count = np.zeros((lanes, vocab))
+        self.prev, self.prev2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
+        self._share(lanes, 1)
+
+    def _share(self, m: int, past: int) -> None:
+        """Slots of every id by its count so far: one at least."""
+        size = np.floor(self.count[:m] * ((SLOTS - self.own[:m]) / past)[:, None]) + 1
+        size[np.arange(self.vocab) >= self.own[:m, None]] = 0
+        start = np.cumsum(size, axis=1)
+        if self.inverse:
+            full = np.concatenate([size, SLOTS - start[:, -1:]], axis=1).astype(np.int64)
+            self.symbol = np.repeat(np.tile(np.arange(self.vocab + 1, dtype=np.uint16), m), full.ravel())
+        self.size, self.start = size.ravel(), (start - size).ravel()
+
+    def recount(self, past: np.ndarray, m: int, t: int) -> None:
+        """Count the ids of ``past`` (lanes x ids), the last of ``t`` so far."""
+        at = (self.base_id[:m, None] + past[:m]).ravel()
+        self.count[:m] += np.bincount(at, minlength=m * self.vocab).reshape(m, self.vocab)
+        self._share(m, t)
 
     def predict(self, m: int) -> None:
-        h1 = (self.prev[:m] * np.uint32(0x9E3779B1)) >> np.uint32(20)
-        h2 = ((self.prev[:m] * np.uint32(0x85EBCA77)) ^ (self.prev2[:m] * np.uint32(0xC2B2AE3D)) * np.uint32(5)) >> np.uint32(19)
-        self.at1, self.at2 = self.lane[:m] * SIZE1 + h1, self.lane[:m] * SIZE2 + h2
-        self.p1, self.p2 = self.id1[self.at1], self.id2[self.at2]
-        self.c1, self.c2 = self.conf1[self.at1], self.conf2[self.at2]
-        self.ctx = self.lane[:m] * 32 + ((self.c2.astype(np.int64) << 3) | (self.c1 << 1) | (self.p1 == self.p2))
-        w = self.mix[self.ctx]
-        self.w0, self.w01 = w[:, 0], w[:, 0] + w[:, 1]
-        self.tot = self.w01 + w[:, 2]
+        prev = self.prev[:m]
+        self.at1 = self.base1[:m] + ((prev * np.uint32(0x9E3779B1)) >> np.uint32(32 - SIZE1.bit_length() + 1))
+        self.at2 = self.base2[:m] + ((prev * np.uint32(0x85EBCA77) ^ self.prev2[:m] * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - SIZE2.bit_length() + 1))
+        self.s1, self.s2 = self.table1.take(self.at1), self.table2.take(self.at2)
+        self.p1, self.p2 = self.s1 >> 2, self.s2 >> 2
+        self.c1, self.c2 = self.s1 & 3, self.s2 & 3
+        self.ctx = self.base_mix[:m] + ((self.c2 << 3) | (self.c1 << 1) | (self.p1 == self.p2))
+        w = self.mix.take(self.ctx, axis=0)
+        self.w0, self.w1, self.w2 = w[:, 0], w[:, 1], w[:, 2]
+        self.w01 = self.w0 + self.w1
+        self.tot = self.w01 + self.w2
 
     def update(self, m: int, x: np.ndarray, pick: np.ndarray) -> None:
         self.mix.reshape(-1)[self.ctx * 3 + pick] += MIX_STEP
         big = self.tot > MIX_LIMIT
         if big.any():
-            self.mix[self.ctx[big]] = (self.mix[self.ctx[big]] >> 1) | 1
-        for at, p, c, ids, conf in ((self.at1, self.p1, self.c1, self.id1, self.conf1), (self.at2, self.p2, self.c2, self.id2, self.conf2)):
-            hit = p == x
-            ids[at] = np.where(hit | (c > 0), p, x)
-            conf[at] = np.where(hit, np.minimum(c + 1, 3), c >> 1)
+            self.mix[self.ctx[big]] = np.floor(self.mix[self.ctx[big]] / 2) + 1
+        fresh = x << 2
+        for table, at, s, p, c in ((self.table1, self.at1, self.s1, self.p1, self.c1), (self.table2, self.at2, self.s2, self.p2, self.c2)):
+            table[at] = np.where(p == x, s + (c < 3), np.where(c > 0, s - ((c + 1) >> 1), fresh))
         self.prev2[:m] = self.prev[:m]
         self.prev[:m] = x
 
-    def recount(self, past: np.ndarray, m: int) -> None:
-        """Add the ids of ``past`` (lanes x ids) to the counts and sum them anew."""
-        at = (self.lane[:m, None] * self.vocab + past[:m]).ravel()
-        self.count += np.bincount(at, minlength=self.count.size).astype(np.uint16).reshape(self.count.shape)
-        one = self.count[:m].astype(np.uint32)
-        one *= COUNT_STEP
-        one += 1
-        np.cumsum(one, axis=1, out=self.cum[:m, 1:])
+    def interval(self, m: int, x: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of what was picked, of ``tot * SLOTS``."""
+        first = pick == 0
+        start, size = np.where(first, 0.0, self.w0) * SLOTS, np.where(first, self.w0, self.w1) * SLOTS
+        lit = np.flatnonzero(pick == 2)
+        at, w2 = self.base_id[lit] + x[lit], self.w2[lit]
+        start[lit] = self.w01[lit] * SLOTS + w2 * self.start.take(at)
+        size[lit] = w2 * self.size.take(at)
+        return start, size
 
 
 def _recounts(t: int) -> bool:
-    return t >= 256 and t & (t - 1) == 0
-
-
-def _code(low: np.ndarray, rng: np.ndarray, start: np.ndarray, size: np.ndarray, tot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Narrow the ranges; returns them and which lanes shift out a word."""
-    r = rng // tot
-    low = low + r * start
-    rng = r * size
-    same = (low ^ (low + rng)) < TOP
-    under = ~same & (rng < BOTTOM)
-    if under.any():
-        rng[under] = (np.uint64(0) - low[under]) & (BOTTOM - np.uint64(1))
-    return low, rng, same | under
+    """After 256, 1024, 4096, ... ids."""
+    return t >= 256 and t & (t - 1) == 0 and t.bit_length() % 2 == 1
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """Coded bytes of each block of ids, after the list of its ids; longest blocks first."""
+    """Coded bytes of each block of ids, after the list of its ids; longest blocks first.
+
+    Low ends and ranges are whole numbers below 2**49 in float64, so sums,
+    products and rounded-down quotients are exact.  Words that are out may still
+    get a carry; carries are settled at the end.
+    """
     lists, blocks = map(list, zip(*[np.unique(b, return_inverse=True) for b in blocks]))
     vocab = max(map(len, lists))
     n, length = len(blocks), len(blocks[0])
@@ -127,40 +147,40 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     steps = np.ascontiguousarray(ids.T)
     live = np.searchsorted(-sizes, -np.arange(length), side="left")
     model = _Model(n, vocab, np.array([len(x) for x in lists]))
-    out, ends = np.zeros((n, length + 64), np.uint32), np.zeros(n, np.int64)
-    low, rng = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
-
-    def emit(at: np.ndarray, lo: np.ndarray, ra: np.ndarray, shift: np.ndarray) -> None:
-        if shift.any():
-            s = at[shift]
-            out[s, ends[s]] = (lo[shift] >> np.uint64(32)).astype(np.uint32)
-            ends[s] += 1
-            lo[shift] <<= np.uint64(32)
-            ra[shift] <<= np.uint64(32)
-        low[at], rng[at] = lo, ra
-
+    out, ends = np.zeros((2 * length + 8, n), np.uint32), np.zeros(n, np.int64)  # words of all lanes side by side
+    flat = out.reshape(-1)
+    low, rng = np.zeros(n), np.full(n, FULL)
     done = 0
     for t in range(length):
         m = live[t]
         if _recounts(t):
-            model.recount(ids[:m, done:t], m)
+            model.recount(ids[:m, done:t], m, t)
             done = t
         model.predict(m)
         x = steps[t, :m]
         pick = np.where(x == model.p2, 0, np.where(x == model.p1, 1, 2))
-        start = np.where(pick == 0, 0, np.where(pick == 1, model.w0, model.w01))
-        end = np.where(pick == 0, model.w0, np.where(pick == 1, model.w01, model.tot))
-        emit(model.lane[:m], *_code(low[:m], rng[:m], start.astype(np.uint64), (end - start).astype(np.uint64), model.tot.astype(np.uint64)))
-        lit = np.flatnonzero(pick == 2)
-        if len(lit):
-            at = model.base[lit] + x[lit]
-            a, b, tot = model.flat[at].astype(np.uint64), model.flat[at + 1].astype(np.uint64), model.flat[model.base[lit] + model.own[lit]].astype(np.uint64)
-            emit(lit, *_code(low[lit], rng[lit], a, b - a, tot))
+        start, size = model.interval(m, x, pick)
+        unit = np.floor(rng[:m] / (model.tot * SLOTS))
+        low[:m] += unit * start
+        rng[:m] = unit * size
+        while len(at := np.flatnonzero(rng[:m] < LEAST)):
+            part, end = low.take(at), ends.take(at)
+            word = np.floor(part / LEAST)
+            flat[end * n + at] = word
+            ends[at] = end + 1
+            low[at] = (part - word * LEAST) * WORD
+            rng[at] *= WORD
         model.update(m, x, pick)
-    out[model.lane, ends] = (low >> np.uint64(32)).astype(np.uint32)
-    out[model.lane, ends + 1] = low.astype(np.uint32)
+    for _ in range(3):
+        word = np.floor(low / LEAST)
+        out[ends, model.lane] = word
+        ends += 1
+        low = (low - word * LEAST) * WORD
+    while (carry := out >> 16).any():
+        out &= 0xFFFF
+        out[:-1] += carry[1:]
     heads = [zlib.compress(np.diff(x, prepend=np.uint16(0)).astype("<u2").tobytes()) for x in lists]
-    return [struct.pack("<II", len(x), len(h)) + h + out[i, : ends[i] + 2].astype("<u4").tobytes() for i, (x, h) in enumerate(zip(lists, heads))]
+    return [struct.pack("<II", len(x), len(h)) + h + out[: ends[i], i].astype("<u2").tobytes() for i, (x, h) in enumerate(zip(lists, heads))]
 
 
 def decode_blocks(coded: list[bytes], sizes: list[int]) -> list[np.ndarray]:
@@ -170,58 +190,43 @@ def decode_blocks(coded: list[bytes], sizes: list[int]) -> list[np.ndarray]:
         k, h = struct.unpack_from("<II", c)
         lists.append(np.cumsum(np.frombuffer(zlib.decompress(c[8 : 8 + h]), "<u2", k), dtype=np.uint16))
         rest.append(c[8 + h :])
-    coded, vocab = rest, max(map(len, lists))
+    vocab = max(map(len, lists))
     n, length = len(coded), sizes[0]
-    data = np.zeros((n, max(map(len, coded)) // 4 + 4), np.uint32)
-    for i, c in enumerate(coded):
-        data[i, : len(c) // 4] = np.frombuffer(c, "<u4")
+    data = np.zeros((max(map(len, rest)) // 2 + 8, n), np.uint16)
+    for i, c in enumerate(rest):
+        data[: len(c) // 2, i] = np.frombuffer(c, "<u2")
     live = np.searchsorted(-np.array(sizes), -np.arange(length), side="left")
-    model = _Model(n, vocab, np.array([len(x) for x in lists]))
+    model = _Model(n, vocab, np.array([len(x) for x in lists]), inverse=True)
     ids = np.zeros((length, n), np.uint16)
-    low, rng, at_word = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64), np.full(n, 2)
-    code = (data[:, 0].astype(np.uint64) << np.uint64(32)) | data[:, 1]
-
-    def take(at: np.ndarray, lo: np.ndarray, ra: np.ndarray, shift: np.ndarray) -> None:
-        if shift.any():
-            s = at[shift]
-            code[s] = (code[s] << np.uint64(32)) | data[s, np.minimum(at_word[s], data.shape[1] - 1)]
-            at_word[s] += 1
-            lo[shift] <<= np.uint64(32)
-            ra[shift] <<= np.uint64(32)
-        low[at], rng[at] = lo, ra
-
+    code, rng = np.array([LEAST, WORD, 1.0]) @ data[:3].astype(np.float64), np.full(n, FULL)
+    flat, at_word = data.ravel(), 3 * n + np.arange(n)
     done = 0
     for t in range(length):
         m = live[t]
         if _recounts(t):
-            model.recount(np.ascontiguousarray(ids[done:t, :m].T), m)
+            model.recount(np.ascontiguousarray(ids[done:t, :m].T), m, t)
             done = t
         model.predict(m)
-        tot = model.tot.astype(np.uint64)
-        v = np.minimum((code[:m] - low[:m]) // (rng[:m] // tot), tot - np.uint64(1)).astype(np.int64)
-        pick = (v >= model.w0).astype(np.int64) + (v >= model.w01)
-        start = np.where(pick == 0, 0, np.where(pick == 1, model.w0, model.w01))
-        end = np.where(pick == 0, model.w0, np.where(pick == 1, model.w01, model.tot))
-        take(model.lane[:m], *_code(low[:m], rng[:m], start.astype(np.uint64), (end - start).astype(np.uint64), tot))
+        total = model.tot * SLOTS
+        unit = np.floor(rng[:m] / total)
+        v = np.minimum(np.floor(code[:m] / unit), total - 1)
+        literal = v - model.w01 * SLOTS
+        pick = np.where(literal >= 0, 2, v >= model.w0 * SLOTS)
         x = np.where(pick == 0, model.p2, model.p1)
         lit = np.flatnonzero(pick == 2)
-        if len(lit):
-            base = model.base[lit]
-            total = model.flat[base + model.own[lit]].astype(np.uint64)
-            v = np.minimum((code[lit] - low[lit]) // (rng[lit] // total), total - np.uint64(1)).astype(np.uint32)
-            lo = np.zeros(len(lit), np.int64)  # the last place whose sum is at most v
-            step = 1 << max(0, (vocab - 1).bit_length() - 1)
-            while step:
-                mid = lo + step
-                inside = np.minimum(mid, vocab)
-                lo = np.where((mid < vocab) & (model.flat[base + inside] <= v), mid, lo)
-                step >>= 1
-            a, b = model.flat[base + lo].astype(np.uint64), model.flat[base + lo + 1].astype(np.uint64)
-            take(lit, *_code(low[lit], rng[lit], a, b - a, total))
-            x[lit] = lo
+        slot = np.floor(literal[lit] / model.w2[lit]).astype(np.int64)
+        x[lit] = np.minimum(model.symbol.take(model.base_slot[lit] + slot), vocab - 1)  # beyond: only in broken files
+        start, size = model.interval(m, x, pick)
+        code[:m] -= unit * start
+        rng[:m] = np.maximum(unit * size, 1.0)
+        while len(at := np.flatnonzero(rng[:m] < LEAST)):
+            w = at_word.take(at)
+            code[at] = code.take(at) * WORD + flat.take(w, mode="clip")
+            at_word[at] = w + n
+            rng[at] *= WORD
         ids[t, :m] = x
         model.update(m, x, pick)
-    return [lists[i][ids[: sizes[i], i]] for i in range(n)]
+    return [lists[i][np.minimum(ids[: sizes[i], i], len(lists[i]) - 1)] for i in range(n)]
 
 
 def write_file(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, vocab: int) -> bytes:
@@ -267,11 +272,20 @@ def read_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [int(i) if k else None for i, k in zip(doc_ids, known)], lengths, ids
 
 
+def _tied(text: str) -> bool:
+    """Whether a text can't be cut at its spaces; where all white space is single spaces and line ends, words tell at once."""
+    if len(text.split()) - 1 == text.count(" ") + text.count("\n") and "\0" not in text:
+        return False
+    return TIED.search(text) is not None
+
+
 class LibraryPieces:
     """Ids by the tokenizers library, one encoding for each distinct piece.
 
-    The library cuts a text by the same pattern and encodes each piece by
-    itself; texts with one of its special strings are left to it whole.
+    The library cuts a text by a pattern and encodes each piece by itself.  A
+    piece begins at every single space that isn't between white space, so a text
+    is cut there first and the chunks are kept, too; other texts are cut by the
+    pattern.  Texts with one of the library's special strings are left to it whole.
     """
 
     def __init__(self, path: str):
@@ -283,29 +297,54 @@ class LibraryPieces:
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.pieces: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian 16-bit integers."""
-        if any(s in text for s in self.special):
-            return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-        if len(text) <= CHUNK:
-            return self._join(self.pattern.findall(text))
+        self.chunks: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian 16-bit integers."""
+        out: list[bytes] = [b""] * len(texts)
+        for a, b in byte_groups(texts, GROUP):
+            cut: dict[int, list[str]] = {}
+            for i in range(a, b):
+                text = texts[i]
+                if any(s in text for s in self.special):
+                    out[i] = np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+                elif _tied(text):
+                    out[i] = self._by_pattern(text)
+                else:
+                    cut[i] = text.replace(" ", "\0 ").split("\0")
+            self._learn(cut.values())
+            get = self.chunks.__getitem__
+            for i, chunks in cut.items():
+                out[i] = b"".join(map(get, chunks))
+        return out
+
+    def _by_pattern(self, text: str) -> bytes:
         found, parts = (m.group() for m in self.pattern.finditer(text)), []
         while some := list(islice(found, PIECES)):
-            parts.append(self._join(some))
+            known = self._known(set(some))
+            parts.append(b"".join(map(known.__getitem__, some)))
         return b"".join(parts)
 
-    def _join(self, pieces: list[str]) -> bytes:
-        known = self.pieces
-        try:
-            return b"".join(map(known.__getitem__, pieces))
-        except KeyError:
-            if len(known) > MAX_PIECES:
-                known.clear()
-            new = list({p for p in pieces if p not in known})
-            for p, e in zip(new, self.lib.encode_batch_fast(new, add_special_tokens=False)):
-                known[p] = np.array(e.ids, "<u2").tobytes()
-            return b"".join(map(known.__getitem__, pieces))
+    def _learn(self, texts: Iterable[list[str]]) -> None:
+        """Chunks that haven't been met, from their pieces."""
+        if len(self.chunks) > MAX_CHUNKS:
+            self.chunks.clear()
+        cut = {c: self.pattern.findall(c) for c in set().union(*texts).difference(self.chunks)}
+        known = self._known(set().union(*cut.values()))
+        for c, pieces in cut.items():
+            self.chunks[c] = b"".join(map(known.__getitem__, pieces))
+
+    def _known(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of pieces and maybe of others."""
+        if len(self.pieces) > MAX_PIECES:
+            self.pieces.clear()
+        new = list(pieces.difference(self.pieces))
+        if new:
+            got = self.lib.encode(new, is_pretokenized=True, add_special_tokens=False)
+            raw, ends = np.array(got.ids, "<u2").tobytes(), 2 * np.cumsum(np.bincount(got.word_ids, minlength=len(new)))
+            starts = [0, *ends[:-1].tolist()]
+            self.pieces.update(zip(new, (raw[a:b] for a, b in zip(starts, ends.tolist()))))
+        return self.pieces
 
 
 @cache
@@ -332,8 +371,9 @@ def write_ids(df: DataFrame, path: str, tokenizer: str | None = None, end_id: in
             return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "n_ids": n, "file": image}], schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_ids", pa.int64()), ("file", pa.binary())]))
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = lib.encode(text or "") + end
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for doc_id, ids in zip(batch.column(0).to_pylist(), lib.encode(texts)):
+                ids += end
                 if docs and n + len(ids) // 2 > FILE_IDS:
                     yield file()
                     docs, lengths, held, n, seq = [], [], [], 0, seq + 1
