@@ -247,20 +247,20 @@ class _Vocabulary(dict):
 class Predictor:
     def __init__(self, model: Model):
         self.model, self.vocab = model, _Vocabulary()
-        self.scores = np.zeros((0, len(model.labels)), np.float32)
+        self.scores, self.sure = np.zeros((0, len(model.labels)), np.float32), np.zeros(0, bool)
 
-    def words(self, texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """Probabilities of each word (for each text), and which words have scores."""
+    def words(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Probabilities of each word, words of each text, and which words have letters."""
         if len(self.vocab) > MAX_WORDS:
-            self.vocab, self.scores = _Vocabulary(), self.scores[:0]
+            self.vocab, self.scores, self.sure = _Vocabulary(), self.scores[:0], self.sure[:0]
         split = [words_of(t) for t in texts]
         sizes = np.array([len(s) for s in split], np.int64)
         ids = np.fromiter((i for s in split for i in map(self.vocab.__getitem__, s)), np.int64, int(sizes.sum()))
         if self.vocab.new:
             self.scores = np.concatenate([self.scores, self.model.emissions(self.vocab.new)])
+            self.sure = np.concatenate([self.sure, lettered(self.vocab.new)])
             self.vocab.new = []
-        em = self.scores[ids]
-        return posteriors(em, sizes, self.model.trans), sizes, em.any(1)
+        return posteriors(self.scores[ids], sizes, self.model.trans), sizes, self.sure[ids]
 
     def documents(self, texts: list[str | None]) -> tuple[list[str], list[float], list[int]]:
         """Label, share of expected words, and changes of label along the text."""

@@ -61,6 +61,7 @@ def test_odd_rows_and_no_labels(spark):
     got = by_id(langid.identify(df))
     assert len(rows) == len(ODD)
     assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (3, 4, 5, 9))
+    assert all(r.score == 1 for r in rows if r.lang_pred == "en")  # the only label
     bare = langid.identify(table(spark, [(1, "words here", None, None)])).collect()
     assert [(r.lang_pred, r.score) for r in bare] == [("und", 0.0)]
     assert langid.identify(table(spark, [])).collect() == []
