@@ -10,8 +10,9 @@ Equal sets are collapsed first.  Then each band bucket proposes the pairs of
 its members with its smallest id, which is as many as there are members;
 confirmed links give components.  A second pass takes the buckets whose members
 are still in several components and holds members of different components
-against each other, a block of ``BLOCK`` by a block: only sketches are compared
-there, only pairs that pass are emitted, and each once.  So no pair that shares a
+against each other, a block of ``BLOCK`` by a block, by sketches; members that
+have a candidate meet there again with their full sets, and each block emits the
+links that join components, fewer than it has members.  So no pair that shares a
 bucket goes unexamined unless it is connected already.  Two documents of similarity 0.8 share none of the 50 buckets with a probability of
 3e-7.
 
@@ -142,52 +143,85 @@ def _sets(width: int):
     return run
 
 
-def _across(percent: int):
-    """Pairs of different components in blocks of a bucket, sorted by (k, i, j), that sketches don't tell apart.
+COLUMNS = ["k", "i", "j", "own", "doc_id", "g", "n", "odd", "bands"]
+BLOCKS = "k long, i int, j int, own int, doc_id long, g long, n long, odd array<long>, bands array<long>"
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each (k, i, j), by which they are sorted."""
+    held: list[pa.Table] = []
+    key = None
+    for batch in batches:
+        keys = [batch.column(n).to_numpy() for n in "kij"]
+        turn = 1 + np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in keys])) if len(batch) else []
+        for s, e in zip([0, *turn], [*turn, len(batch)]):
+            if e > s:
+                now = tuple(int(x[s]) for x in keys)
+                if held and now != key:
+                    yield pa.concat_tables(held)
+                    held = []
+                key = now
+                held.append(pa.Table.from_batches([batch.slice(s, e - s)]))
+    if held:
+        yield pa.concat_tables(held)
+
+
+class _Block:
+    """Members of a bucket that are held against each other: those of one part, or of two parts across."""
+
+    def __init__(self, rows: pa.Table, percent: int):
+        c = {n: rows.column(n).to_numpy() for n in ("k", "i", "j", "own", "doc_id", "g", "n")}
+        wide = {n: rows.column(n).combine_chunks().flatten().to_numpy().reshape(len(rows), -1) for n in ("odd", "bands")}
+        self.doc_id, self.n, self.root, self.percent = c["doc_id"], c["n"], c["g"].copy(), percent
+        self.odd = wide["odd"].view(np.uint64)  # of negative numbers numpy counts the bits of the absolute value
+        self.bands = wide["bands"]
+        self.place = int(np.argmax((self.bands == c["k"][0]).all(0)))
+        self.one = c["i"][0] == c["j"][0]
+        self.xs, self.ys = np.flatnonzero(c["own"] == c["i"][0]), np.flatnonzero(c["own"] == c["j"][0])
+
+    def near(self, x: int) -> np.ndarray:
+        """Members of other components that sketches don't tell apart from ``x`` and that share no earlier band with it."""
+        y = self.ys[self.ys > x] if self.one else self.ys
+        y = y[self.root[y] != self.root[x]]
+        n = self.n[x]
+        y = y[np.minimum(self.n[y], n) * 100 >= np.maximum(self.n[y], n) * self.percent]
+        y = y[np.bitwise_count(self.odd[y] ^ self.odd[x]).sum(1, dtype=np.int64) <= MOST_ODD]
+        return y[~(self.bands[y, : self.place] == self.bands[x, : self.place]).any(1)]
 
-    A pair is taken in the first band it shares only.
-    """
 
-    def group(c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        place = int(np.argmax((c["bands"] == c["k"][0]).all(0)))
-        xs = np.flatnonzero(c["own"] == c["i"][0])
-        ys = np.flatnonzero(c["own"] == c["j"][0])
-        odd = c["odd"].view(np.uint64)  # of negative numbers numpy counts the bits of the absolute value
-        a, b = [], []
-        for x in xs:
-            y = ys[ys > x] if c["i"][0] == c["j"][0] else ys
-            y = y[c["g"][y] != c["g"][x]]
-            n = c["n"][x]
-            y = y[np.minimum(c["n"][y], n) * 100 >= np.maximum(c["n"][y], n) * percent]
-            y = y[np.bitwise_count(odd[y] ^ odd[x]).sum(1, dtype=np.int64) <= MOST_ODD]
-            y = y[~(c["bands"][y, :place] == c["bands"][x, :place]).any(1)]
-            a.append(np.full(len(y), c["doc_id"][x]))
-            b.append(c["doc_id"][y])
-        a, b = np.concatenate([*a, np.zeros(0, np.int64)]), np.concatenate([*b, np.zeros(0, np.int64)])
-        return np.minimum(a, b), np.maximum(a, b)
+def _across(percent: int):
+    """Of the rows of blocks: those that have a pair to be confirmed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
+        for rows in _groups(batches):
+            block, touched = _Block(rows, percent), np.zeros(len(rows), bool)
+            for x in block.xs:
+                y = block.near(x)
+                touched[y] = True
+                touched[x] |= len(y) > 0
+            yield from rows.filter(pa.array(touched)).combine_chunks().to_batches()
+
+    return run
 
-        def pairs(c: dict[str, np.ndarray], cuts: list[int]) -> pa.RecordBatch:
-            cols: dict[str, list[np.ndarray]] = {n: [np.zeros(0, np.int64)] for n in ("k", "i", "j", "a", "b")}
-            for s, e in zip(cuts, cuts[1:]):
-                if e - s > 1:
-                    a, b = group({n: v[s:e] for n, v in c.items()})
-                    for n, v in (("a", a), ("b", b), *((n, np.full(len(a), c[n][s])) for n in "kij")):
-                        cols[n].append(v)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).astype(np.int64)) for v in cols.values()], names=list(cols))
 
-        for batch in batches:
-            c = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("k", "i", "j", "own", "doc_id", "g", "n")}
-            c |= {n: batch.column(n).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1) for n in ("odd", "bands")}
-            c = {n: np.concatenate([held[n], v]) for n, v in c.items()} if held else c
-            turn = 1 + np.flatnonzero((c["k"][1:] != c["k"][:-1]) | (c["i"][1:] != c["i"][:-1]) | (c["j"][1:] != c["j"][:-1]))
-            cuts = [0, *turn.tolist()]  # the last group may go on
-            yield pairs(c, cuts)
-            held = {n: v[cuts[-1] :] for n, v in c.items()}
-        if held:
-            yield pairs(held, [0, len(held["k"])])
+def _links(percent: int):
+    """Of the rows of blocks with their full sets ``s``: links that join components, at most one a member."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches):
+            block = _Block(rows, percent)
+            sets = [np.frombuffer(s, np.uint64) for s in rows.column("s").to_pylist()]
+            a, b = [], []
+            for x in block.xs:
+                for y in block.near(x):
+                    if block.root[x] == block.root[y]:
+                        continue
+                    both = _shared(sets[x], sets[y])
+                    if both * 100 >= (len(sets[x]) + len(sets[y]) - both) * percent:
+                        a.append(int(block.doc_id[x]))
+                        b.append(int(block.doc_id[y]))
+                        block.root[block.root == block.root[y]] = block.root[x]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b) if a else [], pa.int64()), pa.array(np.maximum(a, b) if a else [], pa.int64())], names=["a", "b"])
 
     return run
 
@@ -201,28 +235,6 @@ def _shared(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.count_nonzero(y[at] == x))
 
 
-def _verify(percent: int):
-    """Rows sorted by (k, i, j, kind): the sets of a block's documents (kind 0), then its pairs; emits those that are links."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, sets = None, {}
-        for batch in batches:
-            links: list[tuple[int, int]] = []
-            for k, i, j, kind, a, b, s in zip(*(c.to_pylist() for c in batch.columns)):
-                if (k, i, j) != key:
-                    key, sets = (k, i, j), {}
-                if kind == 0:
-                    sets[a] = np.frombuffer(s, np.uint64)
-                else:
-                    x, y = sets[a], sets[b]
-                    both = _shared(x, y)
-                    if both * 100 >= (len(x) + len(y) - both) * percent:
-                        links.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in links], pa.int64()) for n in (0, 1)], names=["a", "b"])
-
-    return run
-
-
 @F.arrow_udf(T.LongType())
 def _common(a: pa.Array, b: pa.Array) -> pa.Array:
     """Sizes of intersections of sorted sets."""
@@ -289,12 +301,9 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
         .select("k", "i", "j", "own", "doc_id", "g", "n", "odd", "bands")
     )
     keys = ["k", "i", "j"]
-    across = materialise(blocks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_across(percent), "k long, i long, j long, a long, b long"), "near-across")
-    # a document's set goes once to each block that has pairs of it, not to each pair
-    need = across.select(*keys, F.col("a").alias("doc_id")).unionByName(across.select(*keys, F.col("b").alias("doc_id"))).distinct()
-    held = need.join(sets, "doc_id").select(*keys, F.lit(0).alias("kind"), F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "s")
-    asked = across.select(*keys, F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("s"))
-    more = held.unionByName(asked).repartition(*keys).sortWithinPartitions(*keys, "kind").mapInArrow(_verify(percent), "a long, b long")
+    across = materialise(blocks.select(COLUMNS).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_across(percent), BLOCKS), "near-across")
+    # a document's set goes once to each block that has a pair of it, not to each pair
+    more = across.join(sets, "doc_id").select(*COLUMNS, "s").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_links(percent), "a long, b long")
     more = materialise(more.distinct(), "near-more")
     whole = components(links.unionByName(more).unionByName(same))
     return (

@@ -94,9 +94,14 @@ def test_pairs_across_components_in_blocks():
     cols = {"k": [7] * n, "i": [0] * n, "j": [0] * n, "own": [0] * n, "doc_id": list(range(n)), "g": list(range(n)), "n": [len(s) for s in sets]}
     lists = {"odd": [neardup.odd_sketch(s).tolist() for s in sigs], "bands": bands.tolist()}
     batch = pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in cols.items()} | {k: pa.array(v, pa.list_(pa.int64())) for k, v in lists.items()})
-    got = {(a, b) for out in neardup._across(80)(iter([batch.slice(0, 11), batch.slice(11)])) for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist())}
+    rows = list(neardup._across(80)(iter([batch.slice(0, 11), batch.slice(11)])))
     links = {(a, b) for b in range(n) for a in range(b) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
-    assert len(links) > 300 and links <= got
+    touched = {x for out in rows for x in out["doc_id"].to_pylist()}
+    assert len(links) > 300 and {x for p in links for x in p} <= touched
+    with_sets = pa.Table.from_batches(rows)
+    with_sets = with_sets.append_column("s", pa.array([sets[x].tobytes() for x in with_sets["doc_id"].to_pylist()]))
+    got = {(a, b) for out in neardup._links(80)(iter(with_sets.to_batches())) for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist())}
+    assert got <= links and len(got) == len({x for p in links for x in p}) - 1  # all are reached, by a tree
 
 
 def test_components(spark):
