@@ -32,10 +32,6 @@ def _row(kind: str, read: int, weight: Column | int = 1, a=None, b=None, c=None,
     return F.struct(F.lit(kind).alias("kind"), F.lit(read).alias("read"), num(a).alias("a"), num(b).alias("b"), num(c).alias("c"), num(d).alias("d"), text.cast("string").alias("s"), weight.cast("long").alias("n"))
 
 
-def _when(condition: Column, row: Column) -> Column:
-    return F.when(condition, row)
-
-
 def _match(read: int, searched: Column):
     def row(x: Column) -> Column:
         removed = F.when(x["side"] == 0, x["rstop"]).otherwise(x["size"] - x["rstart"])
@@ -59,16 +55,16 @@ def counts(result: DataFrame, spec: TrimSpec) -> DataFrame:
     for k, (p, side) in enumerate(spec.sides):
         size = F.length(f"{p}sequence")
         m = F.col(f"{p}matches")
-        rows += [_row("bp_in", k, F.length(F.col(f"{p}original")["sequence"])), _when(out, _row("bp_out", k, size)), _when(out, _row("length", k, a=size))]
-        rows.append(_when(F.col(f"{p}quality_trimmed") > 0, _row("quality", k, F.col(f"{p}quality_trimmed"))))
+        rows += [_row("bp_in", k, F.length(F.col(f"{p}original")["sequence"])), F.when(out, _row("bp_out", k, size)), F.when(out, _row("length", k, a=size))]
+        rows.append(F.when(F.col(f"{p}quality_trimmed") > 0, _row("quality", k, F.col(f"{p}quality_trimmed"))))
         if spec.poly_a:
             rows.append(_row("poly_a", k, a=F.col(f"{p}poly_a_trimmed")))
         if side.adapters:
-            rows.append(_when(F.size(m) > 0, _row("with_adapters", k)))
+            rows.append(F.when(F.size(m) > 0, _row("with_adapters", k)))
             more += [F.transform(m, _match(k, F.col(f"{p}searched"))), _on_reverse(k, m, F.coalesce(F.col(f"{p}is_rc"), F.lit(False)))]
     if spec.both_strands:
         p = spec.sides[0][0]
-        rows.append(_when(F.coalesce(F.col(f"{p}is_rc"), F.lit(False)), _row("rc", 0)))
+        rows.append(F.when(F.coalesce(F.col(f"{p}is_rc"), F.lit(False)), _row("rc", 0)))
     each = F.flatten(F.array(F.filter(F.array(*rows), lambda x: x.isNotNull()), *more)) if more else F.filter(F.array(*rows), lambda x: x.isNotNull())
     return result.select(F.explode(each).alias("x")).select("x.*").groupBy(*KEYS).agg(F.sum("n").alias("n"))
 

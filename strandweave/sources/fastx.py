@@ -18,7 +18,6 @@ import io
 import lzma
 import struct
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -456,6 +455,3 @@ def pair_up(reads: DataFrame) -> DataFrame:
     both = reads.groupBy(F.expr("rid div 2").alias("pair")).agg(*[F.max(F.when(F.pmod("rid", F.lit(2)) == k, row)).alias(f"r{k + 1}") for k in (0, 1)])
     return _checked_pairs(both.select(F.col("pair").alias("rid"), *[F.col(f"r{k}")[c].alias(f"{c}{k}") for k in (1, 2) for c in ("name", "sequence", "qualities")]))
 
-
-def concat_lines(parts: list[list[str]]) -> list[str]:
-    return list(chain.from_iterable(parts))
