@@ -86,6 +86,22 @@ def test_junk_is_rejected_and_prose_stays(spark):
     assert all(got[i] for i in range(80)) and not got[1000] and not got[1001]
 
 
+def test_each_statistic_rejects_by_itself(spark):
+    words = lambda i, n: [f"w{(i * 31 + j * 17) % 997}{'abcdefgh'[: (i + j) % 5]}" for j in range(n)]
+    prose = [(i, " ".join(words(i, 80)), "en", "web") for i in range(80)]
+    same = " ".join(words(500, 100)[:15])
+    repeats = " ".join([same] * 3 + words(501, 55))  # 45 of 100 words
+    symbols = " ".join(words(502, 76) + ["%#&|"] * 4)
+    longer = " ".join(w + "xx" for w in words(503, 80))
+    lines = "\n".join(" ".join(words(504 + i, 20)) for i in range(4)) + "\nab cd\nab cd\nab cd\nab cd"
+    one = " ".join(words(505, 77) + words(505, 3))  # a repeated window and a symbol stay
+    odd = [(1000, repeats, "en", "web"), (1001, symbols, "en", "web"), (1002, longer, "en", "web"), (1003, lines, "en", "web"), (1004, one + " %", "en", "web")]
+    assert base(repeats)[4] == 45 and base(lines)[3] == 3 and base(one)[4] == 6
+    got = {r.doc_id: (r.base_failed, r.kept) for r in o.judge(table(spark, prose + odd)).collect()}
+    assert all(got[i] == (False, True) for i in [*range(80), 1004])
+    assert [got[i] for i in range(1000, 1004)] == [(False, False)] * 4
+
+
 def test_odd_rows(spark):
     df = table(spark, ODD)
     got = sorted((tuple(r[c] for c in COLS) for r in o.judge(df).collect()), key=str)
