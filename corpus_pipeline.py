@@ -23,8 +23,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes lines seen before; a document that loses lines and has no line of full length left goes."""
-    out = linededup.dedup_lines(docs).where("n_removed = 0 or n_left > 0")
+    """Removes lines seen before.
+
+    A document that loses lines and has none of full length left goes, unless
+    one of its shorter lines is in no earlier document (by id and hash of the
+    text): what is left of a copy goes, and every line stays where it is first.
+    """
+    reduced = materialise(linededup.dedup_lines(docs.withColumn("__dk", F.xxhash64("text"))), "lines-reduced")
+    line = F.btrim("line", F.lit(linededup.SPACE)).alias("l")
+    short = docs.select("doc_id", F.xxhash64("text").alias("dk"), F.explode(F.split("text", "\n")).alias("line")).select("doc_id", "dk", line)
+    short = short.where((F.length("l") > 0) & (F.length("l") < linededup.MIN_CHARS))
+    first = short.groupBy("l").agg(F.min(F.struct("doc_id", "dk")).alias("o")).select(F.col("o.doc_id").alias("__i"), F.col("o.dk").alias("__k")).distinct()
+    bare = F.expr("n_removed > 0 and n_left = 0")
+    own = reduced.where(bare).join(first.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("__dk") == F.col("__k")), "left_semi")
+    out = reduced.where(~bare).unionByName(own)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 

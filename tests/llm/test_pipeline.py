@@ -55,6 +55,22 @@ def test_stage_by_stage(spark):
         docs = out
 
 
+def test_short_lines_of_their_own_stay(spark):
+    licence = "this line is in every document of the collection"
+    docs = [
+        (1, f"{licence}\nsome prose that is long enough to stay", "en", "web"),
+        (2, f"{licence}\nto be\nor not\nto be", "en", "web"),
+        (3, f"{licence}\nto be\nor not", "en", "web"),  # all of it is in earlier documents
+        (4, f"{licence}\n \n", "en", "web"),
+        (5, f"{licence}\nor not\n漢字", "zh", "web"),
+        (None, f"{licence}\nfirst of all", "en", "web"),
+        (6, f"{licence}\nfirst of all", "en", "web"),
+        (7, "or not", "en", "web"),
+    ]
+    got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, table(spark, docs), SF).collect()}
+    assert got == {None: f"{licence}\nfirst of all", 1: "some prose that is long enough to stay", 2: "to be\nor not\nto be", 5: "or not\n漢字", 7: "or not"}
+
+
 def test_odd_rows(spark):
     docs = table(spark, ODD)
     for name, stage in corpus_pipeline.STAGES:
