@@ -41,12 +41,22 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group; rows with null id stay."""
+    """Keeps the row with the smallest id, then hash of the text, of each group; rows with null id stay.
+
+    Rows of one id with several texts are several documents; those of one id and
+    text are one, the first by language and source.
+    """
     from pyspark.sql import Window
 
-    kept = neardup.near_duplicates(docs, width=5).where("kept and doc_id is not null").select("doc_id").distinct()
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    rows = docs.join(kept.hint("merge"), "doc_id", "left_semi").withColumn("__one", one).where("__one = 1")
+    keyed = docs.withColumn("__dk", F.xxhash64("text"))
+    node = F.xxhash64("doc_id", F.lit("near"), "text")
+    nodes = keyed.where("doc_id is not null").select("doc_id", "__dk", "text", node.alias("__node"))
+    found = neardup.near_duplicates(nodes, width=5, id_col="__node").select(F.col("doc_id").alias("__node"), F.col("component_id").alias("__g")).distinct()
+    ids = nodes.select("doc_id", "__dk", "__node").distinct()
+    least = ids.join(found.hint("merge"), "__node").groupBy("__g").agg(F.min(F.struct("doc_id", "__dk")).alias("__o"))
+    kept = materialise(least.select(F.col("__o.doc_id").alias("doc_id"), F.col("__o.__dk").alias("__dk")), "near-kept")
+    one = F.row_number().over(Window.partitionBy("doc_id", "__dk").orderBy("lang", "source"))
+    rows = keyed.join(kept.hint("merge"), ["doc_id", "__dk"], "left_semi").withColumn("__one", one).where("__one = 1")
     return rows.select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 

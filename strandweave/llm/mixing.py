@@ -55,12 +55,18 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_
 
     ``epochs`` whole passes and then the first ``part`` words; taken is their sum in words.
     """
+    return _decide(df, id_col, source_col, text_col, max_epochs, weights).drop("dk")
+
+
+def _decide(df: DataFrame, id_col: str, source_col: str, text_col: str, max_epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """The rows of ``mix`` with dk, the hash of the text, by which those of one id are told apart."""
     sized = materialise(
         df.select(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).alias("source"),
             n_words(F.col(text_col)).alias("size"),
             F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary")).alias("key"),
+            F.xxhash64(F.col(text_col)).alias("dk"),
         ),
         "mix-sizes",
     ).withColumn("rng", F.substring("key", 1, RANGE_DIGITS))
@@ -88,7 +94,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_
         "mix-ends",
     )
     rows = sized.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).select("d.*", "p.source_size", "p.target", "p.epochs", "p.budget", "p.end_rng", "p.before")
-    inner = Window.partitionBy("source", "rng").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inner = Window.partitionBy("source", "rng").orderBy("key", "doc_id", "size", "dk").rowsBetween(Window.unboundedPreceding, 0)
     at_end = rows.where(F.col("rng") == F.col("end_rng")).withColumn("start", F.col("before") + F.sum("size").over(inner) - F.col("size"))
     cut = at_end.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("budget") - F.col("start")))).drop("start")
     # sources of size 0 have no end; their documents have nothing to take
@@ -96,21 +102,30 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_
         "part", F.when(F.coalesce(F.col("rng") < F.col("end_rng"), F.lit(False)), F.col("size")).otherwise(0)
     )
     return others.unionByName(cut).select(
-        "doc_id", "source", "size", "source_size", "target", "epochs", F.col("part").cast("long").alias("part"), (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken")
+        "doc_id", "dk", "source", "size", "source_size", "target", "epochs", F.col("part").cast("long").alias("part"), (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken")
     )
 
 
 def apply_mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``df`` as the mix takes them: once an epoch, and the one a budget ends in cut after its last word taken.
 
-    Rows of one id and source count as one here.
+    Each row has a decision of its own; those of rows with equal id, source and
+    text differ in ``part`` at most and are dealt out by the other columns' hash.
     """
-    got = mix(df, id_col, source_col, text_col, **options).where("taken > 0").select(F.col("doc_id").alias("i"), F.col("source").alias("s"), "epochs", "part", "size").dropDuplicates(["i", "s"])
-    got = materialise(got, "mix-taken")
-    rows = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
-    both = rows.join(got.hint("merge"), F.col("id").eqNullSafe(F.col("i")) & F.col("source").eqNullSafe(F.col("s")))
+    got = _decide(df, id_col, source_col, text_col, **options)
+    # one string as the key, nulls included, so that the window and the join share a shuffle
+    named = lambda i, s, k: F.to_json(F.struct(i.alias("i"), s.alias("s"), k.alias("k")), {"ignoreNullFields": "false"})
+    got = got.groupBy(named(F.col("doc_id"), F.col("source"), F.col("dk")).alias("whose")).agg(F.max("epochs").alias("epochs"), F.max("size").alias("size"), F.sum("part").alias("parts"))
+    got = materialise(got.where("size > 0 and (epochs > 0 or parts > 0)"), "mix-taken")
+    who = named(F.col(id_col), F.col(source_col), F.xxhash64(F.col(text_col))).alias("who")
+    rows = df.select(F.struct("*").alias("row"), who, F.col(text_col).alias("text"))
+    rows = rows.withColumn("at", F.row_number().over(Window.partitionBy("who").orderBy(F.xxhash64("row"))) - 1)
+    each = rows.join(got.hint("merge"), F.col("who") == F.col("whose"))
+    # whole parts first, then the one in which the budget ends
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("parts") - F.col("at") * F.col("size")))
+    each = each.withColumn("part", part)
     copies = F.col("epochs") + F.when(F.col("part") > 0, 1).otherwise(0)
-    each = both.withColumn("copy", F.explode(F.sequence(F.lit(1), copies.cast("int"))))
+    each = each.where(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), copies.cast("int"))))
     head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("part").cast("int")), " ")
     text = F.when((F.col("copy") > F.col("epochs")) & (F.col("part") < F.col("size")), head).otherwise(F.col("text"))
     return each.select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in df.columns])

@@ -54,3 +54,22 @@ def test_mix_is_applied(spark):
     for r in out.collect():
         words[r.doc_id] += len(WORD.findall(r.text))
     assert words == {r.doc_id: r.taken for r in plan if r.taken}
+
+
+def test_each_row_of_one_id_has_its_own_decision(spark):
+    rows = [(None, " ".join(f"w{i}x{j}" for j in range(i + 1)), None, "a") for i in range(20)] + [(7, " ".join(["b"] * n), None, "a") for n in (3, 3, 3, 40, 40)] + [(i, "c d e f", None, "b") for i in range(100, 160)]
+    df = table(spark, rows)
+    plan, want, got = mixing.mix(df).collect(), Counter(), Counter()
+    for r in plan:
+        want[r.doc_id, r.source] += r.taken
+    out = mixing.apply_mix(df).collect()
+    for r in out:
+        got[r.doc_id, r.source] += len(WORD.findall(r.text))
+    assert got == +want
+    # every word is taken as often as the plan says, row by row
+    per_row = Counter()
+    for r in out:
+        if r.doc_id is None:
+            per_row[r.text.split("x")[0]] += len(WORD.findall(r.text))
+    taken = {f"w{r.size - 1}": r.taken for r in plan if r.doc_id is None and r.taken}
+    assert per_row == taken and len(taken) > 1

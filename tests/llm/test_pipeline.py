@@ -71,6 +71,14 @@ def test_short_lines_of_their_own_stay(spark):
     assert got == {None: f"{licence}\nfirst of all", 1: "some prose that is long enough to stay", 2: "to be\nor not\nto be", 5: "or not\n漢字", 7: "or not"}
 
 
+def test_rows_of_one_id_with_several_texts_are_several(spark):
+    a, b, c = ("\n".join(f"{x} {i} of {x}" for i in range(40)) for x in ("apple", "brick", "cloud"))
+    docs = [(1, a, "en", "web"), (1, b, "en", "web"), (1, b, "en", "web"), (1, None, "en", "web"), (2, b + " end", "en", "web"), (2, c, "en", "web"), (None, a, "en", "web"), (None, a, "en", "web")]
+    got = corpus_pipeline.near_copies(spark, table(spark, docs), SF)
+    want = [(1, a), (1, b), (1, None), (2, c), (None, a), (None, a)]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_odd_rows(spark):
     docs = table(spark, ODD)
     for name, stage in corpus_pipeline.STAGES:
