@@ -273,9 +273,7 @@ def read_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 
 def _tied(text: str) -> bool:
-    """Whether a text can't be cut at its spaces; where all white space is single spaces and line ends, words tell at once."""
-    if len(text.split()) - 1 == text.count(" ") + text.count("\n") and "\0" not in text:
-        return False
+    """Whether a text can't be cut at its spaces."""
     return TIED.search(text) is not None
 
 

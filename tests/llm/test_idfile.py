@@ -77,3 +77,8 @@ def test_documents(spark, odd):
 
 def test_empty_table(spark):
     assert idfile.write_and_read(table(spark, [])).collect() == []
+
+
+def test_spaces_that_are_balanced_by_other_white_space():
+    assert idfile._tied("a   b\tc\td") and idfile._tied("a\n \nb\tc\td")
+    assert not idfile._tied("a b\tc\nd")
