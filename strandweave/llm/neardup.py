@@ -6,15 +6,20 @@ bitmap (odd sketch), and the population count of two bitmaps' XOR estimates
 their similarity well where it is high, so that most false candidates end
 there.  What remains is confirmed on the full shingle sets.
 
-Equal sets are collapsed first.  Then each band bucket proposes the pairs of
-its members with its smallest id, which is as many as there are members;
-confirmed links give components.  A second pass takes the buckets whose members
-are still in several components and holds members of different components
-against each other, a block of ``BLOCK`` by a block, by sketches; members that
-have a candidate meet there again with their full sets, and each block emits the
-links that join components, fewer than it has members.  So no pair that shares a
-bucket goes unexamined unless it is connected already.  Two documents of similarity 0.8 share none of the 50 buckets with a probability of
-3e-7.
+Equal sets are collapsed first.  Then links are found in rounds, each linear in
+the members of buckets.  Every bucket proposes the pairs of its members with its
+smallest id; confirmed links give components.  Buckets whose members are still
+in several components elect a centre, the member whose sketch is nearest to the
+majority of all its sketches (the text that the others are copies of, where
+there is one), and propose the pairs with that.  What is mixed even then and
+has at most ``GROUP`` members is compared in full within one task: members of
+different components by sketches, those with a candidate by their full sets,
+with as many links as join components.  Larger buckets are split by ``SPLITS``
+keys of further MinHash samples each, again and again (a pair shares about 13 of
+the 50 buckets and all of them have to fail), and after ``LEVELS`` such steps by
+blocks of ``GROUP`` against blocks.  Each bucket is split by other keys.  So no pair that shares a bucket stays
+unexamined unless it is connected already.  Two documents of similarity 0.8
+share none of the 50 buckets with a probability of 3e-7.
 
 Words: runs of characters other than ASCII white space, A-Z in lower case.  A
 text with fewer words than a shingle is one shingle; without words (or null) it
@@ -44,10 +49,12 @@ SAMPLES = ROWS * BANDS
 LEAST_ESTIMATE = 0.65
 #: XOR population counts above this mean a lower estimate.
 MOST_ODD = math.floor(BITS / 2 * (1 - math.exp(-4 * SAMPLES * (1 - LEAST_ESTIMATE) / BITS)))
-#: Members of a bucket that are compared with others at a time.
-BLOCK = 256
-#: Words remembered before the cache starts anew; bytes split at a time.
-MAX_WORDS, CHUNK = 400_000, 1 << 22
+#: Members of a bucket that are compared in one task; members from which on a bucket elects a centre.
+GROUP, ELECT = 1024, 16
+#: Keys that a larger bucket is split by, and how often at most.
+SPLITS, LEVELS = 8, 3
+#: Words of at most so many bytes are remembered, so many before the cache starts anew; bytes split at a time.
+WORD_BYTES, MAX_WORDS, CHUNK = 64, 200_000, 1 << 22
 
 _rng = np.random.default_rng(20240229)
 _MUL = _rng.integers(0, 1 << 32, SAMPLES, np.uint32) | np.uint32(1)
@@ -57,9 +64,11 @@ _ODD = _rng.integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
 class Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > MAX_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= WORD_BYTES:
+            if len(self) > MAX_WORDS:
+                self.clear()
+            self[word] = h
         return h
 
 
@@ -143,16 +152,28 @@ def _sets(width: int):
     return run
 
 
-COLUMNS = ["k", "i", "j", "own", "doc_id", "g", "n", "odd", "bands"]
-BLOCKS = "k long, i int, j int, own int, doc_id long, g long, n long, odd array<long>, bands array<long>"
+def _splits(level: int):
+    """Rows (doc_id, s) to (doc_id, splits): band keys of MinHash samples that no other level has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [band_keys(samples(_mix(np.frombuffer(s.as_buffer(), np.uint64) * _ODD[43] + _ODD[44 + level]))) for s in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "splits"])
+
+    return run
+
+
+KEYS = ["k", "i", "j"]
+COLUMNS = [*KEYS, "own", "doc_id", "g", "n", "odd", "bands", "split"]
+BLOCKS = "k long, i int, j int, own int, doc_id long, g long, n long, odd array<long>, bands array<long>, split array<long>"
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of each (k, i, j), by which they are sorted."""
+def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
+    """The rows of each value of the columns ``names``, by which they are sorted."""
     held: list[pa.Table] = []
     key = None
     for batch in batches:
-        keys = [batch.column(n).to_numpy() for n in "kij"]
+        keys = [batch.column(n).to_numpy() for n in names]
         turn = 1 + np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in keys])) if len(batch) else []
         for s, e in zip([0, *turn], [*turn, len(batch)]):
             if e > s:
@@ -166,34 +187,60 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.concat_tables(held)
 
 
+def _wide(rows: pa.Table, name: str) -> np.ndarray:
+    return rows.column(name).combine_chunks().flatten().to_numpy().reshape(len(rows), -1)
+
+
+def _off_centre(odd: np.ndarray) -> np.ndarray:
+    """For each sketch the bits in which it differs from the majority."""
+    bits = np.unpackbits(np.ascontiguousarray(odd).view(np.uint8), axis=1)
+    return (bits != (2 * bits.sum(0, dtype=np.int64) > len(bits))).sum(1)
+
+
+def _elect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (k, j, doc_id, odd) for each (k, j): the member nearest to the majority, and how far it is off."""
+    for rows in _groups(batches, ["k", "j"]):
+        off = _off_centre(_wide(rows, "odd"))
+        at = int(np.argmin(off))
+        yield pa.RecordBatch.from_arrays([pa.array([rows.column("k")[0].as_py()], pa.int64()), pa.array([rows.column("doc_id")[at].as_py()], pa.int64()), pa.array([int(off[at])], pa.int64())], names=["k", "c", "off"])
+
+
 class _Block:
     """Members of a bucket that are held against each other: those of one part, or of two parts across."""
 
     def __init__(self, rows: pa.Table, percent: int):
         c = {n: rows.column(n).to_numpy() for n in ("k", "i", "j", "own", "doc_id", "g", "n")}
-        wide = {n: rows.column(n).combine_chunks().flatten().to_numpy().reshape(len(rows), -1) for n in ("odd", "bands")}
         self.doc_id, self.n, self.root, self.percent = c["doc_id"], c["n"], c["g"].copy(), percent
-        self.odd = wide["odd"].view(np.uint64)  # of negative numbers numpy counts the bits of the absolute value
-        self.bands = wide["bands"]
-        self.place = int(np.argmax((self.bands == c["k"][0]).all(0)))
+        self.odd = _wide(rows, "odd").view(np.uint64)  # of negative numbers numpy counts the bits of the absolute value
+        self.bands = _wide(rows, "bands")
+        found = np.flatnonzero((self.bands == c["k"][0]).all(0))
+        self.place = int(found[0]) if len(found) else 0  # what a bucket was split into has none
+        # a shared band counts as examined unless its bucket is so large that it is split
+        self.earlier = self.bands[:, : self.place]
+        self.unsplit = ~np.isin(self.earlier, rows.column("split").combine_chunks().flatten().to_numpy())
         self.one = c["i"][0] == c["j"][0]
         self.xs, self.ys = np.flatnonzero(c["own"] == c["i"][0]), np.flatnonzero(c["own"] == c["j"][0])
+        # a likely centre comes first, so that most pairs are connected when their turn comes
+        order = np.argsort(_off_centre(self.odd), kind="stable")
+        self.rank = np.empty(len(order), np.int64)
+        self.rank[order] = np.arange(len(order))
+        self.xs = self.xs[np.argsort(self.rank[self.xs])]
 
     def near(self, x: int) -> np.ndarray:
         """Members of other components that sketches don't tell apart from ``x`` and that share no earlier band with it."""
-        y = self.ys[self.ys > x] if self.one else self.ys
+        y = self.ys[self.rank[self.ys] > self.rank[x]] if self.one else self.ys
         y = y[self.root[y] != self.root[x]]
         n = self.n[x]
         y = y[np.minimum(self.n[y], n) * 100 >= np.maximum(self.n[y], n) * self.percent]
         y = y[np.bitwise_count(self.odd[y] ^ self.odd[x]).sum(1, dtype=np.int64) <= MOST_ODD]
-        return y[~(self.bands[y, : self.place] == self.bands[x, : self.place]).any(1)]
+        return y[~((self.earlier[y] == self.earlier[x]) & self.unsplit[x]).any(1)]
 
 
 def _across(percent: int):
     """Of the rows of blocks: those that have a pair to be confirmed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _groups(batches):
+        for rows in _groups(batches, KEYS):
             block, touched = _Block(rows, percent), np.zeros(len(rows), bool)
             for x in block.xs:
                 y = block.near(x)
@@ -208,9 +255,9 @@ def _links(percent: int):
     """Of the rows of blocks with their full sets ``s``: links that join components, at most one a member."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _groups(batches):
+        for rows in _groups(batches, KEYS):
             block = _Block(rows, percent)
-            sets = [np.frombuffer(s, np.uint64) for s in rows.column("s").to_pylist()]
+            sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in rows.column("s")]
             a, b = [], []
             for x in block.xs:
                 for y in block.near(x):
@@ -255,23 +302,35 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
         raise ValueError("the bands are laid out for similarities of 0.8 or more")
     docs = df.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text")
     sketched = materialise(docs.mapInArrow(_sketch(width), "doc_id long, n long, f1 long, f2 long, bands array<long>, odd array<long>"), "near-sketches")
-    inner = sketched.where("n > 0 and doc_id is not null")
-    classes = inner.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
-    # rows of one id with several texts are one node too: the least class stands for all
-    members = materialise(sketched.select("doc_id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"], "left").select("doc_id", "n", "rep"), "near-members")
-    same = members.where("rep is not null and doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    reps = materialise(inner.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "f1", "f2"]), "near-reps")
+    inner, own = sketched.where("n > 0 and doc_id is not null"), ["n", "f1", "f2"]
+    # written, so that the join reads two plain shuffles and a set with very many copies can be split
+    several = inner.groupBy(own).agg(F.min("doc_id").alias("rep"), F.count("*").alias("m")).where("m > 1").drop("m")
+    several = materialise(several, "near-classes")
+    members = materialise(inner.select("doc_id", *own).join(several, own, "left").withColumn("rep", F.coalesce("rep", "doc_id")), "near-members")
+    same = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    # an id with several texts is one node: a class whose least id it is stands under it
+    others = members.where("doc_id <> rep").select("doc_id", *own).distinct()
+    reps = materialise(inner.join(others, ["doc_id", *own], "left_anti").dropDuplicates(["doc_id", *own]), "near-reps")
     buckets = reps.select("doc_id", F.explode("bands").alias("k"))
     centres = buckets.groupBy("k").agg(F.min("doc_id").alias("c"), F.max("doc_id").alias("d")).where("c <> d")
     full = materialise(buckets.join(centres.select("k", "c"), "k"), "near-buckets")  # only buckets of two and more
-    about = reps.select("doc_id", "n", "odd")
+    about = reps.select("doc_id", "n", "odd", "bands")
 
     # one shuffle of the texts brings the full sets of all documents that share a bucket
     ids = full.select("doc_id").distinct()
     sets = materialise(docs.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, s binary").dropDuplicates(), "near-sets")
 
-    def confirmed(near: DataFrame, name: str) -> DataFrame:
-        """Of distinct pairs (a, b): those whose full sets are similar enough."""
+    def star(pairs: DataFrame, name: str) -> DataFrame:
+        """Of pairs (a, b): those whose sketches, then full sets are similar enough."""
+        near = materialise(
+            pairs.distinct()
+            .join(about.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("odd").alias("oa")), "a")
+            .join(about.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("ob")), "b")
+            .where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+            .where(_odd_count("oa", "ob") <= MOST_ODD)
+            .select("a", "b").distinct(),
+            f"{name}-near",
+        )
         shared = (
             near.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
             .join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
@@ -280,34 +339,65 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
         union = (F.octet_length("sa") + F.octet_length("sb")) / 8 - F.col("common")
         return materialise(shared.where(F.col("common") * 100 >= union * percent).select("a", "b").distinct(), name)
 
-    stars = (
-        full.where("doc_id <> c").select(F.col("c").alias("a"), F.col("doc_id").alias("b")).distinct()
-        .join(about.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("odd").alias("oa")), "a")
-        .join(about.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("ob")), "b")
-        .where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-        .where(_odd_count("oa", "ob") <= MOST_ODD)
-        .select("a", "b")
-        .distinct()
-    )
-    links = confirmed(materialise(stars, "near-stars"), "near-links")
-    found = components(links)
-    placed = full.select("k", "doc_id").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("k", "doc_id", F.coalesce("component", "doc_id").alias("g"))
-    mixed = placed.groupBy("k").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("k", "m")
-    open_ = placed.join(mixed, "k").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    blocks = (
-        open_.select("k", "doc_id", "g", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "g")
-        .join(reps.select("doc_id", "n", "odd", "bands"), "doc_id")
-        .select("k", "i", "j", "own", "doc_id", "g", "n", "odd", "bands")
-    )
-    keys = ["k", "i", "j"]
-    across = materialise(blocks.select(COLUMNS).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_across(percent), BLOCKS), "near-across")
-    # a document's set goes once to each block that has a pair of it, not to each pair
-    more = across.join(sets, "doc_id").select(*COLUMNS, "s").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_links(percent), "a long, b long")
-    more = materialise(more.distinct(), "near-more")
-    whole = components(links.unionByName(more).unionByName(same))
+    def mixed(placed: DataFrame) -> DataFrame:
+        """(k, doc_id, g, m) of the buckets of (k, doc_id, g) that have members of several components."""
+        several = placed.groupBy("k").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
+        return placed.join(several.select("k", "m"), "k")
+
+    def placed(at: DataFrame, links: DataFrame) -> DataFrame:
+        return at.select("k", "doc_id").join(components(links).withColumnRenamed("id", "doc_id"), "doc_id", "left").select("k", "doc_id", F.coalesce("component", "doc_id").alias("g"))
+
+    links = star(full.where("doc_id <> c").select(F.col("c").alias("a"), F.col("doc_id").alias("b")), "near-first")
+    open_ = materialise(mixed(placed(full, links)), "near-mixed")
+    large = open_.where(F.col("m") >= ELECT)
+    if not large.isEmpty():
+        part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("m") / GROUP)).cast("int")
+        voters = large.join(about, "doc_id").select("k", part.alias("j"), "doc_id", "odd")
+        elected = voters.repartition("k", "j").sortWithinPartitions("k", "j", "doc_id").mapInArrow(_elect, "k long, c long, off long").groupBy("k").agg(F.min(F.struct("off", "c")).alias("x"))
+        centred = large.join(materialise(elected.select("k", "x.c"), "near-elected"), "k").where("doc_id <> c")
+        links = materialise(links.unionByName(star(centred.select(F.least("c", "doc_id").alias("a"), F.greatest("c", "doc_id").alias("b")), "near-second")), "near-links")
+        open_ = materialise(mixed(placed(open_, links)), "near-mixed")
+
+    split = open_.where(F.col("m") > GROUP).groupBy("doc_id").agg(F.collect_set("k").alias("split"))
+    any_split = not split.isEmpty()
+
+    def compared(at: DataFrame, whole: bool) -> DataFrame:
+        """Links of buckets (k, doc_id, g, m) by full comparison; unless ``whole``, in blocks."""
+        if whole:
+            parts = at.select("k", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("own"), "doc_id", "g")
+        else:
+            at = at.withColumn("blocks", F.ceil(F.col("m") / GROUP).cast("int")).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+            at = at.select("k", "doc_id", "g", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+            parts = at.select("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "g")
+        none = F.array().cast("array<long>")
+        blocks = parts.join(about, "doc_id")
+        blocks = blocks.join(split, "doc_id", "left").withColumn("split", F.coalesce("split", none)) if any_split else blocks.withColumn("split", none)
+        blocks = blocks.select(COLUMNS)
+        across = materialise(blocks.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(_across(percent), BLOCKS), "near-across")
+        # a document's set goes once to each block that has a pair of it, not to each pair
+        more = across.join(sets, "doc_id").select(*COLUMNS, "s").repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(_links(percent), "a long, b long")
+        return materialise(more.distinct(), "near-more")
+
+    if any_split:
+        split = materialise(split, "near-split")
+    links = links.unionByName(compared(open_.where(F.col("m") <= GROUP), True))
+    for level in range(LEVELS):
+        large = open_.where(F.col("m") > GROUP)
+        if large.isEmpty():
+            break
+        keys = sets.join(large.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_splits(level), "doc_id long, splits array<long>")
+        place = F.pmod(F.xxhash64("k") + F.col("turn"), F.lit(BANDS)).cast("int")
+        turns = large.select("k", "doc_id").join(keys, "doc_id").withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))))
+        finer = turns.select(F.xxhash64("k", "turn", F.get("splits", place)).alias("k"), "doc_id").distinct()
+        open_ = materialise(mixed(placed(materialise(finer, "near-finer"), links)), "near-mixed")
+        links = links.unionByName(compared(open_.where(F.col("m") <= GROUP), True))
+    else:
+        if not open_.where(F.col("m") > GROUP).isEmpty():
+            links = links.unionByName(compared(open_.where(F.col("m") > GROUP), False))
+    whole = components(links.unionByName(same))
+    counts = sketched.select("doc_id", F.col("n").alias("n_shingles"))
     return (
-        members.join(whole.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+        counts.join(whole.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )

@@ -58,6 +58,35 @@ def test_chains_of_edits_and_copies(spark):
     assert found(table(spark, [(i, t, None, None) for i, t in rows]), 4) == plainly(rows, 4)
 
 
+def near_copies(n, seed, off=0.06, size=120):
+    """Copies of one text that resemble it, but each other hardly."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(5000)}" for _ in range(size)]
+    rows = [(rng.randrange(10**6), " ".join(base))]
+    for _ in range(n):
+        words = list(base)
+        for at in rng.sample(range(size), max(1, int(size * off / 4 * rng.uniform(0.5, 1.6)))):
+            words[at] = f"v{rng.randrange(10**6)}"
+        rows.append((rng.randrange(10**6), " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("group, elect, levels", [(1024, 4, 3), (8, 10**6, 3), (8, 10**6, 1)])
+def test_groups_around_a_hidden_centre(spark, monkeypatch, group, elect, levels):
+    """By elected centres, by buckets that are split, and by blocks of buckets."""
+    for k, v in (("GROUP", group), ("ELECT", elect), ("LEVELS", levels)):
+        monkeypatch.setattr(neardup, k, v)
+    rows = [r for seed in range(3) for r in near_copies(40, seed, 0.03 + 0.03 * seed)]
+    got, want = found(table(spark, [(i, t, None, None) for i, t in rows]), 4), plainly(rows, 4)
+    assert got == want and len({r[2] for r in want}) < len(want)
+
+
+def test_the_member_nearest_to_the_majority_is_elected():
+    sets = [set(t.split()) for _, t in near_copies(50, 3)]
+    odd = np.stack([neardup.odd_sketch(neardup.samples(np.array(sorted(hash(w) % (1 << 63) for w in s), np.uint64))) for s in sets])
+    assert int(np.argmin(neardup._off_centre(odd))) == 0
+
+
 def test_odd_rows(spark):
     assert found(table(spark, ODD), 4) == plainly([(i, t) for i, t, _, _ in ODD], 4)
     assert found(table(spark, []), 4) == []
@@ -92,7 +121,7 @@ def test_pairs_across_components_in_blocks():
     bands = np.stack([neardup.band_keys(s) for s in sigs])
     bands[:, 0] = 7  # they all meet in the first band
     cols = {"k": [7] * n, "i": [0] * n, "j": [0] * n, "own": [0] * n, "doc_id": list(range(n)), "g": list(range(n)), "n": [len(s) for s in sets]}
-    lists = {"odd": [neardup.odd_sketch(s).tolist() for s in sigs], "bands": bands.tolist()}
+    lists = {"odd": [neardup.odd_sketch(s).tolist() for s in sigs], "bands": bands.tolist(), "split": [[]] * n}
     batch = pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in cols.items()} | {k: pa.array(v, pa.list_(pa.int64())) for k, v in lists.items()})
     rows = list(neardup._across(80)(iter([batch.slice(0, 11), batch.slice(11)])))
     links = {(a, b) for b in range(n) for a in range(b) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
