@@ -1,17 +1,24 @@
 """Token-id files by an adaptive context-mixing range coder.
 
 Ids are cut into blocks of ``BLOCK``, each coded by itself with a model that
-starts anew and a checksum over its ids.  For every id, the order-2 and order-1
-contexts (the two ids and the one id before it) each predict the id that
-followed them last, with a confidence; order 0 predicts by adaptive counts that
-are summed anew after 256, 1024, ... ids.  The three are mixed by adaptive
-weights, kept for each combination of confidences: an id is coded by whether the
-order-2 prediction, the order-1 prediction or the order-0 distribution gives it,
-in the last case within that share by its counts.  Counts are kept for the ids
-that a block has; their list stands before the block.  The range coder has 16-bit
-words and a state of whole numbers in float64, in which its quotients are exact.
-All blocks of a file advance together, one id at a time, with numpy across
-blocks, so coding is by vector operations although each block is sequential.
+starts anew and a checksum over its ids.  An id's probability is a mixture
+
+    P(x) = (w0 * C0(x) + w1 * [x = p1] + w2 * [x = p2]) / (w0 + w1 + w2)
+
+of adaptive counts C0 (order 0), of the id p1 that followed the id before last
+time (order 1), and of the id p2 that followed the two ids before (order 2).
+Weights are counts of how often each was right, kept for each combination of how
+sure the predictions are and whether they agree.  Counts of order 0 are summed
+anew after growing runs of ids; they are kept for the ids that a block has, whose
+list stands before it, and start from the ids' frequencies in the file, which its
+head has in steps of about half a bit.  The cumulative sums of a mixture are those of order 0
+with a step at each prediction, so the decoder finds an id with one look into a
+table of slots.
+
+The range coder has 16-bit words and a state of whole numbers in float64, in
+which its quotients are exact.  All blocks of a file advance together, one id at
+a time, with numpy across blocks.  The encoder knows all ids and finds their
+predictions beforehand, by sorting each block's contexts.
 
 A file holds the documents of a range of ids: magic, counts, the compressed
 table of document ids and lengths, and the blocks with counts and checksums.
@@ -25,221 +32,334 @@ than a file fills a longer file.  Only the id and text columns are read.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterator
 from functools import cache
-from itertools import islice
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import byte_groups, scratch
+from .common import scratch
 
-MAGIC = b"CMRC2"
+MAGIC, HEAD = b"CMRC3", "<IIQIIII"
 BLOCK, LANES = 4096, 2048
 #: Ids after which a file ends, at the end of a document.
 FILE_IDS = BLOCK * LANES
-#: Entries of the tables of order 1 and 2; slots that ids of order 0 share, as many as a block may have ids at least.
-SIZE1, SIZE2, SLOTS = 1 << 11, 1 << 11, 4096
-MIX_STEP, MIX_LIMIT = 24.0, float(1 << 13)
+#: Contexts of order 2 (hashed); slots that ids of order 0 share, twice as many as a block may have ids at least.
+PAIRS, SLOTS = 4096, 8192
+#: Blocks whose tables are filled at a time.
+SOME = 64
+#: Ids that the file's frequencies count as, against those of the block so far.
+PRIOR = 1000.0
+#: A hit's weight, and weights to begin with: of order 0, and of a prediction by how sure it is (0: there is none).
+HIT, FIRST0, FIRST = 4, 6.0, (0.0, 2.0, 10.0, 24.0)
+#: A space after white space.
+TIED = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}] "
 #: Ranges go from LEAST to FULL, words have 16 bits.
 WORD, LEAST, FULL = float(1 << 16), float(1 << 32), float(1 << 48)
-#: Pieces and chunks remembered (about 250 MB); characters cut and pieces joined at a time.
-MAX_PIECES, MAX_CHUNKS, GROUP, PIECES = 1_200_000, 700_000, 1 << 22, 1 << 16
-#: A space that pieces may go on over, or the mark that texts are cut by.
-TIED = re.compile(r"\s (?:\s|\Z)|  |\0")
+#: Chunks of at most so many characters are remembered, and so many (about 100 MB); characters encoded at a time.
+CHUNK_CHARS, MAX_CHUNKS, GROUP = 48, 400_000, 1 << 22
+
+
+def _pair(prev: np.ndarray, prev2: np.ndarray) -> np.ndarray:
+    return ((prev.astype(np.uint32) * np.uint32(0x85EBCA77)) ^ (prev2.astype(np.uint32) * np.uint32(0xC2B2AE3D))) >> np.uint32(32 - PAIRS.bit_length() + 1)
+
+
+def _classes(sure1: np.ndarray, sure2: np.ndarray, agree: np.ndarray) -> np.ndarray:
+    """The place of weights: how sure the predictions are (0 to 3) and whether they agree."""
+    return (sure2 << 3) | (sure1 << 1) | agree
+
+
+def _first_weights(lanes: int) -> np.ndarray:
+    """Rows of (order 0, 1, 2) for each lane and class."""
+    one = np.zeros((32, 3))
+    for k in range(32):
+        sure2, sure1, agree = k >> 3, k >> 1 & 3, k & 1
+        one[k] = FIRST0, 0.0 if agree and sure2 and sure1 else FIRST[sure1], FIRST[sure2]
+    return np.tile(one, (lanes, 1))
+
+
+def _recounts(length: int) -> list[int]:
+    """Places at which order 0 is summed anew: after 32, 48, 72, ... ids."""
+    out, at = [], 32
+    while at < length:
+        out.append(at)
+        at += max(16, at // 2)
+    return out
+
+
+class Table:
+    """The ids of a file by descending frequency; without one, all ids alike."""
+
+    def __init__(self, ids: np.ndarray, level: np.ndarray):
+        self.ids, self.level = ids, level
+        self.rank = np.zeros(1 << 16, np.uint16)
+        self.rank[ids] = np.arange(len(ids))
+
+    @classmethod
+    def of(cls, ids: np.ndarray | None = None) -> Table:
+        if ids is None:
+            return cls(np.arange(1 << 16, dtype=np.uint16), np.zeros(1 << 16, np.uint8))
+        count = np.bincount(ids, minlength=1 << 16)
+        order = np.argsort(-count, kind="stable")[: np.count_nonzero(count)]
+        top = np.frexp(count[order].astype(np.float64))  # a count is in [half, 1) times 2 ** exponent
+        return cls(order.astype(np.uint16), (2 * (top[1] - 1) + (top[0] >= 0.75)).astype(np.uint8))
+
+    def to_bytes(self) -> bytes:
+        return zlib.compress(self.ids.astype("<u2").tobytes() + self.level.tobytes())
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> Table:
+        raw = zlib.decompress(data)
+        n = len(raw) // 3
+        return cls(np.frombuffer(raw, "<u2", n).astype(np.uint16), np.frombuffer(raw, np.uint8, n, 2 * n))
+
+    def prior(self, lists: list[np.ndarray]) -> np.ndarray:
+        """Shares of the ids of each list of ranks: 2, 3, 4, 6, 8, 12, ... by level."""
+        level = self.level.astype(np.int64)
+        weight = np.left_shift(1, level >> 1) * np.where(level & 1, 3.0, 2.0)
+        out = np.zeros((len(lists), max(map(len, lists))))
+        for line, ranks in zip(out, lists):
+            line[: len(ranks)] = weight[ranks] / weight[ranks].sum()
+        return out
 
 
-class _Model:
-    """State of all lanes; lanes end one after another, so the live ones are the first ``m``.
+def _pack(ranks: np.ndarray) -> bytes:
+    gaps = np.diff(ranks, prepend=np.uint16(0)).astype("<u2").view(np.uint8)
+    return zlib.compress(gaps[::2].tobytes() + gaps[1::2].tobytes(), 9, -15)
 
-    An entry of a context's table is an id's place in the block's list, and in
-    its two low bits how sure it is.
-    """
 
-    def __init__(self, lanes: int, vocab: int, own: np.ndarray, inverse: bool = False):
-        """own: how many ids each lane has; ``inverse``: whether ids are looked up by their slots."""
-        self.vocab, self.own, self.inverse = vocab, own, inverse
-        self.lane = np.arange(lanes)
-        self.base1, self.base2, self.base_mix, self.base_id, self.base_slot = (self.lane * k for k in (SIZE1, SIZE2, 32, vocab, SLOTS))
-        self.table1, self.table2 = np.zeros(lanes * SIZE1, np.uint16), np.zeros(lanes * SIZE2, np.uint16)
-        self.mix = np.tile(np.array([32.0, 16.0, 64.0]), (lanes * 32, 1))
-        self.count = np.zeros((lanes, vocab))
-        self.prev, self.prev2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-        self._share(lanes, 1)
-
-    def _share(self, m: int, past: int) -> None:
-        """Slots of every id by its count so far: one at least."""
-        size = np.floor(self.count[:m] * ((SLOTS - self.own[:m]) / past)[:, None]) + 1
-        size[np.arange(self.vocab) >= self.own[:m, None]] = 0
-        start = np.cumsum(size, axis=1)
-        if self.inverse:
-            full = np.concatenate([size, SLOTS - start[:, -1:]], axis=1).astype(np.int64)
-            self.symbol = np.repeat(np.tile(np.arange(self.vocab + 1, dtype=np.uint16), m), full.ravel())
-        self.size, self.start = size.ravel(), (start - size).ravel()
-
-    def recount(self, past: np.ndarray, m: int, t: int) -> None:
-        """Count the ids of ``past`` (lanes x ids), the last of ``t`` so far."""
-        at = (self.base_id[:m, None] + past[:m]).ravel()
-        self.count[:m] += np.bincount(at, minlength=m * self.vocab).reshape(m, self.vocab)
-        self._share(m, t)
-
-    def predict(self, m: int) -> None:
-        prev = self.prev[:m]
-        self.at1 = self.base1[:m] + ((prev * np.uint32(0x9E3779B1)) >> np.uint32(32 - SIZE1.bit_length() + 1))
-        self.at2 = self.base2[:m] + ((prev * np.uint32(0x85EBCA77) ^ self.prev2[:m] * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - SIZE2.bit_length() + 1))
-        self.s1, self.s2 = self.table1.take(self.at1), self.table2.take(self.at2)
-        self.p1, self.p2 = self.s1 >> 2, self.s2 >> 2
-        self.c1, self.c2 = self.s1 & 3, self.s2 & 3
-        self.ctx = self.base_mix[:m] + ((self.c2 << 3) | (self.c1 << 1) | (self.p1 == self.p2))
-        w = self.mix.take(self.ctx, axis=0)
-        self.w0, self.w1, self.w2 = w[:, 0], w[:, 1], w[:, 2]
-        self.w01 = self.w0 + self.w1
-        self.tot = self.w01 + self.w2
-
-    def update(self, m: int, x: np.ndarray, pick: np.ndarray) -> None:
-        self.mix.reshape(-1)[self.ctx * 3 + pick] += MIX_STEP
-        big = self.tot > MIX_LIMIT
-        if big.any():
-            self.mix[self.ctx[big]] = np.floor(self.mix[self.ctx[big]] / 2) + 1
-        fresh = x << 2
-        for table, at, s, p, c in ((self.table1, self.at1, self.s1, self.p1, self.c1), (self.table2, self.at2, self.s2, self.p2, self.c2)):
-            table[at] = np.where(p == x, s + (c < 3), np.where(c > 0, s - ((c + 1) >> 1), fresh))
-        self.prev2[:m] = self.prev[:m]
-        self.prev[:m] = x
-
-    def interval(self, m: int, x: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and size of what was picked, of ``tot * SLOTS``."""
-        first = pick == 0
-        start, size = np.where(first, 0.0, self.w0) * SLOTS, np.where(first, self.w0, self.w1) * SLOTS
-        lit = np.flatnonzero(pick == 2)
-        at, w2 = self.base_id[lit] + x[lit], self.w2[lit]
-        start[lit] = self.w01[lit] * SLOTS + w2 * self.start.take(at)
-        size[lit] = w2 * self.size.take(at)
-        return start, size
-
-
-def _recounts(t: int) -> bool:
-    """After 256, 1024, 4096, ... ids."""
-    return t >= 256 and t & (t - 1) == 0 and t.bit_length() % 2 == 1
-
-
-def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
+def _unpack(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zlib.decompress(data, -15), np.uint8)
+    n = len(raw) // 2
+    return np.cumsum(raw[:n] + (raw[n:].astype(np.uint16) << 8), dtype=np.uint16)
+
+
+def _shares(count: np.ndarray, prior: np.ndarray, own: np.ndarray, past: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of every id of each lane (one at least), and where they start."""
+    free = SLOTS - own.astype(np.float64)
+    seen = np.floor(free * (past / (past + PRIOR)))
+    size = np.floor(count * (seen / max(past, 1))[:, None]) + np.floor(prior * (free - seen)[:, None]) + 1
+    size[np.arange(count.shape[1]) >= own[:, None]] = 0
+    start = np.cumsum(size, axis=1)
+    return size.astype(np.uint16), (start - size).astype(np.uint16)
+
+
+def _follow(context: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place of each row: the id that followed its context last, and how sure that is.
+
+    0: the context is new; 1: it came once, or its last two followers differ; 2, 3: they were
+    the same twice, or more often.
+    """
+    n, length = ids.shape
+    order = np.argsort(context, axis=1, kind="stable")
+    ctx, nxt = np.take_along_axis(context, order, 1), np.take_along_axis(ids, order, 1)
+    known = np.zeros((n, length), bool)
+    known[:, 1:] = ctx[:, 1:] == ctx[:, :-1]
+    last = np.zeros_like(nxt)
+    last[:, 1:] = nxt[:, :-1]
+    again = np.zeros((n, length + 1), bool)  # the follower at a place is that of the place before it
+    again[:, 1:] = known & (nxt == last)
+    sure = known.astype(np.uint8)
+    sure[:, 1:] += known[:, 1:] & again[:, 1:-1]
+    sure[:, 2:] += known[:, 2:] & again[:, 2:-1] & again[:, 1:-2]
+    pred, conf = np.empty_like(nxt), np.empty_like(sure)
+    np.put_along_axis(pred, order, last, 1)
+    np.put_along_axis(conf, order, sure, 1)
+    return pred, conf
+
+
+def encode_blocks(blocks: list[np.ndarray], table: Table | None = None) -> list[bytes]:
     """Coded bytes of each block of ids, after the list of its ids; longest blocks first.
 
     Low ends and ranges are whole numbers below 2**49 in float64, so sums,
     products and rounded-down quotients are exact.  Words that are out may still
     get a carry; carries are settled at the end.
     """
-    lists, blocks = map(list, zip(*[np.unique(b, return_inverse=True) for b in blocks]))
-    vocab = max(map(len, lists))
-    n, length = len(blocks), len(blocks[0])
+    table = table or Table.of()
+    lists, blocks = map(list, zip(*[np.unique(table.rank[b], return_inverse=True) for b in blocks]))
+    prior = table.prior(lists)
+    own = np.array([len(x) for x in lists])
+    vocab, n, length = int(own.max()), len(blocks), len(blocks[0])
     sizes = np.array([len(b) for b in blocks])
-    ids = np.zeros((n, length), np.uint16)
-    for i, b in enumerate(blocks):
-        ids[i, : len(b)] = b
-    steps = np.ascontiguousarray(ids.T)
     live = np.searchsorted(-sizes, -np.arange(length), side="left")
-    model = _Model(n, vocab, np.array([len(x) for x in lists]))
-    out, ends = np.zeros((2 * length + 8, n), np.uint32), np.zeros(n, np.int64)  # words of all lanes side by side
-    flat = out.reshape(-1)
+    # what happens at each place of each lane: class of weights, what hits (0 order 0, 1, 2), steps below x, slots
+    cls, hit, below, start, size = (np.empty((length, n), t) for t in (np.uint8, np.uint8, np.uint8, np.uint16, np.uint16))
+    for a in range(0, n, SOME):
+        b = min(a + SOME, n)
+        ids = np.zeros((b - a, length), np.uint16)
+        for i in range(a, b):
+            ids[i - a, : sizes[i]] = blocks[i]
+        prev, prev2 = np.zeros_like(ids), np.zeros_like(ids)
+        prev[:, 1:], prev2[:, 2:] = ids[:, :-1], ids[:, :-2]
+        p1, c1 = _follow(prev, ids)
+        p2, c2 = _follow(_pair(prev, prev2).astype(np.uint16), ids)
+        agree = (p1 == p2) & (c1 > 0) & (c2 > 0)
+        cls[:, a:b] = _classes(c1, c2, agree).T
+        right2, right1 = (p2 == ids) & (c2 > 0), (p1 == ids) & (c1 > 0) & ~agree
+        hit[:, a:b] = (right2 * 2 + right1).T
+        below[:, a:b] = ((p2 < ids) * 2 + (p1 < ids)).T
+        count, lane, done = np.zeros((b - a, vocab), np.int32), np.arange(b - a)[:, None] * vocab, 0
+        for at in [*_recounts(length), length]:
+            sz, st = _shares(count, prior[a:b], own[a:b], done)
+            x = lane + ids[:, done:at]
+            size[done:at, a:b], start[done:at, a:b] = sz.ravel()[x].T, st.ravel()[x].T
+            if at < length:
+                count += np.bincount(x.ravel(), minlength=count.size).reshape(count.shape)
+            done = at
+    weight, base = _first_weights(n), np.arange(n) * 32
+    flat_weight = weight.reshape(-1)
+    out, ends = np.zeros((length + length // 4 + 16, n), np.uint32), np.zeros(n, np.int64)  # words of all lanes side by side
     low, rng = np.zeros(n), np.full(n, FULL)
-    done = 0
     for t in range(length):
         m = live[t]
-        if _recounts(t):
-            model.recount(ids[:m, done:t], m, t)
-            done = t
-        model.predict(m)
-        x = steps[t, :m]
-        pick = np.where(x == model.p2, 0, np.where(x == model.p1, 1, 2))
-        start, size = model.interval(m, x, pick)
-        unit = np.floor(rng[:m] / (model.tot * SLOTS))
-        low[:m] += unit * start
-        rng[:m] = unit * size
-        while len(at := np.flatnonzero(rng[:m] < LEAST)):
-            part, end = low.take(at), ends.take(at)
+        at, h, u = base[:m] + cls[t, :m], hit[t, :m], below[t, :m]
+        w = weight.take(at, axis=0)
+        w0, w1, w2 = w[:, 0], w[:, 1], w[:, 2]
+        total = (w0 + w1 + w2) * SLOTS
+        first = w0 * start[t, :m] + (w1 * (u & 1) + w2 * (u >> 1)) * SLOTS
+        share = w0 * size[t, :m] + (w1 * (h & 1) + w2 * (h >> 1)) * SLOTS
+        unit = np.floor(rng[:m] / total)
+        low[:m] += unit * first
+        rng[:m] = unit * share
+        while len(few := np.flatnonzero(rng[:m] < LEAST)):
+            part, end = low.take(few), ends.take(few)
+            if int(end.max()) + 4 >= len(out):
+                out = np.concatenate([out, np.zeros_like(out)])
             word = np.floor(part / LEAST)
-            flat[end * n + at] = word
-            ends[at] = end + 1
-            low[at] = (part - word * LEAST) * WORD
-            rng[at] *= WORD
-        model.update(m, x, pick)
+            out.reshape(-1)[end * n + few] = word
+            ends[few] = end + 1
+            low[few] = (part - word * LEAST) * WORD
+            rng[few] *= WORD
+        flat_weight[at * 3 + np.minimum(h, 2)] += HIT
+    lanes = np.arange(n)
     for _ in range(3):
         word = np.floor(low / LEAST)
-        out[ends, model.lane] = word
+        out[ends, lanes] = word
         ends += 1
         low = (low - word * LEAST) * WORD
     while (carry := out >> 16).any():
         out &= 0xFFFF
         out[:-1] += carry[1:]
-    heads = [zlib.compress(np.diff(x, prepend=np.uint16(0)).astype("<u2").tobytes()) for x in lists]
-    return [struct.pack("<II", len(x), len(h)) + h + out[: ends[i], i].astype("<u2").tobytes() for i, (x, h) in enumerate(zip(lists, heads))]
+    heads = [_pack(x) for x in lists]
+    return [struct.pack("<H", len(h)) + h + out[: ends[i], i].astype("<u2").tobytes() for i, h in enumerate(heads)]
+
+
+class _Slots:
+    """Order 0 of all lanes for the decoder: slots of ids, and the id of each slot."""
+
+    def __init__(self, own: np.ndarray, prior: np.ndarray):
+        n, self.own, self.prior, self.vocab = len(own), own, prior, int(own.max())
+        self.count = np.zeros((n, self.vocab), np.int32)
+        self.size, self.start = np.zeros((n, self.vocab), np.uint16), np.zeros((n, self.vocab), np.uint16)
+        self.symbol = np.full((n, SLOTS), self.vocab - 1, np.uint16)  # beyond the last slot: only in broken files
+
+    def count_in(self, ids: np.ndarray, m: int, past: int) -> None:
+        """Sum anew after the ids (places x lanes) that have come since the last time."""
+        for a in range(0, m, SOME):
+            b = min(a + SOME, m)
+            at = np.arange(b - a) * self.vocab + ids[:, a:b].astype(np.int64)
+            self.count[a:b] += np.bincount(at.ravel(), minlength=(b - a) * self.vocab).reshape(b - a, -1)
+            size, start = _shares(self.count[a:b], self.prior[a:b], self.own[a:b], past)
+            self.size[a:b], self.start[a:b] = size, start
+            for i in range(a, b):
+                line = np.repeat(np.arange(self.vocab, dtype=np.uint16), size[i - a])
+                self.symbol[i, : len(line)] = line
 
 
-def decode_blocks(coded: list[bytes], sizes: list[int]) -> list[np.ndarray]:
+def decode_blocks(coded: list[bytes], sizes: list[int], table: Table | None = None) -> list[np.ndarray]:
     """Inverse of encode_blocks; ``sizes`` must not increase."""
-    lists, rest = [], []
+    table, lists, rest = table or Table.of(), [], []
     for c in coded:
-        k, h = struct.unpack_from("<II", c)
-        lists.append(np.cumsum(np.frombuffer(zlib.decompress(c[8 : 8 + h]), "<u2", k), dtype=np.uint16))
-        rest.append(c[8 + h :])
-    vocab = max(map(len, lists))
-    n, length = len(coded), sizes[0]
+        (h,) = struct.unpack_from("<H", c)
+        lists.append(_unpack(c[2 : 2 + h]))
+        rest.append(c[2 + h :])
+    own = np.array([len(x) for x in lists])
+    vocab, n, length = int(own.max()), len(coded), sizes[0]
     data = np.zeros((max(map(len, rest)) // 2 + 8, n), np.uint16)
     for i, c in enumerate(rest):
         data[: len(c) // 2, i] = np.frombuffer(c, "<u2")
     live = np.searchsorted(-np.array(sizes), -np.arange(length), side="left")
-    model = _Model(n, vocab, np.array([len(x) for x in lists]), inverse=True)
+    slots, weight = _Slots(own, table.prior(lists)), _first_weights(n)
+    flat_size, flat_start, flat_symbol, flat_weight = slots.size.reshape(-1), slots.start.reshape(-1), slots.symbol.reshape(-1), weight.reshape(-1)
+    lane = np.arange(n)
+    base1, base2, base_slot, base_class = lane * vocab, lane * PAIRS, lane * SLOTS, lane * 32
+    # an entry: the id that followed last, and in its two low bits how sure that is
+    table1, table2 = np.zeros(n * vocab, np.uint16), np.zeros(n * PAIRS, np.uint16)
+    prev, prev2 = np.zeros(n, np.uint16), np.zeros(n, np.uint16)
     ids = np.zeros((length, n), np.uint16)
     code, rng = np.array([LEAST, WORD, 1.0]) @ data[:3].astype(np.float64), np.full(n, FULL)
-    flat, at_word = data.ravel(), 3 * n + np.arange(n)
-    done = 0
+    flat, at_word = data.ravel(), 3 * n + lane
+    turns, done = {0, *_recounts(length)}, 0
     for t in range(length):
         m = live[t]
-        if _recounts(t):
-            model.recount(np.ascontiguousarray(ids[done:t, :m].T), m, t)
+        if t in turns:
+            slots.count_in(ids[done:t], m, t)
             done = t
-        model.predict(m)
-        total = model.tot * SLOTS
+        at1, at2 = base1[:m] + prev[:m], base2[:m] + _pair(prev[:m], prev2[:m])
+        e1, e2 = table1.take(at1), table2.take(at2)
+        p1, p2, c1, c2 = e1 >> 2, e2 >> 2, e1 & 3, e2 & 3
+        agree = (p1 == p2) & (c1 > 0) & (c2 > 0)
+        at = base_class[:m] + _classes(c1, c2, agree)
+        w = weight.take(at, axis=0)
+        w0, w1, w2 = w[:, 0], w[:, 1], w[:, 2]
+        total = (w0 + w1 + w2) * SLOTS
         unit = np.floor(rng[:m] / total)
         v = np.minimum(np.floor(code[:m] / unit), total - 1)
-        literal = v - model.w01 * SLOTS
-        pick = np.where(literal >= 0, 2, v >= model.w0 * SLOTS)
-        x = np.where(pick == 0, model.p2, model.p1)
-        lit = np.flatnonzero(pick == 2)
-        slot = np.floor(literal[lit] / model.w2[lit]).astype(np.int64)
-        x[lit] = np.minimum(model.symbol.take(model.base_slot[lit] + slot), vocab - 1)  # beyond: only in broken files
-        start, size = model.interval(m, x, pick)
-        code[:m] -= unit * start
-        rng[:m] = np.maximum(unit * size, 1.0)
-        while len(at := np.flatnonzero(rng[:m] < LEAST)):
-            w = at_word.take(at)
-            code[at] = code.take(at) * WORD + flat.take(w, mode="clip")
-            at_word[at] = w + n
-            rng[at] *= WORD
+        # the steps at the predictions, the lesser id first
+        turn = p2 < p1
+        pa_, pb, wa, wb = np.where(turn, p2, p1), np.where(turn, p1, p2), np.where(turn, w2, w1) * SLOTS, np.where(turn, w1, w2) * SLOTS
+        low_a = w0 * flat_start.take(base1[:m] + pa_)
+        top_a = low_a + w0 * flat_size.take(base1[:m] + pa_) + wa
+        low_b = w0 * flat_start.take(base1[:m] + pb) + wa
+        top_b = low_b + w0 * flat_size.take(base1[:m] + pb) + wb
+        same = pa_ == pb
+        top_a += np.where(same, wb, 0.0)
+        beyond_a, beyond_b = v >= top_a, (v >= top_b) & ~same
+        slot = np.floor((v - np.where(beyond_a, wa, 0.0) - np.where(beyond_b | (same & beyond_a), wb, 0.0)) / w0)
+        x = flat_symbol.take(base_slot[:m] + np.minimum(slot, SLOTS - 1).astype(np.int64))
+        x = np.where(~beyond_a & (v >= low_a), pa_, x)
+        x = np.where(~same & ~beyond_b & (v >= low_b) & beyond_a, pb, x)
+        right2, right1 = (p2 == x) & (c2 > 0), (p1 == x) & (c1 > 0) & ~agree
+        here = base1[:m] + x
+        first = w0 * flat_start.take(here) + (w1 * (p1 < x) + w2 * (p2 < x)) * SLOTS
+        share = w0 * flat_size.take(here) + (w1 * right1 + w2 * right2) * SLOTS
+        code[:m] -= unit * first
+        rng[:m] = np.maximum(unit * share, 1.0)
+        while len(few := np.flatnonzero(rng[:m] < LEAST)):
+            word = at_word.take(few)
+            code[few] = code.take(few) * WORD + flat.take(word, mode="clip")
+            at_word[few] = word + n
+            rng[few] *= WORD
+        flat_weight[at * 3 + np.where(right2, 2, right1)] += HIT
+        fresh = (x << 2) + np.uint16(1)
+        table1[at1] = np.where((p1 == x) & (c1 > 0), np.minimum(e1 + (c1 < 3), e1 | 3), fresh)
+        table2[at2] = np.where(right2, np.minimum(e2 + (c2 < 3), e2 | 3), fresh)
+        prev2[:m] = prev[:m]
+        prev[:m] = x
         ids[t, :m] = x
-        model.update(m, x, pick)
-    return [lists[i][np.minimum(ids[: sizes[i], i], len(lists[i]) - 1)] for i in range(n)]
+    return [table.ids[lists[i][np.minimum(ids[: sizes[i], i], len(lists[i]) - 1)]] for i in range(n)]
 
 
 def write_file(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, vocab: int) -> bytes:
     """The file of some documents' ids (uint16, one document after another)."""
     cuts = [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]
-    coded = []
+    table, coded = Table.of(ids), []
     for i in range(0, len(cuts), LANES):  # only the very last block is shorter
-        coded += encode_blocks(cuts[i : i + LANES])
+        coded += encode_blocks(cuts[i : i + LANES], table)
     known = np.array([i is not None for i in doc_ids], np.uint8)
-    table = zlib.compress(known.tobytes() + np.array([i or 0 for i in doc_ids], "<i8").tobytes() + np.array(lengths, "<u8").tobytes())
-    head = MAGIC + struct.pack("<IIQII", vocab, len(doc_ids), len(ids), len(cuts), len(table))
+    docs = zlib.compress(known.tobytes() + np.array([i or 0 for i in doc_ids], "<i8").tobytes() + np.array(lengths, "<u8").tobytes())
+    words = table.to_bytes()
+    head = MAGIC + struct.pack(HEAD, vocab, len(doc_ids), len(ids), len(cuts), len(docs), len(words), zlib.crc32(docs + words))
     index = b"".join(struct.pack("<III", len(b), len(c), zlib.crc32(b.astype("<u4").tobytes())) for b, c in zip(cuts, coded))
-    return b"".join([head, table, index, *coded])
+    return b"".join([head, docs, words, index, *coded])
 
 
 def read_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
@@ -247,13 +367,16 @@ def read_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     if data[: len(MAGIC)] != MAGIC:
         raise ValueError("no token-id file")
     at = len(MAGIC)
-    vocab, n_docs, n_ids, n_blocks, n_table = struct.unpack_from("<IIQII", data, at)
-    at += struct.calcsize("<IIQII")
-    table = zlib.decompress(data[at : at + n_table])
-    at += n_table
-    known = np.frombuffer(table, np.uint8, n_docs)
-    doc_ids = np.frombuffer(table, "<i8", n_docs, n_docs)
-    lengths = np.frombuffer(table, "<u8", n_docs, 9 * n_docs).astype(np.int64)
+    _, n_docs, n_ids, n_blocks, n_table, n_words, crc = struct.unpack_from(HEAD, data, at)
+    at += struct.calcsize(HEAD)
+    if zlib.crc32(data[at : at + n_table + n_words]) != crc:
+        raise ValueError("the head's checksum doesn't hold")
+    docs = zlib.decompress(data[at : at + n_table])
+    table = Table.from_bytes(data[at + n_table : at + n_table + n_words])
+    at += n_table + n_words
+    known = np.frombuffer(docs, np.uint8, n_docs)
+    doc_ids = np.frombuffer(docs, "<i8", n_docs, n_docs)
+    lengths = np.frombuffer(docs, "<u8", n_docs, 9 * n_docs).astype(np.int64)
     index = [struct.unpack_from("<III", data, at + 12 * i) for i in range(n_blocks)]
     at += 12 * n_blocks
     parts = []
@@ -262,7 +385,7 @@ def read_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
         for _, size, _ in some:
             coded.append(data[at : at + size])
             at += size
-        for ids, (_, _, crc) in zip(decode_blocks(coded, [s for s, _, _ in some]), some):
+        for ids, (_, _, crc) in zip(decode_blocks(coded, [s for s, _, _ in some], table), some):
             if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
                 raise ValueError("a block's checksum doesn't hold")
             parts.append(ids)
@@ -272,77 +395,102 @@ def read_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [int(i) if k else None for i, k in zip(doc_ids, known)], lengths, ids
 
 
-def _tied(text: str) -> bool:
-    """Whether a text can't be cut at its spaces."""
-    return TIED.search(text) is not None
+def _tied(texts: pa.Array) -> pa.Array:
+    """Whether a text can't be cut at its spaces: one of them follows other white space."""
+    return pc.match_substring_regex(texts, TIED)
 
 
 class LibraryPieces:
-    """Ids by the tokenizers library, one encoding for each distinct piece.
-
-    The library cuts a text by a pattern and encodes each piece by itself.  A
-    piece begins at every single space that isn't between white space, so a text
-    is cut there first and the chunks are kept, too; other texts are cut by the
-    pattern.  Texts with one of the library's special strings are left to it whole.
+    """Ids by the tokenizers library's model, one encoding for each distinct piece.
+
+    A byte-level tokenizer cuts a text by a pattern and hands the bytes of each
+    piece to its model.  A piece begins at every space that doesn't follow other
+    white space, so Arrow cuts texts there and numbers the distinct chunks; only
+    those go through the pattern and the model, and chunks are kept.  Texts with
+    other spaces are cut by the pattern; those with one of the library's special
+    strings, and all texts if the tokenizer is of another kind, are left to it whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.lib = Tokenizer.from_file(path)
         self.vocab = self.lib.get_vocab_size(with_added_tokens=True)
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        self.model = self.lib.model
+        # repr: a file may switch the pattern off or put a space first
+        kind = repr(self.lib.pre_tokenizer)
+        self.plain = isinstance(self.model, models.BPE) and isinstance(self.lib.pre_tokenizer, pre_tokenizers.ByteLevel) and self.lib.normalizer is None and "add_prefix_space=False" in kind and "use_regex=True" in kind
         self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self.pieces: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
+        # the alphabet of byte-level models: printing characters stand for themselves, all other bytes follow from 256
+        printing = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        self.letters = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in printing)}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         """Ids of each text as little-endian 16-bit integers."""
+        if isinstance(texts, list):
+            texts = pa.array(texts, pa.string())
+        sizes, out, start = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)), [], 0
+        while start < len(texts):
+            before = sizes[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(sizes, before + GROUP, "right")))
+            out += self._some(texts.slice(start, end - start))
+            start = end
+        return out
+
+    def _some(self, texts: pa.Array) -> list[bytes]:
+        whole = pa.array([not self.plain] * len(texts))
+        for s in self.special:
+            whole = pc.or_(whole, pc.match_substring(texts, s))
+        tied = pc.and_(_tied(texts), pc.invert(whole))
         out: list[bytes] = [b""] * len(texts)
-        for a, b in byte_groups(texts, GROUP):
-            cut: dict[int, list[str]] = {}
-            for i in range(a, b):
-                text = texts[i]
-                if any(s in text for s in self.special):
-                    out[i] = np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-                elif _tied(text):
-                    out[i] = self._by_pattern(text)
-                else:
-                    cut[i] = text.replace(" ", "\0 ").split("\0")
-            self._learn(cut.values())
-            get = self.chunks.__getitem__
-            for i, chunks in cut.items():
-                out[i] = b"".join(map(get, chunks))
+        for i in np.flatnonzero(whole.to_numpy(zero_copy_only=False)):
+            out[i] = np.array(self.lib.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u2").tobytes()
+        for i in np.flatnonzero(tied.to_numpy(zero_copy_only=False)):
+            out[i] = self._by_pattern(texts[i].as_py())
+        rest = np.flatnonzero(~pc.or_(whole, tied).to_numpy(zero_copy_only=False))
+        if len(rest):
+            for i, ids in zip(rest.tolist(), self._by_spaces(texts.take(pa.array(rest)))):
+                out[i] = ids
         return out
 
+    def _by_spaces(self, texts: pa.Array) -> list[bytes]:
+        cut = pc.split_pattern(texts, " ")
+        at = cut.offsets.to_numpy()
+        numbered = cut.values.dictionary_encode()
+        words, index = numbered.dictionary.to_pylist(), numbered.indices.to_numpy().copy()
+        first = [words[i] for i in index[at[:-1]]]  # has no space before it
+        index[at[:-1]] = len(words) + np.arange(len(first))
+        used = np.bincount(index, minlength=len(words)) > 0
+        ids = [self._chunk(" " + w) if u else b"" for w, u in zip(words, used.tolist())] + [self._chunk(w) for w in first]
+        ends = np.cumsum([0, *map(len, ids)]) // 2
+        table = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<u2")))
+        got = table.take(pa.array(index))
+        raw, bounds = got.values.to_numpy().tobytes(), (2 * got.offsets.to_numpy()[at]).tolist()
+        return [raw[a:b] for a, b in zip(bounds, bounds[1:])]
+
     def _by_pattern(self, text: str) -> bytes:
-        found, parts = (m.group() for m in self.pattern.finditer(text)), []
-        while some := list(islice(found, PIECES)):
-            known = self._known(set(some))
-            parts.append(b"".join(map(known.__getitem__, some)))
-        return b"".join(parts)
-
-    def _learn(self, texts: Iterable[list[str]]) -> None:
-        """Chunks that haven't been met, from their pieces."""
-        if len(self.chunks) > MAX_CHUNKS:
-            self.chunks.clear()
-        cut = {c: self.pattern.findall(c) for c in set().union(*texts).difference(self.chunks)}
-        known = self._known(set().union(*cut.values()))
-        for c, pieces in cut.items():
-            self.chunks[c] = b"".join(map(known.__getitem__, pieces))
-
-    def _known(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of pieces and maybe of others."""
-        if len(self.pieces) > MAX_PIECES:
-            self.pieces.clear()
-        new = list(pieces.difference(self.pieces))
-        if new:
-            got = self.lib.encode(new, is_pretokenized=True, add_special_tokens=False)
-            raw, ends = np.array(got.ids, "<u2").tobytes(), 2 * np.cumsum(np.bincount(got.word_ids, minlength=len(new)))
-            starts = [0, *ends[:-1].tolist()]
-            self.pieces.update(zip(new, (raw[a:b] for a, b in zip(starts, ends.tolist()))))
-        return self.pieces
+        return b"".join(self._piece(m.group()) for m in self.pattern.finditer(text))
+
+    def _chunk(self, chunk: str) -> bytes:
+        got = self.chunks.get(chunk)
+        return self._keep(chunk, self._by_pattern(chunk)) if got is None else got
+
+    def _piece(self, piece: str) -> bytes:
+        got = self.chunks.get(piece)
+        if got is None:
+            letters = piece.encode().decode("latin-1").translate(self.letters)
+            got = self._keep(piece, array("H", [t.id for t in self.model.tokenize(letters)]).tobytes())
+        return got
+
+    def _keep(self, text: str, ids: bytes) -> bytes:
+        if len(text) <= CHUNK_CHARS:
+            if len(self.chunks) >= MAX_CHUNKS:
+                self.chunks.clear()
+            self.chunks[text] = ids
+        return ids
 
 
 @cache
@@ -369,8 +517,7 @@ def write_ids(df: DataFrame, path: str, tokenizer: str | None = None, end_id: in
             return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "n_ids": n, "file": image}], schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_ids", pa.int64()), ("file", pa.binary())]))
 
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), lib.encode(texts)):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), lib.encode(pc.fill_null(batch.column(1), ""))):
                 ids += end
                 if docs and n + len(ids) // 2 > FILE_IDS:
                     yield file()

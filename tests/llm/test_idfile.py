@@ -1,8 +1,11 @@
+import lzma
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from helpers import ODD, documents, table
 from tokenizers import Tokenizer
@@ -80,5 +83,24 @@ def test_empty_table(spark):
 
 
 def test_spaces_that_are_balanced_by_other_white_space():
-    assert idfile._tied("a   b\tc\td") and idfile._tied("a\n \nb\tc\td")
-    assert not idfile._tied("a b\tc\nd")
+    tied = lambda *t: idfile._tied(pa.array(t)).to_pylist()
+    assert tied("a   b\tc\td", "a\n \nb\tc\td", "a\u00a0 b", "a\x1c b", "\u2003 ", "a\x85 b") == [True] * 6
+    assert tied("a b\tc\nd", " a", "a ", "") == [False] * 4
+
+
+def test_less_than_order_0_and_lzma():
+    """Bits an id over documents, files' heads included: under each block's own entropy with its table of ids and counts, and under lzma."""
+    lib = idfile.library(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()
+    ids = np.frombuffer(b"\0\0".join(lib.encode([t or "" for t in texts])), "<u2")
+    some = [ids[i : i + idfile.BLOCK] for i in range(0, len(ids) - idfile.BLOCK, idfile.BLOCK)][:200]
+    ids = np.concatenate(some)
+    data = idfile.write_file([1], [len(ids)], ids, lib.vocab)
+    assert (idfile.read_file(data)[2] == ids).all()
+    found = [np.unique(b, return_counts=True) for b in some]
+    entropy = sum(float(-(c * np.log2(c / c.sum())).sum()) for _, c in found)
+    tables = 8 * sum(len(zlib.compress(np.diff(x, prepend=0).astype("<u2").tobytes() + c.astype("<u2").tobytes(), 9)) for x, c in found)
+    packed = 8 * sum(len(lzma.compress(b.tobytes(), format=lzma.FORMAT_RAW, filters=[{"id": lzma.FILTER_LZMA2, "preset": 9}])) for b in some)
+    bits, n = 8 * len(data), len(ids)
+    print(f"bits an id: {bits / n:.2f}; order 0 {entropy / n:.2f}, tables {tables / n:.2f}; lzma {packed / n:.2f}")
+    assert bits < entropy + tables and bits < packed
