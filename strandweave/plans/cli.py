@@ -38,6 +38,7 @@ class _Parser(argparse.ArgumentParser):
         raise UsageError(message)
 
 
+# Names, short forms, defaults and value names of options, by which command lines are written.
 def parser() -> argparse.ArgumentParser:
     p = _Parser(prog="strandweave", description="Trims adapters and more from sequencing reads.", allow_abbrev=False)
     add = p.add_argument

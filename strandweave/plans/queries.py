@@ -8,15 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import align
 from ..functions import spec as notation
 from ..functions.align import hamming_environment
 from ..operators import fates, matching, modifiers, sinks
 from ..operators.statistics import counts
 from ..sources import fastx, storage
-from . import report
+from . import matrix, report
 from .trim import Side, TrimSpec, demultiplexed, trim
 
 ADAPTER = "AGATCGGAAGAG"
@@ -332,26 +333,96 @@ def unlike(name: str, spec: Callable[[], TrimSpec]) -> None:
 unlike("aln6_prefilter_back", lambda: TrimSpec(Side(back(ADAPTER, errors=0.2))))
 unlike("aln6_prefilter_front", lambda: TrimSpec(Side(back(ADAPTER, where="front", errors=0.2))))
 
-# Adapters with errors, on which SQL has no say
-_M = ["sequence", "matches"]
-single("adp1_back_errors", lambda: TrimSpec(Side(back(ADAPTER, errors=0.1))), _M)
-single("adp2_front_errors", lambda: TrimSpec(Side(back(ADAPTER, where="front", errors=0.1))), _M)
-single("adp3_rightmost_front", lambda: TrimSpec(Side(back(ADAPTER + ";rightmost", where="front", errors=0.1))), _M)
-single("adp3_rightmost_back", lambda: TrimSpec(Side(back(ADAPTER + ";rightmost", errors=0.1))), _M)
-single("adp4_anywhere", lambda: TrimSpec(Side(back(ADAPTER, where="anywhere", errors=0.1))), _M)
-single("adp7_forced_anywhere", lambda: TrimSpec(Side(back(ADAPTER + ";anywhere", errors=0.1))), _M)
-single("adp8_linked", lambda: TrimSpec(Side(back("AC...GATC", errors=0.1))), _M)
-single("adp11_two_rounds", lambda: TrimSpec(Side(back(ADAPTER, "ACGTACG", errors=0.1)), times=2), _M)
-single("adp12_both_strands", lambda: TrimSpec(Side(back(ADAPTER, errors=0.1)), both_strands=True), ["name", *_M, "is_rc"])
+# Adapters with errors: in SQL by the alignment matrix
 
 
-@query("adp13_swapped_pairs")
+def errors_query(name: str, sql: str, pairs: bool = False):
+    """As ``query``, with a recursive one."""
+
+    def add(f):
+        query(name, sql, pairs)(f)
+        ORACLES[name] = "with recursive " + ORACLES[name].removeprefix("with ")
+        return f
+
+    return add
+
+
+def _flat(matches: str = "matches", at: int = 0, names: tuple[str, ...] = matrix.FIELDS, more: str = "") -> list[Column]:
+    """Fields of a match; -1: there is none."""
+    return [F.coalesce(F.get(F.col(matches), F.lit(at))[n], F.lit(-1)).alias(n + more) for n in names]
+
+
+_TRIMMED = {
+    "before": "substring(sequence, coalesce(rstop, 0) + 1)",
+    "after": "left(sequence, coalesce(rstart, length(sequence)))",
+    "either": "case when rstart = 0 then substring(sequence, coalesce(rstop, 0) + 1) else left(sequence, coalesce(rstart, length(sequence))) end",
+}
+
+
+def one_adapter(name: str, spec: Callable[[], TrimSpec], ctes: str, side: str) -> None:
+    @errors_query(name, f", {ctes} select rid, {_TRIMMED[side]} as sequence, {', '.join(f'coalesce({f}, -1) as {f}' for f in matrix.FIELDS)} from (select * from reads left join m using (rid))")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return trim(synthetic(spark, sf_dir), spec()).select("rid", "sequence", *_flat())
+
+
+one_adapter("adp1_back_errors", lambda: TrimSpec(Side(back(ADAPTER, errors=0.1))), matrix.located("m", "reads", ADAPTER, 0.1, align.BACK), "after")
+one_adapter("adp2_front_errors", lambda: TrimSpec(Side(back(ADAPTER, where="front", errors=0.1))), matrix.located("m", "reads", ADAPTER, 0.1, align.FRONT), "before")
+one_adapter("adp3_rightmost_front", lambda: TrimSpec(Side(back(ADAPTER + ";rightmost", where="front", errors=0.1))), matrix.mirrored("m", "reads", ADAPTER, 0.1, align.BACK), "before")
+one_adapter("adp3_rightmost_back", lambda: TrimSpec(Side(back(ADAPTER + ";rightmost", errors=0.1))), matrix.mirrored("m", "reads", ADAPTER, 0.1, align.FRONT), "after")
+one_adapter("adp4_anywhere", lambda: TrimSpec(Side(back(ADAPTER, where="anywhere", errors=0.1))), matrix.located("m", "reads", ADAPTER, 0.1, align.ANYWHERE), "either")
+one_adapter("adp7_forced_anywhere", lambda: TrimSpec(Side(back(ADAPTER + ";anywhere", errors=0.1))), matrix.located("m", "reads", ADAPTER, 0.1, align.ANYWHERE), "after")
+one_adapter("aln1_two_errors", lambda: TrimSpec(Side(back(ADAPTER, errors=0.2, min_overlap=5))), matrix.located("m", "reads", ADAPTER, 0.2, align.BACK, 5), "after")
+
+
+@errors_query("adp8_linked", f""", {matrix.located("f", "reads", "AC", 0.1, align.FRONT)}
+, inner_ as (select rid, f.rstop is not null as has_front, substring(sequence, coalesce(f.rstop, 0) + 1) as sequence from reads left join f using (rid))
+, {matrix.located("g", "inner_", "GATC", 0.1, align.BACK)}
+select rid, left(sequence, coalesce(g.rstart, length(sequence))) as sequence, cast(has_front as int) + cast(g.rid is not null as int) as n_parts from inner_ left join g using (rid)""")
+def adp8_linked(spark, sf_dir):
+    return trim(synthetic(spark, sf_dir), TrimSpec(Side(back("AC...GATC", errors=0.1)))).select("rid", "sequence", F.size("matches").alias("n_parts"))
+
+
+def _better(name: str, source: str) -> str:
+    """CTEs: of two 3' adapters, the one with the higher score, then fewer errors, then the first; what it leaves."""
+    pick = f"b.rid is not null and (a.rid is null or b.score > a.score or b.score = a.score and b.errors < a.errors)"
+    return (
+        f"{matrix.located(name + 'a', source, ADAPTER, 0.1, align.BACK)}, {matrix.located(name + 'b', source, 'ACGTACG', 0.1, align.BACK)}"
+        f", {name} as (select r.rid, case when {pick} then 1 when a.rid is not null then 0 end as adapter, case when {pick} then b.errors else a.errors end as errors,"
+        f" left(r.sequence, coalesce(case when {pick} then b.rstart else a.rstart end, length(r.sequence))) as sequence from {source} r left join {name}a a using (rid) left join {name}b b using (rid))"
+    )
+
+
+@errors_query("adp11_two_rounds", f""", {_better("x", "reads")}, again as (select rid, sequence from x where adapter is not null), {_better("y", "again")}
+select rid, coalesce(y.sequence, x.sequence) as sequence, coalesce(x.adapter, -1) as adapter1, coalesce(x.errors, -1) as errors1, coalesce(y.adapter, -1) as adapter2, coalesce(y.errors, -1) as errors2 from x left join y using (rid)""")
+def adp11_two_rounds(spark, sf_dir):
+    out = trim(synthetic(spark, sf_dir), TrimSpec(Side(back(ADAPTER, "ACGTACG", errors=0.1)), times=2))
+    return out.select("rid", "sequence", *_flat(names=("adapter", "errors"), more="1"), *_flat(at=1, names=("adapter", "errors"), more="2"))
+
+
+@errors_query("adp12_both_strands", f""", rc as (select rid, reverse(translate(sequence, 'ACGTN', 'TGCAN')) as sequence from reads), {matrix.located("f", "reads", ADAPTER, 0.1, align.BACK)}, {matrix.located("g", "rc", ADAPTER, 0.1, align.BACK)}
+, w as (select reads.rid, name, coalesce(g.score, 0) > coalesce(f.score, 0) as is_rc, reads.sequence as one, rc.sequence as two, f.rstart as a, g.rstart as b from reads join rc using (rid) left join f using (rid) left join g using (rid))
+select rid, name || case when is_rc then ' rc' else '' end as name, case when is_rc then left(two, coalesce(b, length(two))) else left(one, coalesce(a, length(one))) end as sequence, is_rc from w""")
+def adp12_both_strands(spark, sf_dir):
+    return trim(synthetic(spark, sf_dir), TrimSpec(Side(back(ADAPTER, errors=0.1)), both_strands=True)).select("rid", "name", "sequence", "is_rc")
+
+
+@errors_query("adp13_swapped_pairs", f""", {matrix.located("f", "reads", ADAPTER, 0.1, align.BACK)}, {matrix.located("g", "reads2", ADAPTER, 0.1, align.BACK)}
+, w as (select reads.rid, reads.name as n1, reads2.name as n2, coalesce(g.score, 0) > coalesce(f.score, 0) as swapped, reads.sequence as one, reads2.sequence as two, f.rstart as a, g.rstart as b from reads join reads2 using (rid) left join f using (rid) left join g using (rid))
+select rid, case when swapped then n2 || ' rc' else n1 end as r1_name, case when swapped then left(two, coalesce(b, length(two))) else left(one, coalesce(a, length(one))) end as r1_sequence, case when swapped then one else two end as r2_sequence, swapped from w""", pairs=True)
 def adp13_swapped_pairs(spark, sf_dir):
     spec = TrimSpec(Side(back(ADAPTER, errors=0.1)), Side(), both_strands=True)
     return trim(synthetic_pairs(spark, sf_dir), spec).select("rid", "r1_name", "r1_sequence", "r2_sequence", F.col("r1_is_rc").alias("swapped"))
 
 
-@query("adp14_adapter_pairs")
+_PAIRED = [("ma", "reads", ADAPTER), ("mb", "reads2", "CTTCCG"), ("mc", "reads", "ACGTACG"), ("md", "reads2", "CGTACGT")]
+
+
+@errors_query("adp14_adapter_pairs", f""", {", ".join(matrix.located(n, r, p, 0.1, align.BACK) for n, r, p in _PAIRED)}
+, one as (select rid, a.score + b.score as score, a.errors + b.errors as errors, a.rstart as p, b.rstart as q from ma a join mb b using (rid))
+, two as (select rid, c.score + d.score as score, c.errors + d.errors as errors, c.rstart as p, d.rstart as q from mc c join md d using (rid))
+, best as (select rid, case when one.rid is null or two.score > one.score or two.score = one.score and two.errors < one.errors then two.p else one.p end as p,
+   case when one.rid is null or two.score > one.score or two.score = one.score and two.errors < one.errors then two.q else one.q end as q from one full join two using (rid))
+select reads.rid, left(reads.sequence, coalesce(p, length(reads.sequence))) as r1_sequence, left(reads2.sequence, coalesce(q, length(reads2.sequence))) as r2_sequence from reads join reads2 using (rid) left join best using (rid)""", pairs=True)
 def adp14_adapter_pairs(spark, sf_dir):
     spec = TrimSpec(Side(back(ADAPTER, "ACGTACG", errors=0.1)), Side(back("CTTCCG", "CGTACGT", errors=0.1)), pair_adapters=True)
     return trim(synthetic_pairs(spark, sf_dir), spec).select("rid", "r1_sequence", "r2_sequence")
