@@ -8,13 +8,13 @@ there.  What remains is confirmed on the full shingle sets.
 
 Equal sets are collapsed first.  Then links are found in rounds, each linear in
 the members of buckets.  Every bucket proposes the pairs of its members with its
-smallest id; confirmed links give components.  Buckets whose members are still
-in several components elect a centre, the member whose sketch is nearest to the
+smallest id; confirmed links give components.  Buckets in which no component has
+half of the members elect a centre, the member whose sketch is nearest to the
 majority of all its sketches (the text that the others are copies of, where
 there is one), and propose the pairs with that.  What is mixed even then and
-has at most ``GROUP`` members is compared in full within one task: members of
-different components by sketches, those with a candidate by their full sets,
-with as many links as join components.  Larger buckets are split by ``SPLITS``
+has at most ``GROUP`` members is compared in full within one task: those outside
+the largest component with all of other components, by sketches, then those with
+a candidate by their full sets, with as many links as join components.  Larger buckets are split by ``SPLITS``
 keys of further MinHash samples each, again and again (a pair shares about 13 of
 the 50 buckets and all of them have to fail), and after ``LEVELS`` such steps by
 blocks of ``GROUP`` against blocks.  Each bucket is split by other keys.  So no pair that shares a bucket stays
@@ -49,8 +49,8 @@ SAMPLES = ROWS * BANDS
 LEAST_ESTIMATE = 0.65
 #: XOR population counts above this mean a lower estimate.
 MOST_ODD = math.floor(BITS / 2 * (1 - math.exp(-4 * SAMPLES * (1 - LEAST_ESTIMATE) / BITS)))
-#: Members of a bucket that are compared in one task; members from which on a bucket elects a centre.
-GROUP, ELECT = 1024, 16
+#: Members of a bucket that are compared in one task, as many shingles counting as one more; members from which on a bucket elects a centre.
+GROUP, SHINGLES, ELECT = 4096, 2048, 16
 #: Keys that a larger bucket is split by, and how often at most.
 SPLITS, LEVELS = 8, 3
 #: Words of at most so many bytes are remembered, so many before the cache starts anew; bytes split at a time.
@@ -220,8 +220,16 @@ class _Block:
         self.unsplit = ~np.isin(self.earlier, rows.column("split").combine_chunks().flatten().to_numpy())
         self.one = c["i"][0] == c["j"][0]
         self.xs, self.ys = np.flatnonzero(c["own"] == c["i"][0]), np.flatnonzero(c["own"] == c["j"][0])
-        # a likely centre comes first, so that most pairs are connected when their turn comes
-        order = np.argsort(_off_centre(self.odd), kind="stable")
+        # each pair once: from the one that is farther from the largest component, then by the distance from the
+        # majority (a likely centre comes first, so that most pairs are connected when their turn comes)
+        off = _off_centre(self.odd)
+        if self.one:
+            groups, size = np.unique(self.root, return_counts=True)
+            largest = self.root == groups[np.argmax(size)]
+            order = np.lexsort((off, largest))
+            self.xs = order[: len(order) - int(largest.sum())]
+        else:
+            order = np.argsort(off, kind="stable")
         self.rank = np.empty(len(order), np.int64)
         self.rank[order] = np.arange(len(order))
         self.xs = self.xs[np.argsort(self.rank[self.xs])]
@@ -311,9 +319,9 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     # an id with several texts is one node: a class whose least id it is stands under it
     others = members.where("doc_id <> rep").select("doc_id", *own).distinct()
     reps = materialise(inner.join(others, ["doc_id", *own], "left_anti").dropDuplicates(["doc_id", *own]), "near-reps")
-    buckets = reps.select("doc_id", F.explode("bands").alias("k"))
+    buckets = reps.select("doc_id", "n", F.explode("bands").alias("k"))
     centres = buckets.groupBy("k").agg(F.min("doc_id").alias("c"), F.max("doc_id").alias("d")).where("c <> d")
-    full = materialise(buckets.join(centres.select("k", "c"), "k"), "near-buckets")  # only buckets of two and more
+    full = materialise(buckets.join(centres.select("k", "c"), "k").select("k", "doc_id", "n", "c"), "near-buckets")  # only buckets of two and more
     about = reps.select("doc_id", "n", "odd", "bands")
 
     # one shuffle of the texts brings the full sets of all documents that share a bucket
@@ -322,8 +330,9 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
 
     def star(pairs: DataFrame, name: str) -> DataFrame:
         """Of pairs (a, b): those whose sketches, then full sets are similar enough."""
+        # written first, so that the join of a centre with very many members can be split
         near = materialise(
-            pairs.distinct()
+            materialise(pairs.distinct(), f"{name}-pairs")
             .join(about.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("odd").alias("oa")), "a")
             .join(about.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("ob")), "b")
             .where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
@@ -339,30 +348,35 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
         union = (F.octet_length("sa") + F.octet_length("sb")) / 8 - F.col("common")
         return materialise(shared.where(F.col("common") * 100 >= union * percent).select("a", "b").distinct(), name)
 
-    def mixed(placed: DataFrame) -> DataFrame:
-        """(k, doc_id, g, m) of the buckets of (k, doc_id, g) that have members of several components."""
-        several = placed.groupBy("k").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
-        return placed.join(several.select("k", "m"), "k")
+    def mixed(at: DataFrame, found: DataFrame) -> DataFrame:
+        """(k, doc_id, n, g, m, top) of the buckets of (k, doc_id, n) whose members are in several components g; m: size, top: members of the largest."""
+        placed = at.select("k", "doc_id", "n").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("k", "doc_id", "n", F.coalesce("component", "doc_id").alias("g"))
+        parts = placed.groupBy("k", "g").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+        size = F.greatest(F.sum("c"), F.ceil(F.sum("s") / SHINGLES)).alias("m")
+        several = parts.groupBy("k").agg(F.count("*").alias("parts"), size, F.max("c").alias("top")).where("parts > 1")
+        return materialise(placed.join(several.select("k", "m", "top"), "k"), "near-mixed")
 
-    def placed(at: DataFrame, links: DataFrame) -> DataFrame:
-        return at.select("k", "doc_id").join(components(links).withColumnRenamed("id", "doc_id"), "doc_id", "left").select("k", "doc_id", F.coalesce("component", "doc_id").alias("g"))
+    def stars(found: DataFrame) -> DataFrame:
+        return found.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
 
-    links = star(full.where("doc_id <> c").select(F.col("c").alias("a"), F.col("doc_id").alias("b")), "near-first")
-    open_ = materialise(mixed(placed(full, links)), "near-mixed")
-    large = open_.where(F.col("m") >= ELECT)
+    found = components(star(full.where("doc_id <> c").select(F.col("c").alias("a"), F.col("doc_id").alias("b")), "near-first"))
+    open_ = mixed(full, found)
+    large = open_.where((F.col("m") >= ELECT) & (F.col("top") * 2 < F.col("m")))
     if not large.isEmpty():
         part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("m") / GROUP)).cast("int")
-        voters = large.join(about, "doc_id").select("k", part.alias("j"), "doc_id", "odd")
+        voters = large.join(about.drop("n"), "doc_id").select("k", part.alias("j"), "doc_id", "odd")
         elected = voters.repartition("k", "j").sortWithinPartitions("k", "j", "doc_id").mapInArrow(_elect, "k long, c long, off long").groupBy("k").agg(F.min(F.struct("off", "c")).alias("x"))
         centred = large.join(materialise(elected.select("k", "x.c"), "near-elected"), "k").where("doc_id <> c")
-        links = materialise(links.unionByName(star(centred.select(F.least("c", "doc_id").alias("a"), F.greatest("c", "doc_id").alias("b")), "near-second")), "near-links")
-        open_ = materialise(mixed(placed(open_, links)), "near-mixed")
+        second = star(centred.select(F.least("c", "doc_id").alias("a"), F.greatest("c", "doc_id").alias("b")), "near-second")
+        found = components(stars(found).unionByName(second))
+        open_ = mixed(open_, found)
+    links = stars(found)
 
     split = open_.where(F.col("m") > GROUP).groupBy("doc_id").agg(F.collect_set("k").alias("split"))
     any_split = not split.isEmpty()
 
     def compared(at: DataFrame, whole: bool) -> DataFrame:
-        """Links of buckets (k, doc_id, g, m) by full comparison; unless ``whole``, in blocks."""
+        """Links of the buckets ``at`` by full comparison; unless ``whole``, in blocks."""
         if whole:
             parts = at.select("k", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("own"), "doc_id", "g")
         else:
@@ -370,7 +384,7 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
             at = at.select("k", "doc_id", "g", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
             parts = at.select("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "g")
         none = F.array().cast("array<long>")
-        blocks = parts.join(about, "doc_id")
+        blocks = parts.join(about.hint("merge"), "doc_id")
         blocks = blocks.join(split, "doc_id", "left").withColumn("split", F.coalesce("split", none)) if any_split else blocks.withColumn("split", none)
         blocks = blocks.select(COLUMNS)
         across = materialise(blocks.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(_across(percent), BLOCKS), "near-across")
@@ -387,9 +401,9 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
             break
         keys = sets.join(large.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_splits(level), "doc_id long, splits array<long>")
         place = F.pmod(F.xxhash64("k") + F.col("turn"), F.lit(BANDS)).cast("int")
-        turns = large.select("k", "doc_id").join(keys, "doc_id").withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))))
-        finer = turns.select(F.xxhash64("k", "turn", F.get("splits", place)).alias("k"), "doc_id").distinct()
-        open_ = materialise(mixed(placed(materialise(finer, "near-finer"), links)), "near-mixed")
+        turns = large.select("k", "doc_id", "n").join(keys, "doc_id").withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))))
+        finer = turns.select(F.xxhash64("k", "turn", F.get("splits", place)).alias("k"), "doc_id", "n").distinct()
+        open_ = mixed(materialise(finer, "near-finer"), found)
         links = links.unionByName(compared(open_.where(F.col("m") <= GROUP), True))
     else:
         if not open_.where(F.col("m") > GROUP).isEmpty():
