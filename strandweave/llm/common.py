@@ -20,11 +20,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) a temporary folder takes its place.
+    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset and
+    all runs in this one process (tests) a temporary folder takes its place.
     """
     got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not got:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         got = "file://" + tempfile.mkdtemp(prefix="strandweave-")
         spark.conf.set("spark.checkpoint.dir", got)
     return got.rstrip("/")
@@ -57,6 +59,43 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it isn't there."""
+    if not hadoop_exists(spark, path):
+        return []
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return [s.getPath().getName() for s in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)]
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).open(p)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def append_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Make a file that appears whole, by a rename; False if there is one of that name, which is never replaced."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    to, part = (jvm.org.apache.hadoop.fs.Path(x) for x in (path, f"{path}.{uuid.uuid4().hex}.part"))
+    fs = to.getFileSystem(conf)
+    stream = fs.create(part, False)
+    stream.write(text.encode())
+    stream.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf)
+    try:  # without an option to overwrite
+        context.rename(fs.makeQualified(part), fs.makeQualified(to), spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+    except Exception:
+        fs.delete(part, False)
+        if fs.exists(to):
+            return False
+        raise
+    return True
+
+
 def n_words(text: Column) -> Column:
     """Number of words as bigint; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

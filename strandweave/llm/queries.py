@@ -55,4 +55,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_token_rollup": rollup.ORACLE, "op7_line_dedup": linededup.ORACLE, "op9_mix_sources": mixing.ORACLE}
+    return {"op7_line_dedup": linededup.ORACLE, "op9_mix_sources": mixing.ORACLE}
