@@ -9,9 +9,11 @@ forward-backward over the whole text: segments of ``SEGMENT`` words are reduced
 to matrices, these are chained for each document, and the segments are then
 walked together.  A document's label is the one with the most expected words.
 
-Learning reads a bounded sample: at most ``DOCS_PER_LANG`` documents of each of
-the ``MAX_LANGS`` most frequent labels, ``WINDOWS`` windows of ``WIDTH`` words
-each, drawn by hash; prediction reads every word of every text.
+Learning reads a bounded sample: of each label at most ``docs_per_label``
+documents, ``windows`` windows of ``width`` words (and at most ``window_bytes``
+bytes) each, drawn by hash of id and text.  These are parameters of ``train``.
+Every label is learned; more than ``MAX_LANGS`` are refused, since the weights
+have a column for each.  Prediction reads every word of every text.
 
 Nulls and texts without a letter get ``und`` with score 0; rows with null id or
 label aren't learned from.  Without any label all is ``und``.  Each row is
@@ -35,7 +37,7 @@ from pyspark.sql import types as T
 
 from .common import byte_groups
 
-DOCS_PER_LANG, MAX_LANGS, WINDOWS, WIDTH = 300, 32, 6, 24
+DOCS_PER_LANG, MAX_LANGS, WINDOWS, WIDTH, WINDOW_BYTES = 300, 256, 6, 24, 4096
 ORDERS, TABLE = (2, 3, 4, 5), 1 << 16
 SPLICE, ROUNDS, RATE, DECAY = 4, 50, 0.15, 1e-4
 SEGMENT, GROUP, MAX_WORDS = 64, 1 << 22, 300_000
@@ -93,11 +95,10 @@ class Model:
 
 def learn(samples: list[tuple[str, list[bytes]]], seed: int = 7) -> Model | None:
     """samples: (label, words of a window)."""
-    labels = [x for x, _ in sorted(Counter(x for x, w in samples if w).items(), key=lambda x: (-x[1], x[0]))[:MAX_LANGS]]
-    samples = sorted((x, w) for x, w in samples if w and x in labels)
+    samples = sorted((x, w) for x, w in samples if w)
+    labels = sorted({x for x, _ in samples})
     if not samples:
         return None
-    labels.sort()
     n, rng = len(labels), np.random.default_rng(seed)
     rng.shuffle(samples)
     # half of the windows make the lexicons, so that membership isn't a matter of course in the others
@@ -283,36 +284,49 @@ class Predictor:
         return labels, scores, turns.tolist()
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        labels, windows = [], []
-        for doc_id, text, label in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            words = words_of(text)
-            for i in range(WINDOWS):
-                at = xxhash.xxh3_64_intdigest(f"{doc_id}:{i}") % max(1, len(words) - WIDTH + 1)
-                labels.append(label)
-                windows.append(b" ".join(words[at : at + WIDTH])[:4096])
-        yield pa.RecordBatch.from_arrays([pa.array(labels, pa.string()), pa.array(windows, pa.binary())], names=["label", "w"])
-
-
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", learnable=None) -> Model | None:
-    """Learn from a bounded sample of the labelled rows for which ``learnable`` (a Column) holds."""
+def _windows(windows: int, width: int, window_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            labels, out = [], []
+            for doc_id, text, label in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                words = words_of(text)
+                for i in range(windows):
+                    at = xxhash.xxh3_64_intdigest(f"{doc_id}:{i}") % max(1, len(words) - width + 1)
+                    labels.append(label)
+                    out.append(b" ".join(words[at : at + width])[:window_bytes])
+            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.string()), pa.array(out, pa.binary())], names=["label", "w"])
+
+    return run
+
+
+def train(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", learnable=None,
+    docs_per_label: int = DOCS_PER_LANG, windows: int = WINDOWS, width: int = WIDTH, window_bytes: int = WINDOW_BYTES,
+) -> Model | None:
+    """Learn from a bounded sample of the labelled rows for which ``learnable`` (a Column) holds.
+
+    At most docs_per_label * windows * window_bytes bytes of each label reach the
+    driver.  Rows of one id, text and label are one document.
+    """
     from pyspark.sql import Window
 
     rows = df.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
     if learnable is not None:
         rows = rows.where(learnable)
-    rows = rows.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(label_col).alias("label"))
-    # the labels that count, at most MAX_LANGS rows, with the share of their documents that is drawn from
-    labels = rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(MAX_LANGS)
-    share = F.least(F.lit(1.0), F.lit(4.0 * DOCS_PER_LANG) / F.col("n")).alias("share")
-    drawn = F.xxhash64(F.lit("langid"), "doc_id")
-    w = Window.partitionBy("label").orderBy("drawn", "doc_id")
+    rows = rows.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(label_col).alias("label"), F.xxhash64(F.col(text_col)).alias("dk"))
+    # all labels, MAX_LANGS rows at most, with the share of their documents that is drawn from
+    labels = rows.groupBy("label").agg(F.count("*").alias("n"))
+    labels = labels.sparkSession.createDataFrame(labels.limit(MAX_LANGS + 1).collect(), labels.schema)
+    if labels.count() > MAX_LANGS:
+        raise ValueError(f"there are more than {MAX_LANGS} labels")
+    share = F.least(F.lit(1.0), F.lit(4.0 * docs_per_label) / F.col("n")).alias("share")
+    drawn = F.xxhash64(F.lit("langid"), "doc_id", "dk")
+    w = Window.partitionBy("label").orderBy("drawn", "doc_id", "dk")
     # four times the documents wanted by a threshold on the draw, then the lowest of them: what is shuffled doesn't grow with the table
-    some = rows.select("doc_id", "label", drawn.alias("drawn")).join(F.broadcast(labels.select("label", share)), "label").where((F.col("drawn") / float(1 << 64) + 0.5) <= F.col("share"))
-    ids = some.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= DOCS_PER_LANG).select("label", "doc_id").distinct()
-    sample = rows.join(F.broadcast(ids), ["doc_id", "label"], "left_semi").select("doc_id", "text", "label")
-    got = sample.mapInArrow(_windows, "label string, w binary").collect()
+    some = rows.select("doc_id", "dk", "label", drawn.alias("drawn")).join(F.broadcast(labels.select("label", share)), "label").where((F.col("drawn") / float(1 << 64) + 0.5) <= F.col("share")).distinct()
+    ids = some.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= docs_per_label).select("label", "doc_id", "dk")
+    sample = rows.join(F.broadcast(ids), ["doc_id", "dk", "label"], "left_semi").dropDuplicates(["doc_id", "dk", "label"]).select("doc_id", "text", "label")
+    got = sample.mapInArrow(_windows(windows, width, window_bytes), "label string, w binary").collect()
     return learn([(r["label"], bytes(r["w"]).split()) for r in got])
 
 

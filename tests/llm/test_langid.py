@@ -65,3 +65,19 @@ def test_odd_rows_and_no_labels(spark):
     bare = langid.identify(table(spark, [(1, "words here", None, None)])).collect()
     assert [(r.lang_pred, r.score) for r in bare] == [("und", 0.0)]
     assert langid.identify(table(spark, [])).collect() == []
+
+
+def test_more_labels_than_a_few():
+    rng = np.random.default_rng(4)
+    alphabets = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6, replace=False)) for _ in range(40)]
+    text = lambda a, n: [bytes(rng.choice(np.frombuffer(a.encode(), np.uint8), rng.integers(3, 9))) for _ in range(n)]
+    model = langid.learn([(f"l{i:02}", text(a, 24)) for i, a in enumerate(alphabets) for _ in range(30)])
+    assert model.labels == [f"l{i:02}" for i in range(40)]
+    got = langid.Predictor(model).documents([b" ".join(text(a, 60)).decode() for a in alphabets])[0]
+    assert sum(x == f"l{i:02}" for i, x in enumerate(got)) >= 36
+
+
+def test_rows_that_repeat_one_id_are_sampled_as_texts(spark):
+    rows = [(1, f"die katze sitzt auf dem dach nummer {i % 7}", "de", "x") for i in range(60)] + [(1, f"the cat sits on the roof number {i % 7}", "en", "x") for i in range(60)]
+    sample = langid.train(table(spark, rows), docs_per_label=5)
+    assert sample.labels == ["de", "en"]
