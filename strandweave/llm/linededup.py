@@ -58,12 +58,14 @@ def _near(cand: DataFrame) -> DataFrame:
     spread = cand.select("h1", "h2", "n", "ord", "l", F.explode(F.expr(f"sequence(0, n div {step})")).alias("s"))
     head = F.expr(f"substring(l, 1, s * {step})")
     roles = spread.select(
-        "*", F.explode(F.array(F.struct(F.lit("long").alias("role"), F.xxhash64(seg, head, F.expr(f"substring(l, s * {step} + {step + 1})")).alias("k")),
-                               F.struct(F.lit("short").alias("role"), F.xxhash64(seg, head, F.expr(f"substring(l, s * {step} + {step})")).alias("k")))).alias("r")
+        "*", F.explode(F.array(F.struct(F.lit("long").alias("role"), F.xxhash64(seg, "n", head, F.expr(f"substring(l, s * {step} + {step + 1})")).alias("k")),
+                               F.struct(F.lit("short").alias("role"), F.xxhash64(seg, F.col("n") + 1, head, F.expr(f"substring(l, s * {step} + {step})")).alias("k")))).alias("r")
     ).select("h1", "h2", "n", "ord", "s", "r.role", "r.k", F.expr(f"substring(l, s * {step} + 1, {step})").alias("part"))
     roles = materialise(roles.where("role = 'short' or part <> ''"), "lines-segments")
-    shared = roles.groupBy("k").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("k")
-    open_ = roles.join(shared, "k", "left_semi")
+    shared = roles.where(F.col("n") >= step - 1).groupBy("k").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("k")
+    # nothing surrounds the one segment of a line that is shorter: all of one length have one key, which says nothing
+    short = F.col("n") < step
+    open_ = roles.where(short).unionByName(roles.where(~short).join(shared, "k", "left_semi"))
     deleted = open_.where("role = 'long'").select(
         "h1", "h2", "ord",
         F.explode(F.expr("""
