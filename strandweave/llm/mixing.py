@@ -1,7 +1,8 @@
 """Mixing sources to target weights.
 
 Every document gets a hash-random key; within its source the documents are
-ordered by that key (range-sorted: the key's first hex digits are its range),
+ordered by that key (range-sorted: the key's first hex digits are its range, so
+many of them that a range has about ``RANGE_ROWS`` rows at most),
 word counts are summed per range and then prefix-summed, and each source is cut
 at its exact budget.  Budgets above a source's size repeat whole epochs first.
 
@@ -17,13 +18,15 @@ one by one.  An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, materialise, n_words
 
-#: Hex digits of the key that make a range: 4096 ranges a source.
-RANGE_DIGITS = 3
+#: Rows that a range, which one task sorts where a budget ends in it, should have at most; hex digits that make a range at least.
+RANGE_ROWS, LEAST_DIGITS = 1 << 18, 3
 
 
 def source_targets(sizes: DataFrame, max_epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -69,7 +72,9 @@ def _decide(df: DataFrame, id_col: str, source_col: str, text_col: str, max_epoc
             F.xxhash64(F.col(text_col)).alias("dk"),
         ),
         "mix-sizes",
-    ).withColumn("rng", F.substring("key", 1, RANGE_DIGITS))
+    )
+    digits = max(LEAST_DIGITS, math.ceil(math.log(max(1, sized.count() / RANGE_ROWS), 16)))
+    sized = sized.withColumn("rng", F.substring("key", 1, digits))
     per_range = sized.groupBy("source", "rng").agg(F.sum("size").alias("words"))
     per_range = materialise(per_range, "mix-ranges")
     sources = source_targets(per_range.groupBy("source").agg(F.sum("words").alias("source_size")), max_epochs, weights)
