@@ -25,6 +25,8 @@ from .common import materialise
 
 #: Bytes that a record takes besides its text.
 OVERHEAD = 16
+#: Bytes of a range, unless there would be fewer than LEAST_RANGES; keys drawn a range.
+RANGE_BYTES, LEAST_RANGES, DRAWS = 1 << 30, 1024, 32
 
 
 def boundaries(keys: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
@@ -42,13 +44,15 @@ def assign_shards(
     n_shards: int = 40,
     id_col: str = "doc_id",
     text_col: str = "text",
-    ranges: int = 1024,
-    draws: int = 32768,
+    ranges: int | None = None,
+    draws: int | None = None,
 ) -> DataFrame:
     """One row per record: id, size, text_crc32, law, shard, slot, grown_shard.
 
-    ``draws`` is the expected number of sampled keys and the only thing besides
-    sums per range (at most 3 * ``ranges`` rows) that reaches the driver.
+    The number of ranges, each sorted in a task, grows with all bytes (about a
+    GB each), and so do ``draws``, the expected number of sampled keys.  These
+    and sums per range (at most 3 * ``ranges`` rows) are all that reaches the
+    driver: for 100 TB about 3 million keys and 300,000 sums.
     """
     spark = df.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -63,6 +67,8 @@ def assign_shards(
         "shard-keys",
     )
     total = keys.agg(F.sum("size")).first()[0] or 0
+    ranges = ranges or max(LEAST_RANGES, -(-total // RANGE_BYTES))
+    draws = draws or DRAWS * ranges
     # the draw is by key, so rows that repeat count as one with their summed size
     weighed = keys.groupBy("h1", "h2").agg(F.sum("size").alias("w"))
     u = F.pmod(F.xxhash64(F.lit("draw"), "h1", "h2"), F.lit(1 << 40)) / float(1 << 40)
