@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions import exprs
+from ..functions import exprs, perbase
 
 #: Filters in their order, as they are named in reports.
 FATES = ("too_short", "too_long", "too_many_n", "too_many_expected_errors", "too_high_average_error_rate", "casava_filtered", "discard_trimmed", "discard_untrimmed")
@@ -45,13 +45,13 @@ def too_many_n(limit: float):
 
 
 def too_many_expected_errors(limit: float):
-    return lambda p: F.coalesce(exprs.too_many_expected_errors(F.col(f"{p}qualities"), limit), F.lit(False))
+    return lambda p: F.coalesce(perbase.too_many_expected_errors(F.col(f"{p}qualities"), limit), F.lit(False))
 
 
 def too_high_average_error(rate: float):
     if not 0 < rate < 1:
         raise ValueError("an average error rate lies between 0 and 1")
-    return lambda p: exprs.too_high_average_error(F.col(f"{p}qualities"), rate)
+    return lambda p: perbase.too_high_average_error(F.col(f"{p}qualities"), rate)
 
 
 def casava_filtered(p: str) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import exprs
+from ..functions import exprs, perbase
 from ..functions.exprs import piece
 
 
@@ -38,14 +38,14 @@ def cut(df: DataFrame, p: str, length: int) -> DataFrame:
 
 
 def nextseq_trim(df: DataFrame, p: str, cutoff: int, base: int = 33) -> DataFrame:
-    stop = F.coalesce(exprs.nextseq_stop(F.col(f"{p}sequence"), F.col(f"{p}qualities"), cutoff, base), F.length(f"{p}sequence"))
+    stop = F.coalesce(perbase.nextseq_stop(F.col(f"{p}sequence"), F.col(f"{p}qualities"), cutoff, base), F.length(f"{p}sequence"))
     return cut_to(df, p, 0, stop, f"{p}quality_trimmed")
 
 
 def quality_trim(df: DataFrame, p: str, front: int, back: int, base: int = 33) -> DataFrame:
     qual, size = F.col(f"{p}qualities"), F.length(f"{p}sequence")
-    start = F.coalesce(exprs.quality_start(qual, front, base), F.lit(0)) if front else F.lit(0)
-    stop = F.coalesce(exprs.quality_stop(qual, back, base), size) if back else size
+    start = F.coalesce(perbase.quality_start(qual, front, base), F.lit(0)) if front else F.lit(0)
+    stop = F.coalesce(perbase.quality_stop(qual, back, base), size) if back else size
     df = df.withColumns({f"{p}_s": start, f"{p}_e": stop})
     empty = F.col(f"{p}_s") >= F.col(f"{p}_e")
     return cut_to(df, p, F.when(empty, 0).otherwise(F.col(f"{p}_s")), F.when(empty, 0).otherwise(F.col(f"{p}_e")), f"{p}quality_trimmed").drop(f"{p}_s", f"{p}_e")
@@ -54,7 +54,7 @@ def quality_trim(df: DataFrame, p: str, front: int, back: int, base: int = 33) -
 def poly_a_trim(df: DataFrame, p: str, reverse: bool = False) -> DataFrame:
     """Removes a poly-A tail, or with ``reverse`` a poly-T head; ``poly_a_trimmed`` has its length."""
     seq = F.col(f"{p}sequence")
-    df = df.withColumn(f"{p}_at", exprs.poly_t_stop(seq) if reverse else exprs.poly_a_start(seq))
+    df = df.withColumn(f"{p}_at", perbase.poly_t_stop(seq) if reverse else perbase.poly_a_start(seq))
     at = F.col(f"{p}_at")
     df = df.withColumn(f"{p}poly_a_trimmed", at if reverse else F.length(seq) - at)
     return (cut_to(df, p, at, F.length(seq)) if reverse else cut_to(df, p, 0, at)).drop(f"{p}_at")
