@@ -6,6 +6,8 @@ a mismatch or a deletion), N ends and poly-A tails in turn.
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +17,7 @@ from ..functions import align
 from ..functions import spec as notation
 from ..functions.align import hamming_environment
 from ..operators import fates, matching, modifiers, sinks
-from ..operators.statistics import counts
+from ..operators.statistics import collect, counts
 from ..sources import fastx, storage
 from . import matrix, report
 from .trim import Side, TrimSpec, demultiplexed, trim
@@ -560,8 +562,253 @@ scanned("src2_fasta", True, "none", "select name, sequence from reads")
 scanned("src7_fastq_gzip", False, "gzip", "select name, sequence, qualities from reads")
 
 
-# Pairs from streams of reads
+# Files of pairs: written in order and read again
+
+
+def _text_file(spark: SparkSession, name: str, rows: DataFrame, order: list[str]) -> str:
+    """A FASTQ file (a folder of parts) of the rows in order."""
+    path = storage.scratch(spark, name)
+    rows.orderBy(*order).select(sinks.record("", False)).write.text(path)
+    return path
+
+
+_PAIRS = "select reads.name as name1, reads.sequence as sequence1, reads2.name as name2, reads2.sequence as sequence2, reads2.qualities as qualities2 from reads join reads2 using (rid)"
+_PAIR_COLUMNS = ["name1", "sequence1", "name2", "sequence2", "qualities2"]
+
+
+@query("src5_read_pairs", _PAIRS, pairs=True)
+def src5_read_pairs(spark, sf_dir):
+    paths = [_text_file(spark, f"pairs{k}", synthetic(spark, sf_dir, *x), ["rid"]) for k, x in enumerate([(), ("m", 2)])]
+    return fastx.read_pairs(spark, *paths).select(_PAIR_COLUMNS)
+
+
+@query("src6_read_interleaved", _PAIRS, pairs=True)
+def src6_read_interleaved(spark, sf_dir):
+    one, two = synthetic(spark, sf_dir), synthetic(spark, sf_dir, "m", 2)
+    both = one.withColumn("mate", F.lit(1)).unionByName(two.withColumn("mate", F.lit(2)))
+    return fastx.read_interleaved(spark, _text_file(spark, "interleaved", both, ["rid", "mate"])).select(_PAIR_COLUMNS)
+
+
+@query("src4_formats", "select * from (values ('fastq', 'fastq'), ('fasta', 'fasta'), ('fastq gzip', 'fastq')) t (written, found)")
+def src4_formats(spark, sf_dir):
+    """What files hold, told by their first bytes."""
+    rows = []
+    for written, fasta, codec in (("fastq", False, "none"), ("fasta", True, "none"), ("fastq gzip", False, "gzip")):
+        path = storage.scratch(spark, "sniff")
+        synthetic(spark, sf_dir).select(sinks.record("", fasta)).write.option("compression", codec).text(path)
+        rows += [(written, fastx.sniff(fastx.head_bytes(spark, name))) for name, _ in fastx._files(spark, path)]
+    return spark.createDataFrame(rows, "written string, found string").distinct()
+
+
+@query("src8_adapter_file", _BAR_PICK)
+def src8_adapter_file(spark, sf_dir):
+    """Barcodes from a FASTA file on the driver."""
+    with tempfile.TemporaryDirectory() as folder:
+        with open(f"{folder}/barcodes.fasta", "w") as f:
+            f.writelines(f">{n} a barcode\n{b[:3]}\n{b[3:]}\n" for n, b in BARCODES.items())
+        found = back(f"^file:{folder}/barcodes.fasta", where="front", errors=0.25, indels=False, adapter_wildcards=False)
+    return trim(synthetic(spark, sf_dir), TrimSpec(Side(found), demultiplex="name")).select("rid", "demux")
+
+
+#: Notations of adapters, with what they mean: (where, notation, kind, sequence, name, errors allowed, least overlap).
+NOTATIONS = [
+    ("back", "ACGTACGTAC", "back", "ACGTACGTAC", "1", 1, 3), ("front", "first=ACGTACGTAC;e=0.2;o=5", "front", "ACGTACGTAC", "first", 2, 5),
+    ("front", "^ACGT;max_errors=1", "prefix", "ACGT", "1", 1, 4), ("back", "ACGT$", "suffix", "ACGT", "1", 0, 4), ("front", "XACGT", "edge_front", "ACGT", "1", 0, 3),
+    ("back", "ACGTXXX", "edge_back", "ACGT", "1", 0, 3), ("anywhere", "AC{3}GU", "anywhere", "ACCCGT", "1", 0, 3), ("front", "ACGT;rightmost", "rightmost_front", "ACGT", "1", 0, 3),
+    ("back", "GGG...", "front", "GGG", "1", 0, 3), ("back", "...GGG", "back", "GGG", "1", 0, 3), ("back", "ANIA;min_overlap=9", "back", "ANNA", "1", 0, 4),
+]
+
+
+@query("adp15_notation", "select * from (values " + ", ".join(repr(x) for x in NOTATIONS) + ") t (place, notation, kind, sequence, name, errors, overlap)")
+def adp15_notation(spark, sf_dir):
+    rows = []
+    for place, text, *_ in NOTATIONS:
+        (a,) = notation.adapters([(place, text)], max_errors=0.1, min_overlap=3)
+        rows.append((place, text, a.kind, a.sequence, a.name, int(a.rate * len(a)), a.min_overlap))
+    return spark.createDataFrame(rows, "place string, notation string, kind string, sequence string, name string, errors int, overlap int")
+
+
+# Side outputs of pairs, of two rounds and of both strands
+
+
+def _info(name: str, sequence: str, qualities: str, hit: str, place: str, n: str, adapter: str, flag: str = "''") -> str:
+    """SQL of a line of the info file for a 3' adapter without errors."""
+    cut = lambda x: f"left({x}, cast({place} as int)), substring({x}, cast({place} as int) + 1, cast({n} as int)), substring({x}, cast({place} as int) + cast({n} as int) + 1)"
+    return (
+        f"case when {hit} then concat_ws(chr(9), {name}, '0', cast({place} as varchar), cast({place} as int) + cast({n} as int), {cut(sequence)}, '{adapter}', {cut(qualities)}, {flag})"
+        f" else concat_ws(chr(9), {name}, '-1', {sequence}, {qualities}) end"
+    )
+
+
+@query("snk3_paired_info", "select reads.rid, " + _info("reads.name", "reads.sequence", "reads.qualities", "position('ACGTA' in reads.sequence) > 0", "(position('ACGTA' in reads.sequence) - 1)", "5", "a") + " as line1, "
+       + _info("reads2.name", "reads2.sequence", "reads2.qualities", "position('CGTAC' in reads2.sequence) > 0", "(position('CGTAC' in reads2.sequence) - 1)", "5", "b") + " as line2 from reads join reads2 using (rid)", pairs=True)
+def snk3_paired_info(spark, sf_dir):
+    out = trim(synthetic_pairs(spark, sf_dir), TrimSpec(Side(back("a=ACGTA", min_overlap=5)), Side(back("b=CGTAC", min_overlap=5))))
+    return out.select("rid", *[sinks.info_lines(f"r{k}_", [n], [False])[0].alias(f"line{k}") for k, n in ((1, "a"), (2, "b"))])
+
+
+@errors_query("snk2_info_of_two_rounds", f""", {_better("x", "reads")}, again as (select rid, sequence from x where adapter is not null), {_better("y", "again")}
+select rid, 1 + cast(coalesce(x.adapter, -1) >= 0 and coalesce(y.adapter, -1) >= 0 as int) as n_lines, case when x.adapter is null then -1 else x.errors end as errors1, coalesce(case when y.adapter is not null then y.errors end, -2) as errors2,
+ length(case when x.adapter is null then reads.sequence else x.sequence end) as left1 from reads join x using (rid) left join y using (rid)""")
+def snk2_info_of_two_rounds(spark, sf_dir):
+    """Fields of the lines: how many, errors of the first and second, length of what the first leaves."""
+    out = trim(synthetic(spark, sf_dir), TrimSpec(Side(back(f"a={ADAPTER}", "b=ACGTACG", errors=0.1)), times=2))
+    lines = out.select("rid", F.transform(sinks.info_lines("", ["a", "b"], [False, False]), lambda x: F.split(x, "\t")).alias("f"))
+    first, second = F.col("f")[0], F.get(F.col("f"), F.lit(1))
+    left = F.when(first[1] == "-1", F.length(first[2])).otherwise(F.length(first[4]))
+    return lines.select("rid", F.size("f").alias("n_lines"), first[1].cast("int").alias("errors1"), F.coalesce(second[1].cast("int"), F.lit(-2)).alias("errors2"), left.cast("long").alias("left1"))
+
+
+@query("snk4_wildcard_lines", "select rid, substring(sequence, 2, 3) || ' ' || name as line from reads where sequence like 'A___C%'")
+def snk4_wildcard_lines(spark, sf_dir):
+    spec = TrimSpec(Side(back("^ANNNC", where="front", indels=False)))
+    out = trim(synthetic(spark, sf_dir), spec)
+    return out.select("rid", sinks.wildcard_line("", spec.cutter(spec.first)).alias("line")).where("line is not null")
+
+
+def routed(name: str, argv: list[str], sql: str, pairs: bool = False) -> None:
+    """The lines that a command line writes, each with its sink."""
+
+    @query(name, sql, pairs)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from . import cli
 
+        a = cli.parser().parse_args([*argv, "in.fastq", *(["in2.fastq"] if pairs else [])])
+        spec = cli.to_spec(a, pairs)
+        rows, _ = cli.plan_outputs(a, spec, False)
+        reads = synthetic_pairs(spark, sf_dir) if pairs else synthetic(spark, sf_dir)
+        return trim(reads, spec).select("rid", F.explode(sinks.routed(rows)).alias("x")).select("rid", "x.sink", "x.text")
+
+
+def _record(reads: str, sequence: str, qualities: str) -> str:
+    return f"'@' || {reads}.name || chr(10) || {sequence} || chr(10) || '+' || chr(10) || {qualities}"
+
+
+_R1, _R2 = (_record(r, f"{r}.sequence", f"{r}.qualities") for r in ("reads", "reads2"))
+routed("snk5_first_reads_and_second_reads", ["-o", "o1.fastq", "-p", "o2.fastq"], f"""
+select rid, 'out.1' as sink, {_R1} as text from reads union all select rid, 'out.2', {_R2} from reads2""", pairs=True)
+routed("snk6_interleaved", ["--interleaved", "-o", "both.fastq"], f"""
+select rid, 'out.1' as sink, {_R1} as text from reads union all select rid, 'out.1', {_R2} from reads2""", pairs=True)
+routed("snk7_demultiplexed", ["-g", "b1=^ACG", "-g", "b2=^TTG", "-e", "0", "--no-indels", "-o", "{name}.fastq"], f"""
+select rid, 'demux-' || case left(sequence, 3) when 'ACG' then 'b1' when 'TTG' then 'b2' else 'unknown' end || '.1' as sink,
+ {_record("reads", "case when left(sequence, 3) in ('ACG', 'TTG') then substring(sequence, 4) else sequence end", "case when left(sequence, 3) in ('ACG', 'TTG') then substring(qualities, 4) else qualities end")} as text from reads""")
+routed("snk11_rejects", ["-m", "30", "-M", "70", "--too-short-output", "s.fastq", "--too-long-output", "l.fastq", "-o", "o.fastq"], f"""
+select rid, case when length(sequence) < 30 then 'too_short.1' when length(sequence) > 70 then 'too_long.1' else 'out.1' end as sink, {_R1} as text from reads""")
+routed("snk11_untrimmed", ["-g", "^ACG", "-e", "0", "--no-indels", "--untrimmed-output", "u.fastq", "-o", "o.fastq"], f"""
+select rid, case when left(sequence, 3) = 'ACG' then 'out.1' else 'untrimmed.1' end as sink, {_record("reads", "case when left(sequence, 3) = 'ACG' then substring(sequence, 4) else sequence end", "case when left(sequence, 3) = 'ACG' then substring(qualities, 4) else qualities end")} as text from reads""")
+routed("snk10_fasta_by_name", ["-o", "o.fasta.gz"], "select rid, 'out.1' as sink, '>' || name || chr(10) || sequence as text from reads")
+
+
+#: Names of outputs, and whether FASTA is written for input that is FASTQ or FASTA.
+_NAMED = [("o.fastq", False, False), ("o.fq.gz", False, False), ("o.fasta", True, True), ("o.fa.xz", True, True), ("o.fna", True, True), ("o.csfasta", True, True), ("o.other", False, True), ("o.txt", False, True)]
+
+
+@query("snk10_formats_by_name", "select * from (values " + ", ".join(f"('{n}', {a}, {b})" for n, a, b in _NAMED) + ") t (path, of_fastq, of_fasta)")
+def snk10_formats_by_name(spark, sf_dir):
+    from . import cli
+
+    return spark.createDataFrame([(n, cli._is_fasta(n, False, False), cli._is_fasta(n, False, True)) for n, _, _ in _NAMED], "path string, of_fastq boolean, of_fasta boolean")
+
+
+@query("snk12_paths_given_twice", "select * from (values ('-o a --info-file a', true), ('-o a -r b', false), ('-o a -m 5 --too-short-output a', true), ('-o a -r /dev/null --info-file /dev/null', false)) t (options, refused)")
+def snk12_paths_given_twice(spark, sf_dir):
+    from . import cli
+
+    rows = []
+    for options in ("-o a --info-file a", "-o a -r b", "-o a -m 5 --too-short-output a", "-o a -r /dev/null --info-file /dev/null"):
+        a = cli.parser().parse_args([*options.split(), "in.fastq"])
+        try:
+            cli.check(a, False)
+            rows.append((options, False))
+        except cli.UsageError:
+            rows.append((options, True))
+    return spark.createDataFrame(rows, "options string, refused boolean")
+
+
+# Reports: as rows of (path, value)
+
+
+@query("agg10_error_ranges", "select * from (values ('ACGTACGTACGT', 0.1, 0, 9), ('ACGTACGTACGT', 0.1, 1, 12), ('ACGTACGTACGT', 0.25, 0, 3), ('ACGTACGTACGT', 0.25, 1, 7), ('ACGTACGTACGT', 0.25, 2, 11), ('ACGTACGTACGT', 0.25, 3, 12), ('ACNNNNGT', 0.5, 0, 1), ('ACNNNNGT', 0.5, 1, 3), ('ACNNNNGT', 0.5, 2, 4)) t (sequence, rate, errors, up_to)".replace("0.1,", "0.1::double,").replace("0.25,", "0.25::double,").replace("0.5,", "0.5::double,"))
+def agg10_error_ranges(spark, sf_dir):
+    rows = []
+    for text, rate in (("ACGTACGTACGT", 0.1), ("ACGTACGTACGT", 0.25), ("ACNNNNGT", 0.5)):
+        (a,) = back(text, errors=rate)
+        rows += [(text, rate, e, n) for e, n in enumerate(report.error_lengths(a))]
+    return spark.createDataFrame(rows, "sequence string, rate double, errors int, up_to int")
+
+
+def _leaves(value, path: str = ""):
+    """(path, number) of all numbers in a structure."""
+    if isinstance(value, report.OnLine):
+        value = value.value
+    if isinstance(value, dict):
+        for k, v in value.items():
+            yield from _leaves(v, f"{path}.{k}" if path else k)
+    elif isinstance(value, list):
+        for i, v in enumerate(value):
+            yield from _leaves(v, f"{path}.{i}")
+    elif isinstance(value, (int, float)) and not isinstance(value, bool):
+        yield path, value
+
+
+_JSON = {
+    "read_counts.input": "count(*)", "read_counts.filtered.too_short": "count(*) filter (fate is not null)", "read_counts.output": "count(*) filter (fate is null)",
+    "read_counts.read1_with_adapter": "count(place)", "basepair_counts.input": "sum(size)", "basepair_counts.input_read1": "sum(size)",
+    "basepair_counts.quality_trimmed": "sum(size - length(sequence))", "basepair_counts.quality_trimmed_read1": "sum(size - length(sequence))",
+    "basepair_counts.output": "sum(len) filter (fate is null)", "basepair_counts.output_read1": "sum(len) filter (fate is null)",
+    "adapters_read1.0.total_matches": "count(place)", "adapters_read1.0.three_prime_end.matches": "count(place)",
+    **{f"adapters_read1.0.three_prime_end.adjacent_bases.{b}": f"count(*) filter (place > 0 and substring(sequence, cast(place as int), 1) = '{b}')" for b in "ACGT"},
+    "adapters_read1.0.three_prime_end.adjacent_bases.": "count(*) filter (place = 0 or substring(sequence, cast(place as int), 1) = 'N')",
+}
+
+
+@query("agg13_json_report", _FLAG + " union all ".join(f"select '{k}' as path, cast({v} as bigint) as value from f" for k, v in _JSON.items()))
+def agg13_json_report(spark, sf_dir):
+    spec = _flagship()
+    got = report.json_report(collect(trim(synthetic(spark, sf_dir), spec), spec))
+    rows = [(p, int(v)) for p, v in _leaves(got) if not p.startswith("adapters_read1.0.three_prime_end.") or ".adjacent_bases." in p or p.endswith(".matches")]
+    return spark.createDataFrame(rows, "path string, value long")
+
+
+@query("agg13_json_lengths", _FLAG + """
+, c as (select cast(length(sequence) - place as bigint) as len, count(*) as n from f where place is not null group by 1)
+select len, n, round((select count(*) from f) * pow(0.25, least(len, 12)), 1) as expect from c""")
+def agg13_json_lengths(spark, sf_dir):
+    spec = _flagship()
+    got = report.json_report(collect(trim(synthetic(spark, sf_dir), spec), spec))
+    rows = [x.value for x in got["adapters_read1"][0]["three_prime_end"]["trimmed_lengths"]]
+    return spark.createDataFrame([(x["len"], sum(x["counts"]), x["expect"]) for x in rows], "len long, n long, expect double")
+
+
+@query("agg11_full_report", _FLAG + """
+select 'Total reads processed:' as label, cast(count(*) as bigint) as value from f union all select 'Reads with adapters:', count(place) from f union all select 'Reads that were too short:', count(*) filter (fate is not null) from f
+union all select 'Reads written (passing filters):', count(*) filter (fate is null) from f union all select 'Total basepairs processed:', cast(sum(size) as bigint) from f
+union all select 'Quality-trimmed:', cast(sum(size - length(sequence)) as bigint) from f union all select 'Total written (filtered):', cast(sum(len) filter (fate is null) as bigint) from f""")
+def agg11_full_report(spark, sf_dir):
+    """The figures of the report's summary."""
+    spec = _flagship()
+    text = report.full_report(collect(trim(synthetic(spark, sf_dir), spec), spec))
+    rows = re.findall(r"(?m)^(\S[^:\n]*:) +([\d,]+)(?: bp)?(?: \(|$)", text)
+    return spark.createDataFrame([(label, int(n.replace(",", ""))) for label, n in rows], "label string, value long")
+
+
+@query("agg12_one_line_report", _FLAG + """
+select 'in_reads' as name, cast(count(*) as bigint) as value from f union all select 'in_bp', cast(sum(size) as bigint) from f union all select 'too_short', count(*) filter (fate is not null) from f
+union all select 'too_long', 0 union all select 'too_many_n', 0 union all select 'out_reads', count(*) filter (fate is null) from f union all select 'w/adapters', count(place) from f
+union all select 'qualtrim_bp', cast(sum(size - length(sequence)) as bigint) from f union all select 'out_bp', cast(sum(len) filter (fate is null) as bigint) from f""")
+def agg12_one_line_report(spark, sf_dir):
+    spec = _flagship()
+    head, row = report.minimal_report(collect(trim(synthetic(spark, sf_dir), spec), spec)).split("\n")
+    return spark.createDataFrame([(k, int(v)) for k, v in zip(head.split("\t"), row.split("\t")) if k != "status"], "name string, value long")
+
+
+@query("aln5_edit_environment", ", e as (select column0 as text, levenshtein(column0, 'ACGTA') as errors from (" + " union all ".join(
+    "select " + " || ".join(f"x{i}.c" for i in range(n)) + " as column0 from " + ", ".join(f"(values ('A'), ('C'), ('G'), ('T')) x{i} (c)" for i in range(n)) for n in range(3, 8)) + ")) select text, cast(errors as bigint) as errors from e where errors <= 2")
+def aln5_edit_environment(spark, sf_dir):
+    return spark.createDataFrame([(t, e) for t, e, _ in align.edit_environment("ACGTA", 2)], "text string, errors long")
+
+
+# Pairs from streams of reads
 
 @query("src6_interleaved", "select reads.rid, reads.sequence as sequence1, reads2.sequence as sequence2 from reads join reads2 using (rid)", pairs=True)
 def src6_interleaved(spark, sf_dir):
