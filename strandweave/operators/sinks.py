@@ -82,23 +82,24 @@ def _fs(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def gather(spark: SparkSession, folder: str, target: str, compress: bool = True) -> None:
+def gather(spark: SparkSession, parts: list[str], target: str, level: int | None = None) -> None:
     """Joins a sink's parts in their order to one file; a sink without parts gives an empty file.
 
     The bytes are copied between streams of the file system.  A ``.gz`` or
-    ``.bz2`` target is compressed on the way where the parts aren't.
+    ``.bz2`` target is compressed on the way, gzip by ``level``.
     """
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    src, fs = _fs(spark, folder)
+    jvm, conf = spark._jvm, spark._jvm.org.apache.hadoop.conf.Configuration(spark._jsc.hadoopConfiguration())
+    if level is not None:
+        levels = jvm.org.apache.hadoop.io.compress.zlib.ZlibCompressor.CompressionLevel
+        conf.setEnum("zlib.compress.level", next(x for x in levels.values() if x.compressionLevel() == level))
     dst, out_fs = _fs(spark, target)
     out = out_fs.create(dst, True)
-    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(dst) if compress else None
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(dst)
     if codec is not None:
         out = codec.createOutputStream(out)
     try:
-        parts = sorted((s.getPath().toString() for s in fs.listStatus(src) if s.getPath().getName().startswith("part-")), key=lambda x: (len(x), x)) if fs.exists(src) else []
         for part in parts:
-            q = jvm.org.apache.hadoop.fs.Path(part)
+            q, fs = _fs(spark, part)
             stream = fs.open(q)
             jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 1 << 20, False)
             stream.close()

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import argparse
 import os
-import shutil
 import sys
+import time
+from collections.abc import Iterator
+from contextlib import redirect_stdout
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .. import __version__
 from ..functions import spec as notation
-from ..functions.adapters import Linked
+from ..functions.adapters import Index, Linked, Matcher
 from ..functions.exprs import InvalidTemplate
 from ..operators import sinks
 from ..operators.statistics import Statistics, collect
@@ -43,8 +45,8 @@ def parser() -> argparse.ArgumentParser:
     p = _Parser(prog="strandweave", description="Trims adapters and more from sequencing reads.", allow_abbrev=False)
     add = p.add_argument
     add("--version", action="version", version=__version__)
-    add("--debug", action="count", default=0)
-    add("--profile", action="store_true")
+    add("--debug", action="count", default=0, help="print the plan that Spark runs")
+    add("--profile", action="store_true", help="print the seconds that the parts of a run take")
     add("-j", "--cores", type=int, default=0, help="cores of a local run (0: all)")
     add("--gc-content", type=float, default=50)
     add("--buffer-size", type=int, default=4_000_000, help="has no effect; Spark sizes its partitions")
@@ -92,7 +94,7 @@ def parser() -> argparse.ArgumentParser:
     add("-o", "--output", metavar="FILE")
     add("-p", "--paired-output", metavar="FILE")
     add("--fasta", action="store_true")
-    add("--compression-level", type=int, default=1, help="has no effect; codecs use their own default")
+    add("--compression-level", type=int, default=1, help="of gz, xz and zst outputs that aren't sharded")
     add("-Z", dest="compression_level", action="store_const", const=1)
     add("--unordered", action="store_true", help="outputs needn't be in the order of inputs; nothing is shuffled then")
     add("--sharded", action="store_true", help="leave each output as a folder of parts")
@@ -322,14 +324,28 @@ def _replace(path: str, names: dict[str, str]) -> str:
 
 
 def _input(path: str, spark: SparkSession) -> str:
+    """A path; the standard input is copied to the shared folder first, where executors can read it."""
     if path != "-":
         return path
-    target = storage.scratch(spark, "stdin").removeprefix("file://")
-    with open(target, "wb") as f:
-        shutil.copyfileobj(sys.stdin.buffer, f)
+    target = storage.scratch(spark, "stdin")
+    storage.write_chunks(spark, target, iter(lambda: sys.stdin.buffer.read(1 << 20), b""))
     return target
 
 
+def warnings(a: argparse.Namespace, spec: TrimSpec, has_qualities: bool) -> Iterator[str]:
+    """What a run leaves undone without failing."""
+    if not has_qualities:
+        for name in ("max_ee", "max_aer"):
+            if getattr(a, name) is not None:
+                yield f"--{name.replace('_', '-')} does nothing, as the input has no qualities"
+    for _, side in spec.sides:
+        cutter = spec.cutter(side)
+        for index in (x for x in Matcher(side.adapters).plan if isinstance(x, Index)) if cutter and cutter.index else ():
+            if index.ambiguous:
+                some = ", ".join(sorted(index.ambiguous)[:3])
+                yield f"{len(index.ambiguous)} sequences, such as {some}, are equally near to several adapters; reads with these aren't trimmed (--no-index takes the first adapter)"
+
+
 def read_input(spark: SparkSession, a: argparse.Namespace, paired: bool) -> tuple[DataFrame, str]:
     paths = [_input(p, spark) for p in a.inputs]
     files = fastx._files(spark, paths[0])
@@ -355,12 +371,21 @@ def run(argv: list[str], spark: SparkSession | None = None) -> Statistics:
         result = trim(reads, spec, has_qualities).persist(StorageLevel.MEMORY_AND_DISK)
     except InvalidTemplate as e:
         raise UsageError(str(e)) from e
+    for text in warnings(a, spec, has_qualities):
+        print(f"strandweave: warning: {text}", file=sys.stderr)
+    if a.debug:
+        with redirect_stdout(sys.stderr):
+            result.explain("formatted")
+    began, seconds = time.time(), {}
     folder = storage.scratch(spark, "sinks")
     try:
         sinks.write_sinks(result, rows, folder, ordered=not a.unordered)
+        seconds["reading, trimming and writing"] = time.time() - began
         stats = collect(result, spec, has_qualities)
+        seconds["statistics"] = time.time() - began - sum(seconds.values())
         for o in outs:
-            storage.deliver(spark, f"{folder}/sink={storage.escaped(spark, o.sink)}", o.path, a.sharded)
+            storage.deliver(spark, f"{folder}/sink={storage.escaped(spark, o.sink)}", o.path, a.sharded, a.compression_level)
+        seconds["joining parts to files"] = time.time() - began - sum(seconds.values())
     finally:
         result.unpersist()
         storage.drop(spark, folder)
@@ -369,6 +394,8 @@ def run(argv: list[str], spark: SparkSession | None = None) -> Statistics:
                 "input": {"path1": a.inputs[0], "path2": a.inputs[1] if len(a.inputs) > 1 else None, "paired": paired}}
         with open(a.json, "w") as f:
             f.write(report.dumps(report.json_report(stats, a.gc_content / 100, **head)) + "\n")
+    if a.profile:
+        print("\n".join(f"{s:9.2f} s {what}" for what, s in seconds.items()), file=sys.stderr)
     if not a.quiet:
         text = report.minimal_report(stats) if a.report == "minimal" else report.full_report(stats, a.gc_content / 100)
         print(text, file=sys.stderr if any(o.path == "-" for o in outs) else sys.stdout)

@@ -8,6 +8,7 @@ side outputs need; nothing is shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -70,8 +71,14 @@ class TrimSpec:
     #: None, "name" (last adapter of the first read) or "both" (of either read)
     demultiplex: str | None = None
     prefilter: bool = True
+    #: steps of one's own, after those that change sequences: each takes the table and a side's prefix ("", "r1_", "r2_") and returns the table
+    modifiers: list[Callable[[DataFrame, str], DataFrame]] = field(default_factory=list)
+    #: filters of one's own, after all others: a fate, and a predicate that takes a side's prefix and returns a condition
+    filters: list[tuple[str, Callable[[str], Column]]] = field(default_factory=list)
 
     def __post_init__(self):
+        if taken := {name for name, _ in self.filters} & {*fates.FATES, None}:
+            raise ValueError(f"{taken.pop()} is the fate of another filter")
         if self.action not in matching.ACTIONS:
             raise ValueError(f"an action is one of {', '.join(matching.ACTIONS)}")
         if self.discard not in (None, "trimmed", "untrimmed"):
@@ -174,6 +181,9 @@ def modified(reads: DataFrame, spec: TrimSpec) -> DataFrame:
     for p, side in sides:
         if side.length is not None:
             df = modifiers.shorten(df, p, side.length)
+    for p, _ in sides:
+        for step in spec.modifiers:
+            df = step(df, p)
     return _names(df, spec)
 
 
@@ -208,6 +218,8 @@ def filter_tests(spec: TrimSpec, has_qualities: bool = True) -> list[tuple[str,
     elif spec.discard == "untrimmed" or spec.untrimmed_apart:
         one_sided = spec.second is not None and not (spec.first.adapters and spec.second.adapters)
         add("discard_untrimmed", fates.untrimmed, how="both" if one_sided else mode)
+    for name, test in spec.filters:
+        add(name, test)
     return out
 
 

@@ -1,7 +1,10 @@
 """Whole runs from files to files."""
 
 import gzip
+import io
 import json
+import lzma
+import sys
 
 import pytest
 
@@ -97,3 +100,38 @@ def test_missing_and_broken_inputs(go, tmp_path):
     go("-o", "@out.fastq", inputs=("nothing.fastq",), code=1)
     (tmp_path / "bad.fastq").write_text("@r\nACGT\n+\nII\n")
     go("-o", "@out.fastq", inputs=("bad.fastq",), code=1)
+
+
+def test_warnings(go, tmp_path, capfd):
+    (tmp_path / "in.fasta").write_text(">r1\nACGTT\n>r2\nACGAT\n")
+    go("--quiet", "--max-ee", "1", "-g", "a=^ACGT", "-g", "b=^ACGA", "-e", "1", "--no-indels", "-o", "@out.fasta", inputs=("in.fasta",))
+    err = capfd.readouterr().err
+    assert "--max-ee does nothing" in err and "equally near to several adapters" in err
+    go("--quiet", "-a", "AGGG", "-o", "@out.fastq")
+    assert "warning" not in capfd.readouterr().err
+
+
+def test_plans_and_seconds(go, capfd):
+    go("--quiet", "--debug", "--profile", "-q", "10", "-o", "@out.fastq")
+    err = capfd.readouterr().err
+    assert "ArrowEvalPython" in err and "statistics" in err
+
+
+@pytest.mark.parametrize("suffix, opened", [("gz", gzip.open), ("xz", lzma.open)])
+def test_levels_of_compression(go, tmp_path, suffix, opened):
+    sizes = []
+    for level in ("0", "9"):
+        go("--quiet", "--compression-level", level, "-o", f"@out{level}.fastq.{suffix}")
+        with opened(tmp_path / f"out{level}.fastq.{suffix}", "rt") as f:
+            assert f.read() == fastq(READS)
+        sizes.append((tmp_path / f"out{level}.fastq.{suffix}").stat().st_size)
+    assert sizes[1] < sizes[0] or suffix == "xz"
+
+
+def test_standard_input(go, tmp_path, monkeypatch):
+    class Stdin:
+        buffer = io.BytesIO(fastq(READS).encode())
+
+    monkeypatch.setattr(sys, "stdin", Stdin)
+    assert cli.main(["--quiet", "-l", "3", "-o", str(tmp_path / "out.fastq"), "-"]) == 0
+    assert (tmp_path / "out.fastq").read_text() == fastq([(n, s[:3], q[:3]) for n, s, q in READS])

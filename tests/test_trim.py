@@ -138,4 +138,18 @@ def test_contradictions():
 
 def test_nothing_is_shuffled_and_the_search_runs_once(spark):
     plan = trim(queries.synthetic(spark, SF), busy())._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
+    # one pass each for qualities, adapters and poly-A, as each needs what the one before leaves
+    assert "Exchange" not in plan and plan.count("ArrowEvalPython [search(") == 1 and plan.count("ArrowEvalPython") == 3
+
+
+def test_steps_and_filters_of_ones_own(spark):
+    """A step that turns reads around, and a filter with a fate of its own after those that are built in."""
+    turn = lambda df, p: df.withColumns({f"{p}{c}": F.reverse(f"{p}{c}") for c in ("sequence", "qualities")})
+    spec = TrimSpec(Side(cut=[1], min_length=3), modifiers=[turn], filters=[("begins_with_t", lambda p: F.startswith(F.col(f"{p}sequence"), F.lit("T")))])
+    got = run(spark, spec, ("a", "ACGT", "ABCD"), ("b", "TTCG", "ABCD"), ("c", "AT", "AB"))
+    assert [(r.sequence, r.qualities, r.fate) for r in got] == [("TGC", "DCB", "begins_with_t"), ("GCT", "DCB", None), ("T", "B", "too_short")]
+    out = trim(table(spark, ("a", "ACGT", "ABCD"), ("b", "TTCG", "ABCD")), spec)
+    stats = collect(out, spec)
+    assert report.json_report(stats)["read_counts"]["filtered"]["begins_with_t"] == 1 and "begins_with_t" in report.full_report(stats)
+    with pytest.raises(ValueError):
+        TrimSpec(filters=[("too_short", lambda p: F.lit(True))])
