@@ -36,8 +36,8 @@ from .common import byte_groups
 MAX_STATES = 150_000
 #: Bytes after which settled tokens are emitted.
 WINDOW = 1024
-#: Pieces (and pairs) remembered before a cache starts anew.
-MAX_PIECES = 400_000
+#: Pieces of at most so many characters are remembered (and pairs), and so many before a cache starts anew.
+PIECE_CHARS, MAX_PIECES = 64, 400_000
 #: Characters matched at once, pieces joined and ids decoded at once.
 CHUNK = 1 << 20
 PIECES = 1 << 16
@@ -146,14 +146,14 @@ class Transducer:
         """Token ids of one piece, each emitted once all alternatives share it."""
         if len(self.states) > MAX_STATES:
             self._fresh()
-        state, moves, ends = 0, self.moves, []
+        state, moves, ends, limit = 0, self.moves, [], WINDOW
         for byte in piece:
             got = moves.get(state << 8 | byte)
             if got is None:
                 got = self._move(state, byte)
             state, token = got
             ends.append(token)
-            if len(ends) == WINDOW:
+            if len(ends) >= limit:
                 chains = [self._back(ends, len(ends) - len(o))[::-1] for o, _ in self.states[state]]
                 shared = []
                 for same in zip(*chains):
@@ -163,8 +163,8 @@ class Transducer:
                 if shared:
                     yield shared
                     del ends[: sum(len(self.names[t]) for t in shared)]
-                if len(ends) == WINDOW:
-                    raise AssertionError("lookahead is bounded by the longest token")
+                # what can't be told yet is held, and looked at again after as many bytes
+                limit = max(WINDOW, len(ends) + WINDOW // 2)
         yield self._back(ends, len(ends))[::-1]
 
     def encode(self, piece: bytes) -> list[int]:
@@ -205,9 +205,11 @@ class Tokenizer:
 
         class Pieces(dict):
             def __missing__(self, piece: str) -> bytes:
-                if len(self) > MAX_PIECES:
-                    self.clear()
-                ids = self[piece] = b"".join(i.to_bytes(4, "little") for i in outer.fst.encode(piece.encode()))
+                ids = b"".join(i.to_bytes(4, "little") for i in outer.fst.encode(piece.encode()))
+                if len(piece) <= PIECE_CHARS:
+                    if len(self) > MAX_PIECES:
+                        self.clear()
+                    self[piece] = ids
                 return ids
 
         self.pieces = Pieces()
