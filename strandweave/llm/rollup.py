@@ -40,14 +40,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import append_once, drop_path, list_names, materialise, read_text, scratch
-from .idfile import GROUP, TIED, library
+from .idfile import GROUP, TIED, Chunks, library
 
 KEYS = ["source", "lang", "tokenizer"]
 SCHEMA = "source string, lang string, tokenizer string, d_docs long, d_tokens long"
 #: Tokenizer versions and their files.
 VERSIONS = {"byte_bpe_50k": "byte_bpe_50k.json", "byte_bpe_multi_50k": "byte_bpe_multi_50k.tiktoken"}
-#: Chunks of at most so many characters have their counts remembered, and so many.
-CHUNK_CHARS, MAX_CHUNKS = 48, 300_000
 
 
 @dataclass
@@ -137,27 +135,19 @@ class Counter:
     """Numbers of tokens of texts by one tokenizer; special strings as its library has them by default."""
 
     def __init__(self, path: str):
-        self.known: dict[str, int] = {}
         if path.endswith(".tiktoken"):
-            import tiktoken
-
             with open(path, "rb") as f:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            self.special, self.count = [], lambda text: len(encoding.encode_ordinary(text))
+                self.chunks = Chunks({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
+            self.special, self.encode = [], self.chunks.whole
         else:
             lib = library(path)
-            self.special, self.count = lib.special, lambda text: len(lib.encode([text])[0]) // 2
+            self.chunks, self.special, self.encode = lib.chunks, lib.special, lambda text: lib.encode([text])[0]
+
+    def count(self, text: str) -> int:
+        return len(self.encode(text)) // 2
 
-    def chunk(self, text: str) -> int:
-        got = self.known.get(text)
-        if got is None:
-            got = self.count(text)
-            if len(text) <= CHUNK_CHARS:
-                if len(self.known) >= MAX_CHUNKS:
-                    self.known.clear()
-                self.known[text] = got
-        return got
+    def counts(self, chunks: list[str]) -> np.ndarray:
+        return np.fromiter(map(len, self.chunks.ids(chunks)), np.int64, len(chunks)) // 2
 
 
 @cache
@@ -172,7 +162,7 @@ def count_tokens(texts: pa.Array, counters: list[Counter]) -> list[np.ndarray]:
     whole = pc.match_substring_regex(texts, TIED)  # can't be cut at their spaces
     for special in {s for c in counters for s in c.special}:
         whole = pc.or_(whole, pc.match_substring(texts, special))
-    whole = whole.to_numpy(zero_copy_only=False)
+    whole = whole.to_numpy(zero_copy_only=False) | any(c.chunks is None for c in counters)
     for i in np.flatnonzero(whole):
         text = texts[i].as_py()
         for o, c in zip(out, counters):
@@ -190,10 +180,11 @@ def count_tokens(texts: pa.Array, counters: list[Counter]) -> list[np.ndarray]:
         first = np.zeros(len(index), bool)
         first[at[:-1]] = True  # has no space before it
         used = np.bincount(index[~first], minlength=len(words)) > 0
+        chunks = [" " + w if u else "" for w, u in zip(words, used.tolist())]
+        starts = [words[i] for i in index[at[:-1]].tolist()]
         for o, c in zip(out, counters):
-            per_word = np.fromiter((c.chunk(" " + w) if u else 0 for w, u in zip(words, used.tolist())), np.int64, len(words))
-            each = per_word[index]
-            each[at[:-1]] = [c.chunk(words[i]) for i in index[at[:-1]].tolist()]
+            each = c.counts(chunks)[index]
+            each[at[:-1]] = c.counts(starts)
             o[some] = np.add.reduceat(each, at[:-1])
         start = end
     return out
