@@ -45,7 +45,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete what ``materialise`` wrote for these; nothing that is still to be computed may read them."""
+    for df in frames:
+        drop_path(df.sparkSession, df.written_to)
 
 
 def hadoop_exists(spark: SparkSession, path: str) -> bool:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release
 
 
 def _state(e: DataFrame) -> tuple:
@@ -22,14 +22,16 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     result of each round is written to the shared folder.
     """
     e = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    state = _state(e)
+    state, before = _state(e), e
     while state[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         e = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = e.groupBy("a").agg(F.min("b").alias("m"))
         small = e.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = materialise(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), name)
+        old, e = before, materialise(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), name)
+        before = e
+        release(old)
         now = _state(e)
         if now == state:
             break

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise
+from .common import materialise, release
 from .graph import components
 
 ROWS, BANDS, BITS = 6, 50, 1024
@@ -308,31 +308,37 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     """
     if percent < 80:
         raise ValueError("the bands are laid out for similarities of 0.8 or more")
+    steps: list[DataFrame] = []
+
+    def step(df: DataFrame, name: str) -> DataFrame:
+        steps.append(materialise(df, name))
+        return steps[-1]
+
     docs = df.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text")
     sketched = materialise(docs.mapInArrow(_sketch(width), "doc_id long, n long, f1 long, f2 long, bands array<long>, odd array<long>"), "near-sketches")
     inner, own = sketched.where("n > 0 and doc_id is not null"), ["n", "f1", "f2"]
     # written, so that the join reads two plain shuffles and a set with very many copies can be split
     several = inner.groupBy(own).agg(F.min("doc_id").alias("rep"), F.count("*").alias("m")).where("m > 1").drop("m")
-    several = materialise(several, "near-classes")
-    members = materialise(inner.select("doc_id", *own).join(several, own, "left").withColumn("rep", F.coalesce("rep", "doc_id")), "near-members")
+    several = step(several, "near-classes")
+    members = step(inner.select("doc_id", *own).join(several, own, "left").withColumn("rep", F.coalesce("rep", "doc_id")), "near-members")
     same = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     # an id with several texts is one node: a class whose least id it is stands under it
     others = members.where("doc_id <> rep").select("doc_id", *own).distinct()
-    reps = materialise(inner.join(others, ["doc_id", *own], "left_anti").dropDuplicates(["doc_id", *own]), "near-reps")
+    reps = step(inner.join(others, ["doc_id", *own], "left_anti").dropDuplicates(["doc_id", *own]), "near-reps")
     buckets = reps.select("doc_id", "n", F.explode("bands").alias("k"))
     centres = buckets.groupBy("k").agg(F.min("doc_id").alias("c"), F.max("doc_id").alias("d")).where("c <> d")
-    full = materialise(buckets.join(centres.select("k", "c"), "k").select("k", "doc_id", "n", "c"), "near-buckets")  # only buckets of two and more
+    full = step(buckets.join(centres.select("k", "c"), "k").select("k", "doc_id", "n", "c"), "near-buckets")  # only buckets of two and more
     about = reps.select("doc_id", "n", "odd", "bands")
 
     # one shuffle of the texts brings the full sets of all documents that share a bucket
     ids = full.select("doc_id").distinct()
-    sets = materialise(docs.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, s binary").dropDuplicates(), "near-sets")
+    sets = step(docs.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, s binary").dropDuplicates(), "near-sets")
 
     def star(pairs: DataFrame, name: str) -> DataFrame:
         """Of pairs (a, b): those whose sketches, then full sets are similar enough."""
         # written first, so that the join of a centre with very many members can be split
-        near = materialise(
-            materialise(pairs.distinct(), f"{name}-pairs")
+        near = step(
+            step(pairs.distinct(), f"{name}-pairs")
             .join(about.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("odd").alias("oa")), "a")
             .join(about.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("ob")), "b")
             .where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
@@ -346,7 +352,7 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
             .withColumn("common", _common("sa", "sb"))
         )
         union = (F.octet_length("sa") + F.octet_length("sb")) / 8 - F.col("common")
-        return materialise(shared.where(F.col("common") * 100 >= union * percent).select("a", "b").distinct(), name)
+        return step(shared.where(F.col("common") * 100 >= union * percent).select("a", "b").distinct(), name)
 
     def mixed(at: DataFrame, found: DataFrame) -> DataFrame:
         """(k, doc_id, n, g, m, top) of the buckets of (k, doc_id, n) whose members are in several components g; m: size, top: members of the largest."""
@@ -354,7 +360,7 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
         parts = placed.groupBy("k", "g").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
         size = F.greatest(F.sum("c"), F.ceil(F.sum("s") / SHINGLES)).alias("m")
         several = parts.groupBy("k").agg(F.count("*").alias("parts"), size, F.max("c").alias("top")).where("parts > 1")
-        return materialise(placed.join(several.select("k", "m", "top"), "k"), "near-mixed")
+        return step(placed.join(several.select("k", "m", "top"), "k"), "near-mixed")
 
     def stars(found: DataFrame) -> DataFrame:
         return found.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
@@ -366,7 +372,7 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
         part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("m") / GROUP)).cast("int")
         voters = large.join(about.drop("n"), "doc_id").select("k", part.alias("j"), "doc_id", "odd")
         elected = voters.repartition("k", "j").sortWithinPartitions("k", "j", "doc_id").mapInArrow(_elect, "k long, c long, off long").groupBy("k").agg(F.min(F.struct("off", "c")).alias("x"))
-        centred = large.join(materialise(elected.select("k", "x.c"), "near-elected"), "k").where("doc_id <> c")
+        centred = large.join(step(elected.select("k", "x.c"), "near-elected"), "k").where("doc_id <> c")
         second = star(centred.select(F.least("c", "doc_id").alias("a"), F.greatest("c", "doc_id").alias("b")), "near-second")
         found = components(stars(found).unionByName(second))
         open_ = mixed(open_, found)
@@ -387,13 +393,13 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
         blocks = parts.join(about.hint("merge"), "doc_id")
         blocks = blocks.join(split, "doc_id", "left").withColumn("split", F.coalesce("split", none)) if any_split else blocks.withColumn("split", none)
         blocks = blocks.select(COLUMNS)
-        across = materialise(blocks.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(_across(percent), BLOCKS), "near-across")
+        across = step(blocks.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(_across(percent), BLOCKS), "near-across")
         # a document's set goes once to each block that has a pair of it, not to each pair
         more = across.join(sets, "doc_id").select(*COLUMNS, "s").repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(_links(percent), "a long, b long")
-        return materialise(more.distinct(), "near-more")
+        return step(more.distinct(), "near-more")
 
     if any_split:
-        split = materialise(split, "near-split")
+        split = step(split, "near-split")
     links = links.unionByName(compared(open_.where(F.col("m") <= GROUP), True))
     for level in range(LEVELS):
         large = open_.where(F.col("m") > GROUP)
@@ -403,12 +409,13 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
         place = F.pmod(F.xxhash64("k") + F.col("turn"), F.lit(BANDS)).cast("int")
         turns = large.select("k", "doc_id", "n").join(keys, "doc_id").withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))))
         finer = turns.select(F.xxhash64("k", "turn", F.get("splits", place)).alias("k"), "doc_id", "n").distinct()
-        open_ = mixed(materialise(finer, "near-finer"), found)
+        open_ = mixed(step(finer, "near-finer"), found)
         links = links.unionByName(compared(open_.where(F.col("m") <= GROUP), True))
     else:
         if not open_.where(F.col("m") > GROUP).isEmpty():
             links = links.unionByName(compared(open_.where(F.col("m") > GROUP), False))
     whole = components(links.unionByName(same))
+    release(*steps)
     counts = sketched.select("doc_id", F.col("n").alias("n_shingles"))
     return (
         counts.join(whole.withColumnRenamed("id", "doc_id"), "doc_id", "left")
