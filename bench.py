@@ -15,11 +15,14 @@ sys.path.insert(0, str(ROOT))
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 
 from pyspark.sql import SparkSession  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 
 from strandweave.functions import spec as notation  # noqa: E402
 from strandweave.plans import queries  # noqa: E402
 from strandweave.plans.trim import Side, TrimSpec, trim  # noqa: E402
 
+#: Times that each synthetic read is taken; long reads, and how many short ones make one (about 20,000 bases).
+COPIES, LONG, PIECES = 4, 2000, 360
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 
@@ -50,9 +53,15 @@ def main() -> None:
     seconds = {}
     with tempfile.TemporaryDirectory() as tmp:
         reads_path = f"{tmp}/reads"
-        queries.synthetic(spark, SF_DIR).repartition(int(CPUS)).write.parquet(reads_path)
+        made = queries.synthetic(spark, SF_DIR)
+        several = made.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(COPIES)))).withColumn("rid", F.col("rid") * COPIES + F.col("copy")).drop("copy")
+        several.repartition(int(CPUS)).write.parquet(reads_path)
         n = spark.read.parquet(reads_path).count()
+        long_path = f"{tmp}/long"
+        long = made.orderBy("rid").limit(LONG).withColumns({c: F.repeat(c, F.lit(PIECES)) for c in ("sequence", "qualities")})
+        long.repartition(int(CPUS)).write.parquet(long_path)
         every = {name: (lambda s=s: trim(spark.read.parquet(reads_path), s)) for name, s in plans().items()}
+        every["native_steps_long_reads"] = lambda: trim(spark.read.parquet(long_path), plans()["native_steps"])
         try:
             from strandweave.llm import queries as llm
         except ImportError:
@@ -61,7 +70,7 @@ def main() -> None:
             every |= {name: (lambda f=f: f(spark, SF_DIR)) for name, f in llm.queries().items()}
         for name, f in every.items():
             best = None
-            for _ in range(2 if name in plans() else 1):  # the first of two also starts workers and compiles
+            for _ in range(2 if name in plans() or "long" in name else 1):  # the first of two also starts workers and compiles
                 began = time.time()
                 f().write.format("noop").mode("overwrite").save()
                 best = min(best or 1e9, time.time() - began)
