@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before has
 kept; its result is written as Parquet and read again as the next one's docs.
+
+In all stages a row is a document: rows that share an id but not a text are
+several, a null id is no copy of another, and an empty table gives an empty one.
+Columns besides those of documents pass through; their names must not begin with
+two underscores.
 """
 
 from __future__ import annotations
@@ -17,7 +22,11 @@ LEAST_SCORE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts that are null or without letters, and those without a prevailing language."""
+    """Rejects texts that are null or without letters, and those without a prevailing language.
+
+    Learns from the labelled rows that op3 learns from; without any label all go.
+    Rows that repeat are judged alike.
+    """
     model = langid.train(docs, learnable=langid.remainder() != 2)
     return docs.where(langid.accepted(docs, model, LEAST_SCORE))
 
@@ -28,6 +37,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document that loses lines and has none of full length left goes, unless
     one of its shorter lines is in no earlier document (by id and hash of the
     text): what is left of a copy goes, and every line stays where it is first.
+    A null text has no lines and stays; a null id sorts first; rows of one id and
+    text are one document here and lose the same lines.
     """
     reduced = materialise(linededup.dedup_lines(docs.withColumn("__dk", F.xxhash64("text"))), "lines-reduced")
     line = F.btrim("line", F.lit(linededup.SPACE)).alias("l")
@@ -61,12 +72,17 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as the mix takes them, once an epoch."""
+    """The documents as the mix takes them, once an epoch.
+
+    A null source is one of its own, last in order; null and empty texts have no
+    words to take and go.  Of rows of one id, source and text, each is taken for
+    itself; the one in which a budget ends is cut after its last word taken.
+    """
     return mixing.apply_mix(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, held against it by decoding."""
+    """Token ids of each text, held against it by decoding; a null text has none, and every row stands alone."""
     return bpe.encode_rows(docs, ["doc_id", "lang", "source"])
 
 
