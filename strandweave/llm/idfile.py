@@ -308,41 +308,37 @@ def decode_blocks(coded: list[bytes], sizes: list[int], table: Table | None = No
         at1, at2 = base1[:m] + prev[:m], base2[:m] + _pair(prev[:m], prev2[:m])
         e1, e2 = table1.take(at1), table2.take(at2)
         p1, p2, c1, c2 = e1 >> 2, e2 >> 2, e1 & 3, e2 & 3
-        agree = (p1 == p2) & (c1 > 0) & (c2 > 0)
-        at = base_class[:m] + _classes(c1, c2, agree)
+        s1, s2, same = c1 > 0, c2 > 0, p1 == p2
+        at = base_class[:m] + _classes(c1, c2, same & s1 & s2)
         w = weight.take(at, axis=0)
-        w0, w1, w2 = w[:, 0], w[:, 1], w[:, 2]
-        total = (w0 + w1 + w2) * SLOTS
+        w0, w1, w2 = w[:, 0], w[:, 1] * SLOTS, w[:, 2] * SLOTS
+        total = w0 * SLOTS + w1 + w2
         unit = np.floor(rng[:m] / total)
         v = np.minimum(np.floor(code[:m] / unit), total - 1)
-        # the steps at the predictions, the lesser id first
-        turn = p2 < p1
-        pa_, pb, wa, wb = np.where(turn, p2, p1), np.where(turn, p1, p2), np.where(turn, w2, w1) * SLOTS, np.where(turn, w1, w2) * SLOTS
-        both_a, both_b = flat_both.take(base1[:m] + pa_), flat_both.take(base1[:m] + pb)
-        low_a, low_b = w0 * (both_a >> above), w0 * (both_b >> above) + wa
-        top_a, top_b = low_a + w0 * (both_a & mask) + wa, low_b + w0 * (both_b & mask) + wb
-        same = pa_ == pb
-        top_a += np.where(same, wb, 0.0)
-        beyond_a, beyond_b = v >= top_a, (v >= top_b) & ~same
-        slot = np.floor((v - np.where(beyond_a, wa, 0.0) - np.where(beyond_b | (same & beyond_a), wb, 0.0)) / w0)
-        x = flat_symbol.take(base_slot[:m] + np.minimum(slot, SLOTS - 1).astype(np.int64))
-        x = np.where(~beyond_a & (v >= low_a), pa_, x)
-        x = np.where(~same & ~beyond_b & (v >= low_b) & beyond_a, pb, x)
-        right2, right1 = (p2 == x) & (c2 > 0), (p1 == x) & (c1 > 0) & ~agree
+        # where the predictions' intervals start and how wide they are; below them and between, order 0 decides
+        both1, both2 = flat_both.take(base1[:m] + p1), flat_both.take(base1[:m] + p2)
+        low1, low2 = w0 * (both1 >> above) + w2 * (p2 < p1), w0 * (both2 >> above) + w1 * (p1 < p2)
+        wide1, wide2 = w0 * (both1 & mask) + w1 + w2 * same, w0 * (both2 & mask) + w2 + w1 * same
+        from1, from2 = v >= low1, v >= low2
+        hit1, hit2 = from1 & (v < low1 + wide1), from2 & (v < low2 + wide2)
+        past = w1 * from1 + w2 * from2
+        slot = np.minimum(np.maximum((v - past) / w0, 0.0), SLOTS - 1.0).astype(np.int64)  # of no use within those intervals
+        x = flat_symbol.take(base_slot[:m] + slot)
         both = flat_both.take(base1[:m] + x)
-        first = w0 * (both >> above) + (w1 * (p1 < x) + w2 * (p2 < x)) * SLOTS
-        share = w0 * (both & mask) + (w1 * right1 + w2 * right2) * SLOTS
-        code[:m] -= unit * first
+        first, share = w0 * (both >> above) + past, w0 * (both & mask)
+        for p, hit, low, wide in ((p1, hit1, low1, wide1), (p2, hit2, low2, wide2)):
+            x, first, share = np.where(hit, p, x), np.where(hit, low, first), np.where(hit, wide, share)
         rng[:m] = np.maximum(unit * share, 1.0)
+        code[:m] = np.minimum(np.maximum(code[:m] - unit * first, 0.0), rng[:m])  # changes broken files only
         while len(few := np.flatnonzero(rng[:m] < LEAST)):
             word = at_word.take(few)
             code[few] = code.take(few) * WORD + flat.take(word, mode="clip")
             at_word[few] = word + n
             rng[few] *= WORD
+        right1, right2 = hit1 & s1, hit2 & s2
         flat_weight[at * 3 + np.where(right2, 2, right1)] += HIT
         fresh = (x << 2) + np.uint16(1)
-        table1[at1] = np.where((p1 == x) & (c1 > 0), np.minimum(e1 + (c1 < 3), e1 | 3), fresh)
-        table2[at2] = np.where(right2, np.minimum(e2 + (c2 < 3), e2 | 3), fresh)
+        table1[at1], table2[at2] = np.where(right1, e1 + (c1 < 3), fresh), np.where(right2, e2 + (c2 < 3), fresh)
         prev2[:m] = prev[:m]
         prev[:m] = x
         ids[t, :m] = x
