@@ -31,13 +31,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import byte_groups
+from .common import CACHES, byte_groups, keep_only
 
 MAX_STATES = 150_000
 #: Bytes after which settled tokens are emitted.
 WINDOW = 1024
 #: Pieces of at most so many characters are remembered (and pairs), and so many before a cache starts anew.
-PIECE_CHARS, MAX_PIECES = 64, 400_000
+PIECE_CHARS, MAX_PIECES = 64, 250_000
 #: Characters matched at once, pieces joined and ids decoded at once.
 CHUNK = 1 << 20
 PIECES = 1 << 16
@@ -243,6 +243,9 @@ def tokenizer(path: str, pattern: str) -> Tokenizer:
     return Tokenizer(read_ranks(path), pattern)
 
 
+CACHES["bpe"] = tokenizer
+
+
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -251,6 +254,7 @@ def bpe_digests(df: DataFrame, path: str | None = None, pattern: str | None = No
     path, pattern = path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern or public_tokenizers.PATTERN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("bpe")
         t = tokenizer(path, pattern)
         for batch in batches:
             n, ids_sha, text_sha = [], [], []
@@ -275,6 +279,7 @@ def encode_rows(df: DataFrame, keep: list[str], path: str | None = None, pattern
     rows = df.select(df[text_col].alias("__text"), *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("bpe")
         t = tokenizer(path, pattern)
         for batch in batches:
             texts = [x or "" for x in batch.column(0).to_pylist()]

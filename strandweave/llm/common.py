@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -56,6 +57,19 @@ def release(*frames: DataFrame) -> None:
         drop_path(df.sparkSession, df.written_to)
 
 
+#: What worker processes keep between tasks: a cached function for each name.
+CACHES: dict = {}
+
+
+def keep_only(name: str | None) -> None:
+    """In a worker: let go of what other operators than ``name`` keep, as workers outlive stages."""
+    others = [f for n, f in CACHES.items() if n != name and f.cache_info().currsize]
+    for f in others:
+        f.cache_clear()
+    if others:
+        gc.collect()
+
+
 def hadoop_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

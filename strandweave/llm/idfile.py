@@ -46,7 +46,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import CACHES, keep_only, scratch
 
 MAGIC, HEAD = b"CMRC3", "<IIQIIII"
 BLOCK, LANES = 4096, 2048
@@ -520,6 +520,9 @@ def library(path: str) -> LibraryPieces:
     return LibraryPieces(path)
 
 
+CACHES["idfile"] = library
+
+
 def write_ids(df: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode texts in ascending order of id and write their files as rows (part, seq, n_ids, file) below ``path``."""
     tokenizer = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
@@ -528,6 +531,7 @@ def write_ids(df: DataFrame, path: str, tokenizer: str | None = None, end_id: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        keep_only("idfile")
         part, seq, lib = TaskContext.get().partitionId(), 0, library(tokenizer)
         if lib.vocab > 1 << 16:
             raise ValueError("ids must fit into 16 bits")

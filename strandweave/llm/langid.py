@@ -35,12 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_groups
+from .common import byte_groups, keep_only
 
 DOCS_PER_LANG, MAX_LANGS, WINDOWS, WIDTH, WINDOW_BYTES = 300, 256, 6, 24, 4096
 ORDERS, TABLE = (2, 3, 4, 5), 1 << 16
 SPLICE, ROUNDS, RATE, DECAY = 4, 50, 0.15, 1e-4
-SEGMENT, GROUP, MAX_WORDS = 64, 1 << 22, 300_000
+SEGMENT, GROUP, MAX_WORDS = 64, 1 << 21, 150_000
 LETTER = regex.compile(r"\p{L}")
 _K = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint32)
 
@@ -335,6 +335,7 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     shared = df.sparkSession.sparkContext.broadcast(model)  # its size is fixed: TABLE rows and a bounded lexicon
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only(None)
         p = Predictor(shared.value) if shared.value else None
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
@@ -352,6 +353,7 @@ def accepted(df: DataFrame, model: Model | None, least_score: float, text_col: s
 
     @F.arrow_udf(T.BooleanType())
     def ok(texts: pa.Array) -> pa.Array:
+        keep_only(None)
         if shared.value is None:
             return pa.array([False] * len(texts), pa.bool_())
         p, out, values = state.setdefault("p", Predictor(shared.value)), [], texts.to_pylist()

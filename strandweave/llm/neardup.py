@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, release
+from .common import keep_only, materialise, release
 from .graph import components
 
 ROWS, BANDS, BITS = 6, 50, 1024
@@ -123,6 +123,7 @@ def odd_sketch(sig: np.ndarray) -> np.ndarray:
 
 def _sketch(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only(None)
         words, none = Words(), np.zeros(0, np.int64)
         for batch in batches:
             n, f1, f2, bands, odd = [], [], [], [], []
