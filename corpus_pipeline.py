@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandweave.llm import bpe, langid, linededup, mixing, neardup
-from strandweave.llm.common import documents, materialise
+from strandweave.llm.common import documents, materialise, release
 
 #: Documents in which no language has this share of the words are rejected.
 LEAST_SCORE = 0.5
@@ -40,14 +40,22 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text has no lines and stays; a null id sorts first; rows of one id and
     text are one document here and lose the same lines.
     """
-    reduced = materialise(linededup.dedup_lines(docs.withColumn("__dk", F.xxhash64("text"))), "lines-reduced")
+    gone = linededup.removed_lines(docs)
+    texts = docs.select("doc_id", F.xxhash64("text").alias("dk"), F.split("text", "\n").alias("ls"))
     line = F.btrim("line", F.lit(linededup.SPACE)).alias("l")
-    short = docs.select("doc_id", F.xxhash64("text").alias("dk"), F.explode(F.split("text", "\n")).alias("line")).select("doc_id", "dk", line)
+    short = texts.select("doc_id", "dk", F.explode("ls").alias("line")).select("doc_id", "dk", line)
     short = short.where((F.length("l") > 0) & (F.length("l") < linededup.MIN_CHARS))
-    first = short.groupBy("l").agg(F.min(F.struct("doc_id", "dk")).alias("o")).select(F.col("o.doc_id").alias("__i"), F.col("o.dk").alias("__k")).distinct()
-    bare = F.expr("n_removed > 0 and n_left = 0")
-    own = reduced.where(bare).join(first.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("__dk") == F.col("__k")), "left_semi")
-    out = reduced.where(~bare).unionByName(own)
+    first = short.groupBy("l").agg(F.min(F.struct("doc_id", "dk")).alias("o")).select("o.doc_id", "o.dk").distinct()
+    full = F.size(F.filter("ls", lambda x: F.length(F.btrim(x, F.lit(linededup.SPACE))) >= linededup.MIN_CHARS))
+    sizes = texts.select("doc_id", "dk", full.alias("n")).distinct()
+    # decided by numbers of lines, so that the reduced texts needn't be written before the result
+    same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.dk") == F.col(f"{b}.dk"))
+    bare = gone.alias("g").join(sizes.alias("s").hint("merge"), same("g", "s")).where(F.size("gone") == F.col("n")).select("g.doc_id", "g.dk")
+    goes = bare.alias("b").join(first.alias("f").hint("merge"), same("b", "f"), "left_anti").select("doc_id", "dk").withColumn("goes", F.lit(True))
+    marked = gone.alias("g").join(goes.alias("b").hint("merge"), same("g", "b"), "left").select("g.doc_id", "g.dk", F.when(F.col("goes").isNull(), F.col("gone")).alias("gone"))
+    marked = materialise(marked, "lines-marked")
+    release(gone)
+    out = linededup.without_lines(docs, marked)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
@@ -93,7 +101,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), []
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

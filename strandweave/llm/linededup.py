@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release
 
 MIN_CHARS, SEGMENT = 20, 64
 SPACE = " \t\r\x0b\x0c"
@@ -53,7 +53,7 @@ def _half_keys() -> Column:
 
 
 def _near(cand: DataFrame) -> DataFrame:
-    """Of distinct lines (h1, h2, ord, l, n): those within one edit of an earlier one."""
+    """Of distinct lines (h1, h2, ord, l, n): those within one edit of an earlier one, written to the shared folder."""
     seg, step = F.col("s"), SEGMENT
     spread = cand.select("h1", "h2", "n", "ord", "l", F.explode(F.expr(f"sequence(0, n div {step})")).alias("s"))
     head = F.expr(f"substring(l, 1, s * {step})")
@@ -75,6 +75,7 @@ def _near(cand: DataFrame) -> DataFrame:
     )
     full = open_.where("role = 'short'").select("h1", "h2", "ord", F.struct(F.lit("F").alias("kind"), F.xxhash64("k", F.left("part", F.lit(step - 1))).alias("key")).alias("v"))
     variants = materialise(deleted.unionByName(full).select("h1", "h2", "ord", "v.kind", "v.key"), "lines-variants")
+    release(roles)
     who = F.struct("ord", "h1", "h2")
     firsts = variants.groupBy("key").agg(*[F.min(F.when(F.col("kind") == k, who)).alias(k) for k in "SDF"])
     partner = F.when(F.col("kind") == "S", F.col("S")).when(F.col("kind") == "D", F.col("F")).otherwise(F.col("D"))
@@ -83,12 +84,17 @@ def _near(cand: DataFrame) -> DataFrame:
     )
     texts = cand.select("h1", "h2", "l")
     other = cand.select(F.col("h1").alias("p1"), F.col("h2").alias("p2"), F.col("l").alias("pl"))
-    near = F.levenshtein("l", "pl", 1)
-    return pairs.join(texts, ["h1", "h2"]).join(other, ["p1", "p2"]).where(near.between(0, 1)).select("h1", "h2").distinct()
+    edits = F.levenshtein("l", "pl", 1)
+    near = materialise(pairs.join(texts, ["h1", "h2"]).join(other, ["p1", "p2"]).where(edits.between(0, 1)).select("h1", "h2").distinct(), "lines-near")
+    release(variants)
+    return near
 
 
 def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, dk (hash of the text), gone: the places of the lines that go; documents that lose none are left out."""
+    """doc_id, dk (hash of the text), gone: the places of the lines that go; documents that lose none are left out.
+
+    It is written to the shared folder, and what was written on the way is deleted.
+    """
     lines = _lines(df, id_col, text_col, min_chars)
     classes = materialise(
         lines.withColumn("halves", _half_keys()).groupBy("h1", "h2").agg(F.min(F.struct(*ORD)).alias("ord"), F.count("*").alias("copies"), F.first("halves").alias("halves")),
@@ -110,14 +116,20 @@ def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .withColumn("n", F.length("l")),
         "lines-candidates",
     )
-    near = materialise(_near(cand).withColumn("near", F.lit(True)), "lines-near")
-    affected = classes.where("copies > 1").select("h1", "h2", "ord").join(near, ["h1", "h2"], "full").select("h1", "h2", "ord", F.coalesce("near", F.lit(False)).alias("near"))
-    return (
+    release(wanted)
+    near = _near(cand)
+    release(cand)
+    marked = near.withColumn("near", F.lit(True))
+    affected = classes.where("copies > 1").select("h1", "h2", "ord").join(marked, ["h1", "h2"], "full").select("h1", "h2", "ord", F.coalesce("near", F.lit(False)).alias("near"))
+    gone = materialise(
         lines.join(affected, ["h1", "h2"])
         .where(F.col("near") | (F.struct(*ORD) > F.col("ord")))
         .groupBy("doc_id", "dk")
-        .agg(F.collect_set("pos").alias("gone"))
+        .agg(F.collect_set("pos").alias("gone")),
+        "lines-gone",
     )
+    release(classes, near)
+    return gone
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
@@ -125,9 +137,15 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
     Columns of ``df`` that have these names are replaced.
     """
-    gone = materialise(removed_lines(df, id_col, text_col, min_chars), "lines-gone").select(F.col("doc_id").alias("i"), F.col("dk").alias("k"), "gone")
+    return without_lines(df, removed_lines(df, id_col, text_col, min_chars), id_col, text_col, min_chars)
+
+
+def without_lines(df: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """What ``dedup_lines`` returns, for the places that ``removed_lines`` gives; documents whose ``gone`` is null there go."""
+    gone = gone.select(F.col("doc_id").alias("i"), F.col("dk").alias("k"), "gone", F.col("gone").isNull().alias("whole"))
     rows = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("key"))
     joined = rows.join(gone.hint("merge"), F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left").withColumn("lines", F.split("text", "\n"))
+    joined = joined.where(~F.coalesce("whole", F.lit(False)))
     left = F.expr("array_sort(array_except(sequence(0, size(lines) - 1), gone))")
     kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.transform(left, lambda p: F.get(F.col("lines"), p)))
     out = joined.select("row", "text", F.col("gone").isNull().alias("same"), F.size("lines").alias("n"), F.size("gone").alias("g"), kept.alias("kept"))

@@ -3,7 +3,7 @@ import random
 
 from helpers import LONG, ODD, SF, by_id, same, table
 
-from strandweave.llm import linededup, queries
+from strandweave.llm import common, linededup, queries
 
 STRIP = " \t\r\x0b\x0c"
 
@@ -91,3 +91,13 @@ def test_odd_rows(spark):
 def test_no_python_in_the_plan(spark):
     plan = linededup.dedup_lines(table(spark, ODD))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_what_is_written_on_the_way_is_deleted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    df = table(spark, ODD)
+    want = plainly([(r[0], r[1]) for r in ODD if r[0] not in (None, 2)])
+    got = [r for r in found(df.where("doc_id <> 2")) if r[0] is not None]
+    left = sorted(p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir())
+    assert got == want
+    assert left == ["lines-gone"]

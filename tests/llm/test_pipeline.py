@@ -9,7 +9,7 @@ from test_linededup import plainly as lines_plainly
 from test_neardup import plainly as near_plainly
 
 import corpus_pipeline
-from strandweave.llm import langid
+from strandweave.llm import common, langid
 from strandweave.llm.common import materialise
 
 
@@ -88,3 +88,13 @@ def test_odd_rows(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = materialise(stage(spark, docs, SF), f"none-{name}")
     assert docs.count() == 0
+
+
+def test_lines_leave_no_texts_behind(spark, tmp_path, monkeypatch):
+    docs = documents(spark)
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    got = sorted((r.doc_id, r.text) for r in corpus_pipeline.lines(spark, docs, SF).collect())
+    left = sum(p.stat().st_size for p in tmp_path.rglob("*.parquet"))
+    names = sorted(p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir())
+    assert names == ["lines-marked"]
+    assert left < 0.1 * sum(len(t.encode()) for _, t in got if t)
