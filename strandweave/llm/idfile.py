@@ -60,12 +60,15 @@ SOME = 64
 PRIOR = 1000.0
 #: A hit's weight, and weights to begin with: of order 0, and of a prediction by how sure it is (0: there is none).
 HIT, FIRST0, FIRST = 4, 6.0, (0.0, 2.0, 10.0, 24.0)
-#: A space after white space.
-TIED = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}] "
+#: White space, a space after it, and what ends in it or is empty.
+WHITE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+TIED, LOOSE = f"{WHITE} ", rf"(^|{WHITE})\z"
 #: Ranges go from LEAST to FULL, words have 16 bits.
 WORD, LEAST, FULL = float(1 << 16), float(1 << 32), float(1 << 48)
 #: Chunks of at most so many characters are remembered, and so many before the new ones of a group (about 120 MB); bytes encoded at a time.
 CHUNK_CHARS, MAX_CHUNKS, GROUP = 48, 500_000, 1 << 22
+#: Bytes of texts whose distinct words are encoded at a time.
+TEXTS = 1 << 25
 
 
 def _pair(prev: np.ndarray, prev2: np.ndarray) -> np.ndarray:
@@ -152,6 +155,16 @@ def _shares(count: np.ndarray, prior: np.ndarray, own: np.ndarray, past: int) ->
     return size.astype(np.uint16), (start - size).astype(np.uint16)
 
 
+def _number(ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ranks of a block in order, and for each place which of them it has."""
+    there = np.zeros(1 << 16, bool)
+    there[ranks] = True
+    own = np.flatnonzero(there).astype(np.uint16)
+    place = np.empty(1 << 16, np.uint16)
+    place[own] = np.arange(len(own))
+    return own, place[ranks]
+
+
 def _follow(context: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each place of each row: the id that followed its context last, and how sure that is.
 
@@ -184,7 +197,7 @@ def encode_blocks(blocks: list[np.ndarray], table: Table | None = None) -> list[
     get a carry; carries are settled at the end.
     """
     table = table or Table.of()
-    lists, blocks = map(list, zip(*[np.unique(table.rank[b], return_inverse=True) for b in blocks]))
+    lists, blocks = map(list, zip(*[_number(table.rank[b]) for b in blocks]))
     prior = table.prior(lists)
     own = np.array([len(x) for x in lists])
     vocab, n, length = int(own.max()), len(blocks), len(blocks[0])
@@ -245,11 +258,12 @@ def encode_blocks(blocks: list[np.ndarray], table: Table | None = None) -> list[
         out[ends, lanes] = word
         ends += 1
         low = (low - word * LEAST) * WORD
+    out = out[: int(ends.max())]
     while (carry := out >> 16).any():
         out &= 0xFFFF
         out[:-1] += carry[1:]
-    heads = [_pack(x) for x in lists]
-    return [struct.pack("<H", len(h)) + h + out[: ends[i], i].astype("<u2").tobytes() for i, h in enumerate(heads)]
+    heads, lines = [_pack(x) for x in lists], np.ascontiguousarray(out.astype("<u2").T)
+    return [struct.pack("<H", len(h)) + h + lines[i, : ends[i]].tobytes() for i, h in enumerate(heads)]
 
 
 class _Slots:
@@ -260,7 +274,8 @@ class _Slots:
         self.count = np.zeros((n, self.vocab), np.int32)
         #: start and size of each id, one above the other in 32 bits
         self.both = np.zeros((n, self.vocab), np.uint32)
-        self.symbol = np.full((n, SLOTS), self.vocab - 1, np.uint16)  # beyond the last slot: only in broken files
+        self.symbol = np.zeros((n, SLOTS), np.uint16)
+        self.slot_of = np.append(np.arange(self.vocab, dtype=np.uint16), np.uint16(self.vocab - 1))
 
     def count_in(self, ids: np.ndarray, m: int, past: int) -> None:
         """Sum anew after the ids (places x lanes) that have come since the last time."""
@@ -270,9 +285,8 @@ class _Slots:
             self.count[a:b] += np.bincount(at.ravel(), minlength=(b - a) * self.vocab).reshape(b - a, -1)
             size, start = _shares(self.count[a:b], self.prior[a:b], self.own[a:b], past)
             self.both[a:b] = (start.astype(np.uint32) << np.uint32(16)) | size
-            for i in range(a, b):
-                line = np.repeat(np.arange(self.vocab, dtype=np.uint16), size[i - a])
-                self.symbol[i, : len(line)] = line
+            rest = SLOTS - size.sum(1, dtype=np.int64)  # slots that only broken files get to
+            self.symbol[a:b] = np.repeat(np.tile(self.slot_of, b - a), np.column_stack([size, rest]).ravel()).reshape(b - a, SLOTS)
 
 
 def decode_blocks(coded: list[bytes], sizes: list[int], table: Table | None = None) -> list[np.ndarray]:
@@ -284,9 +298,10 @@ def decode_blocks(coded: list[bytes], sizes: list[int], table: Table | None = No
         rest.append(c[2 + h :])
     own = np.array([len(x) for x in lists])
     vocab, n, length = int(own.max()), len(coded), sizes[0]
-    data = np.zeros((max(map(len, rest)) // 2 + 8, n), np.uint16)
-    for i, c in enumerate(rest):
-        data[: len(c) // 2, i] = np.frombuffer(c, "<u2")
+    data = np.zeros((n, max(map(len, rest)) // 2 + 8), np.uint16)
+    for line, c in zip(data, rest):
+        line[: len(c) // 2] = np.frombuffer(c, "<u2")
+    data = np.ascontiguousarray(data.T)
     live = np.searchsorted(-np.array(sizes), -np.arange(length), side="left")
     slots, weight = _Slots(own, table.prior(lists)), _first_weights(n)
     flat_both, flat_symbol, flat_weight = slots.both.reshape(-1), slots.symbol.reshape(-1), weight.reshape(-1)
@@ -442,14 +457,23 @@ class Chunks:
         known.update((c, i) for c, i in got.items() if len(c) <= CHUNK_CHARS)
         return [known[c] if c in known else got[c] for c in chunks]
 
+    def after_spaces(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words with a space before each, one after another, and where each one's end; none may be empty or end in white space."""
+        if not len(words):
+            return np.zeros(0, np.uint16), np.zeros(0, np.int64)
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py()
+        ids = np.array(self.fast.encode_ordinary(" " + text), np.uint16)
+        upto = np.cumsum(pc.binary_length(words).to_numpy().astype(np.int64) + 1)
+        return ids, np.searchsorted(np.cumsum(self.sizes[ids]), upto) + 1
+
 
 class LibraryPieces:
     """Ids of a tokenizer of the tokenizers library, one encoding for each distinct chunk.
 
     A byte-level tokenizer cuts a text by a pattern and merges the bytes of each
     piece.  A piece begins at every space that doesn't follow other white space,
-    so Arrow cuts texts there and numbers the distinct chunks; only those that
-    aren't known are encoded, all in one text, and kept.  Where the tokenizer's
+    so Arrow cuts texts there and numbers the distinct chunks, which are encoded
+    all in one text.  Where the tokenizer's
     merges are in the order of their ids, as is checked when it is loaded, its
     vocabulary is also a table of ranks, with which tiktoken gives the same ids
     in a fifth of the time; it then encodes the chunks.  Texts with other spaces are
@@ -477,7 +501,7 @@ class LibraryPieces:
         sizes, out, start = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)), [], 0
         while start < len(texts):
             before = sizes[start - 1] if start else 0
-            end = max(start + 1, int(np.searchsorted(sizes, before + GROUP, "right")))
+            end = max(start + 1, int(np.searchsorted(sizes, before + TEXTS, "right")))
             out += self._some(texts.slice(start, end - start))
             start = end
         return out
@@ -502,13 +526,23 @@ class LibraryPieces:
         cut = pc.split_pattern(texts, " ")
         at = cut.offsets.to_numpy()
         numbered = cut.values.dictionary_encode()
-        words, index = numbered.dictionary.to_pylist(), numbered.indices.to_numpy().copy()
-        first = [words[i] for i in index[at[:-1]]]  # has no space before it
-        index[at[:-1]] = len(words) + np.arange(len(first))
-        used = np.bincount(index, minlength=len(words)) > 0
-        ids = self.chunks.ids([" " + w if u else "" for w, u in zip(words, used.tolist())] + first)
-        ends = np.cumsum([0, *map(len, ids)]) // 2
-        table = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<u2")))
+        words, index = numbered.dictionary, numbered.indices.to_numpy()
+        first = np.zeros(len(index), bool)
+        first[at[:-1]] = True  # has no space before it
+        used = np.zeros(len(words), bool)
+        used[index[~first]] = True
+        loose = used & pc.match_substring_regex(words, LOOSE).to_numpy(zero_copy_only=False)
+        plain, alone = np.flatnonzero(used & ~loose), np.flatnonzero(loose)
+        ids, ends = self.chunks.after_spaces(words.take(pa.array(plain)))
+        starts = words.take(pa.array(index[at[:-1]])).to_pylist()
+        own = {c: self.chunks.whole(c) for c in {*starts, *(" " + words[i].as_py() for i in alone)}}
+        more = [own[" " + words[i].as_py()] for i in alone] + [own[c] for c in starts]
+        place = np.zeros(len(words), np.int32)
+        place[plain], place[alone] = np.arange(len(plain)), len(plain) + np.arange(len(alone))
+        index = place[index]
+        index[at[:-1]] = len(plain) + len(alone) + np.arange(len(starts))
+        ends = np.concatenate([[0], ends, len(ids) + np.cumsum([len(x) // 2 for x in more], dtype=np.int64)])
+        table = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([ids, np.frombuffer(b"".join(more), "<u2")])))
         got = table.take(pa.array(index))
         raw, bounds = got.values.to_numpy().tobytes(), (2 * got.offsets.to_numpy()[at]).tolist()
         return [raw[a:b] for a, b in zip(bounds, bounds[1:])]

@@ -59,6 +59,33 @@ def test_pieces_against_whole_texts():
     assert lib.encode(texts) == want and lib.encode(texts) == want
 
 
+def test_words_of_many_texts_are_encoded_together():
+    rng = random.Random(4)
+    lib = idfile.LibraryPieces(public_tokenizers.path("byte_bpe_50k.json"))
+    words = ["".join(rng.choice("abcdeäß漢'1.\n") for _ in range(rng.randint(1, 9))).strip() or "x" for _ in range(5000)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(1, 60))) + rng.choice(["", "", " ", "\n", "\u2003", " x" * 40]) for _ in range(2000)]
+    texts += ["", " ", "one", "one ", "\n", "long" * 500, " " + "long" * 500]
+    want = [np.array(e.ids, "<u2").tobytes() for e in lib.lib.encode_batch(texts, add_special_tokens=False)]
+    calls, whole = [], lib.chunks.whole
+    lib.chunks.whole = lambda text: calls.append(text) or whole(text)
+    assert lib.encode(texts) == want
+    assert len(calls) <= 1.2 * len(texts) and not lib.chunks.known
+
+
+def test_numbers_and_slots_of_blocks():
+    for b in blocks(5):
+        own, at = idfile._number(b)
+        want = np.unique(b, return_inverse=True)
+        assert (own == want[0]).all() and (at == want[1]).all()
+    own, prior = np.array([3, 1]), np.array([[0.5, 0.25, 0.25], [1.0, 0, 0]])
+    slots = idfile._Slots(own, prior)
+    slots.count_in(np.array([[0, 0], [2, 0], [2, 0]]), 2, 3)
+    for i, n in enumerate(own):
+        for x in range(n):
+            start, size = slots.both[i, x] >> 16, slots.both[i, x] & 0xFFFF
+            assert size > 0 and (slots.symbol[i, start : start + size] == x).all()
+
+
 def test_compresses_better_than_order_0():
     text = "the model predicts the next token of the text and the text is made of tokens " * 300
     ids = np.array(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text).ids, np.uint16)
