@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +71,26 @@ def keep_only(name: str | None) -> None:
         f.cache_clear()
     if others:
         gc.collect()
+        give_back()
+
+
+def give_back() -> None:
+    """In a worker: hand memory that is free to the system; Arrow and the C library keep it otherwise, and idle workers stay."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
+def giving_back(run: Callable) -> Callable:
+    """``run`` (batches to batches) that hands its memory back at its end."""
+
+    @wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return whole
 
 
 def hadoop_exists(spark: SparkSession, path: str) -> bool:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_groups, keep_only
+from .common import byte_groups, give_back, giving_back, keep_only
 
 DOCS_PER_LANG, MAX_LANGS, WINDOWS, WIDTH, WINDOW_BYTES = 300, 256, 6, 24, 4096
 ORDERS, TABLE = (2, 3, 4, 5), 1 << 16
@@ -343,7 +343,7 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
                 labels, scores, turns = p.documents(texts[a:b]) if p else (["und"] * (b - a), [0.0] * (b - a), [0] * (b - a))
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(labels, pa.string()), pa.array(np.round(scores, 6), pa.float64()), pa.array(turns, pa.int64())], names=["doc_id", "lang_pred", "score", "switches"])
 
-    return df.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text").mapInArrow(run, "doc_id long, lang_pred string, score double, switches long")
+    return df.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text").mapInArrow(giving_back(run), "doc_id long, lang_pred string, score double, switches long")
 
 
 def accepted(df: DataFrame, model: Model | None, least_score: float, text_col: str = "text"):
@@ -360,6 +360,7 @@ def accepted(df: DataFrame, model: Model | None, least_score: float, text_col: s
         for a, b in byte_groups([t or "" for t in values], GROUP):
             labels, scores, _ = p.documents(values[a:b])
             out += [x != "und" and s >= least_score for x, s in zip(labels, scores)]
+        give_back()
         return pa.array(out, pa.bool_())
 
     return ok(F.col(text_col))

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keep_only, materialise, release
+from .common import giving_back, keep_only, materialise, release
 from .graph import components
 
 ROWS, BANDS, BITS = 6, 50, 1024
@@ -140,7 +140,7 @@ def _sketch(width: int):
                 names=["doc_id", "n", "f1", "f2", "bands", "odd"],
             )
 
-    return run
+    return giving_back(run)
 
 
 def _sets(width: int):
@@ -150,7 +150,7 @@ def _sets(width: int):
             sets = [shingles(t, width, words).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "s"])
 
-    return run
+    return giving_back(run)
 
 
 def _splits(level: int):
@@ -161,7 +161,7 @@ def _splits(level: int):
             rows = [band_keys(samples(_mix(np.frombuffer(s.as_buffer(), np.uint64) * _ODD[43] + _ODD[44 + level]))) for s in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "splits"])
 
-    return run
+    return giving_back(run)
 
 
 KEYS = ["k", "i", "j"]
@@ -257,7 +257,7 @@ def _across(percent: int):
                 touched[x] |= len(y) > 0
             yield from rows.filter(pa.array(touched)).combine_chunks().to_batches()
 
-    return run
+    return giving_back(run)
 
 
 def _links(percent: int):
@@ -279,7 +279,7 @@ def _links(percent: int):
                         block.root[block.root == block.root[y]] = block.root[x]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b) if a else [], pa.int64()), pa.array(np.maximum(a, b) if a else [], pa.int64())], names=["a", "b"])
 
-    return run
+    return giving_back(run)
 
 
 def _shared(x: np.ndarray, y: np.ndarray) -> int:
@@ -372,7 +372,7 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     if not large.isEmpty():
         part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("m") / GROUP)).cast("int")
         voters = large.join(about.drop("n"), "doc_id").select("k", part.alias("j"), "doc_id", "odd")
-        elected = voters.repartition("k", "j").sortWithinPartitions("k", "j", "doc_id").mapInArrow(_elect, "k long, c long, off long").groupBy("k").agg(F.min(F.struct("off", "c")).alias("x"))
+        elected = voters.repartition("k", "j").sortWithinPartitions("k", "j", "doc_id").mapInArrow(giving_back(_elect), "k long, c long, off long").groupBy("k").agg(F.min(F.struct("off", "c")).alias("x"))
         centred = large.join(step(elected.select("k", "x.c"), "near-elected"), "k").where("doc_id <> c")
         second = star(centred.select(F.least("c", "doc_id").alias("a"), F.greatest("c", "doc_id").alias("b")), "near-second")
         found = components(stars(found).unionByName(second))

@@ -1,4 +1,6 @@
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -148,3 +150,21 @@ def test_components(spark):
         x, y = find(a), find(b)
         root[max(x, y)] = min(x, y)
     assert got == {x: find(x) for a, b in pairs if a != b for x in (a, b)}
+
+
+def test_workers_hand_memory_back():
+    script = """
+import random, pyarrow as pa
+from strandweave.llm import neardup
+def mb():
+    return next(int(x.split()[1]) for x in open("/proc/self/smaps_rollup") if x.startswith("Pss_Anon")) / 1024
+rng, before = random.Random(1), mb()
+words = ["".join(rng.choices("abcdefghij", k=8)) for _ in range(20000)]
+def batches():
+    for i in range(2):
+        yield pa.RecordBatch.from_arrays([pa.array(range(8000), pa.int64()), pa.array([" ".join(rng.choices(words, k=250)) for _ in range(8000)])], names=["doc_id", "text"])
+most = max(mb() for _ in neardup._sketch(5)(batches()))
+print(mb() - before, most - before)
+"""
+    left, most = map(float, subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, check=True, timeout=100).stdout.split())
+    assert left < 0.5 * most
