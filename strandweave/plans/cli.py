@@ -349,7 +349,7 @@ def warnings(a: argparse.Namespace, spec: TrimSpec, has_qualities: bool) -> Iter
 def read_input(spark: SparkSession, a: argparse.Namespace, paired: bool) -> tuple[DataFrame, str]:
     paths = [_input(p, spark) for p in a.inputs]
     files = fastx._files(spark, paths[0])
-    fmt = fastx.sniff(fastx.head_bytes(spark, files[0][0]))
+    fmt = fastx.format_of(spark, [p for p, n in files if n])
     if paired and a.interleaved and len(paths) == 1:
         return fastx.read_interleaved(spark, paths[0], fmt), fmt
     if paired:

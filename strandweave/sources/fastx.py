@@ -17,6 +17,7 @@ import gzip
 import io
 import lzma
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -327,29 +328,48 @@ def _files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
     return sorted(out)
 
 
+def _opened(head: bytes, path: str):
+    """A decompressor that can be fed piece by piece (as often as there are members) for a file with these first bytes; None: plain."""
+    if head[:2] == b"\x1f\x8b" or path.endswith(".gz"):
+        return lambda: zlib.decompressobj(31)
+    if path.endswith(".zst"):
+        import zstandard
+
+        return lambda: zstandard.ZstdDecompressor().decompressobj()
+    return bz2.BZ2Decompressor if path.endswith(".bz2") else lzma.LZMADecompressor if path.endswith(".xz") else None
+
+
 def head_bytes(spark: SparkSession, path: str, n: int = 4) -> bytes:
-    """The first bytes of a file once decompressed."""
+    """The first bytes of a file once decompressed; as much is fetched as it takes, a block or empty members before them included."""
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).open(p)
+    out, make, coder = b"", None, None
     try:
-        raw = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, 1 << 16)))
+        raw = bytes(stream.readNBytes(1 << 16))
+        make = _opened(raw, path)
+        if make is None:
+            return raw[:n]
+        while raw and len(out) < n:
+            coder = coder or make()
+            out += coder.decompress(raw)
+            raw = coder.unused_data if coder.eof else b""
+            coder = None if coder.eof else coder
+            raw = raw or bytes(stream.readNBytes(1 << 16))
     finally:
         stream.close()
-    if path.endswith((*TEXT_CODECS, *WHOLE_CODECS)) or raw[:2] == b"\x1f\x8b":
-        try:
-            return decompressed(io.BytesIO(raw), path if not raw[:2] == b"\x1f\x8b" else ".gz").read(n)
-        except EOFError:  # more than what was fetched; the first bytes may have come
-            import zlib
+    return out[:n]
+
 
-            return zlib.decompressobj(31).decompress(raw, n) if raw[:2] == b"\x1f\x8b" else b""
-    return raw[:n]
+def format_of(spark: SparkSession, paths: list[str]) -> str:
+    """By the first file that holds anything once decompressed: an empty one, such as an empty part of a folder, may be of any format."""
+    return sniff(next((h for h in (head_bytes(spark, p) for p in paths) if h), b""))
 
 
 def read_reads(spark: SparkSession, path: str, fmt: str | None = None, keep_place: bool = False) -> DataFrame:
-    """rid, name, sequence, qualities of a file, a folder or a glob; the format is taken from the first file's content."""
+    """rid, name, sequence, qualities of a file, a folder or a glob; the format is taken from the content of the first file that has any."""
     files = _files(spark, path)
-    fmt = fmt or sniff(head_bytes(spark, next((p for p, n in files if n), files[0][0])))
+    fmt = fmt or format_of(spark, [p for p, n in files if n])
     order = spark.createDataFrame([(p, k) for k, (p, _) in enumerate(files)], "path string, ord long").withColumn("f", F.xxhash64("path"))
     if fmt == "bam" or any(p.endswith(WHOLE_CODECS) for p, _ in files):
         raw = spark.read.format("binaryFile").load([p for p, _ in files]).select(F.xxhash64("path").alias("f"), "path", "content")

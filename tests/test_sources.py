@@ -4,6 +4,8 @@ import lzma
 import random
 import struct
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import zstandard
 from pyspark.errors import PySparkException
@@ -69,6 +71,29 @@ def test_sniffing():
         fastx.sniff(b"ACGT")
 
 
+@pytest.mark.parametrize("ext", ["", ".gz", ".bz2", ".xz", ".zst"])
+def test_format_of_a_folder_with_an_empty_first_part(spark, tmp_path, ext):
+    """By the first part that holds anything, even if its first block is larger than what is fetched at once."""
+    rng = random.Random(2)
+    text = f">r {'x' * 10}\n{''.join(rng.choice('ACGT') for _ in range(400_000))}\n".encode()
+    pack = {"": bytes, ".gz": gzip.compress, ".bz2": bz2.compress, ".xz": lzma.compress, ".zst": zstandard.compress}[ext]
+    (tmp_path / f"part-0.fasta{ext}").write_bytes(pack(b""))
+    (tmp_path / f"part-1.fasta{ext}").write_bytes(pack(b"") + pack(text))
+    assert fastx.head_bytes(spark, str(tmp_path / f"part-0.fasta{ext}")) == b""
+    assert [(r.name, len(r.sequence)) for r in fastx.read_reads(spark, str(tmp_path)).collect()] == [("r xxxxxxxxxx", 400_000)]
+
+
+def test_formats_of_files_from_a_table_with_an_empty_first_split(spark, tmp_path, split_size):
+    """Spark writes an empty part for a first partition without rows; it isn't of another format."""
+    from strandweave.plans import queries
+
+    keys = pa.table({"o_orderkey": pa.array(range(40_000), pa.int64())})
+    pq.write_table(keys, tmp_path / "orders.parquet", use_dictionary=False, compression="none")
+    split_size(100_000)  # one row group, which the split in the middle reads
+    got = {tuple(r) for r in queries.src4_formats(spark, str(tmp_path)).collect()}
+    assert got == {("fastq", "fastq"), ("fasta", "fasta"), ("fastq gzip", "fastq")}
+
+
 @pytest.mark.parametrize("text", ["@r\nACGT\n+\nII\n", "@r\nACGT\n+\n", "@r\nACGT\n-\nIIII\n", "@r\nACGT\n+x\nIIII\n", "@r\nAC\n+\nII\nr2\nAC\n+\nII\n"])
 def test_broken_fastq(text):
     with pytest.raises(fastx.FormatError):
