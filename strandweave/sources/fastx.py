@@ -31,6 +31,7 @@ PLACE_BITS = 43
 TEXT_CODECS, WHOLE_CODECS = (".gz", ".bz2"), (".xz", ".zst")
 SCHEMA = "f long, start long, i long, name string, sequence string, qualities string"
 EDGES = "f long, start long, kind int, n long, lines array<string>"
+TOTALS = "f long, start long, n long"
 
 
 class FormatError(ValueError):
@@ -147,10 +148,13 @@ NONE = pa.array([], pa.string())
 
 
 class _Frame:
-    """Cuts a block's lines into records; ``head``: lines before the first record, ``rest``: lines after the last whole one."""
+    """Cuts a block's lines into records; ``head``: lines before the first record, ``rest``: lines after the last whole one.
 
-    def __init__(self, fmt: str, first: bool):
-        self.fmt, self.rest, self.head, self.n = fmt, NONE, None, 0
+    With ``count`` FASTQ records are only counted, and checked where they are read.
+    """
+
+    def __init__(self, fmt: str, first: bool, count: bool = False):
+        self.fmt, self.rest, self.head, self.n, self.count = fmt, NONE, None, 0, count and fmt == "fastq"
         if first:
             self.head = NONE
 
@@ -172,6 +176,9 @@ class _Frame:
             whole = len(lines) // 4 * 4
             if whole and len(lines) == whole and not lines[whole - 1].as_py() and whole >= 4 and lines[whole - 2].as_py() != "+" and not lines[whole - 2].as_py():
                 whole -= 4  # blank lines at the end
+            if self.count:
+                self.rest, self.n = lines.slice(whole), self.n + whole // 4
+                return None
             out = fastq_rows(lines.slice(0, whole))
         else:
             hit = np.flatnonzero(pc.starts_with(lines, ">").to_numpy(zero_copy_only=False))
@@ -244,13 +251,49 @@ def _edges(fmt: str):
         for k, lines, new in _blocks(batches):
             if new:
                 yield from close()
-                key, frame = k, _Frame(fmt, k[1] == 0)
+                key, frame = k, _Frame(fmt, k[1] == 0, count=True)
+            frame.feed(lines)
+        yield from close()
+
+    return run
+
+
+def _totals(fmt: str):
+    """Numbers of records of blocks that are whole files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, frame = None, None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if frame is not None:
+                yield _total([key], [frame.n + len(final_rows(fmt, frame.rest)[0])])
+
+        for k, lines, new in _blocks(batches):
+            if new:
+                yield from close()
+                key, frame = k, _Frame(fmt, True, count=True)
             frame.feed(lines)
         yield from close()
 
     return run
 
 
+def _total(keys: list[tuple[int, int]], counts: list[int]) -> pa.RecordBatch:
+    cols = [pa.array([k[j] for k in keys], pa.int64()) for j in (0, 1)]
+    return pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64())], names=["f", "start", "n"])
+
+
+def _totals_over_edges(fmt: str):
+    """Numbers of records of blocks in which one begins, those over its end included."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f, start, n, lines = (c.to_pylist() for c in batch.columns)
+            yield _total(list(zip(f, start)), [a + len(final_rows(fmt, pa.array(x, pa.string()))[0]) for a, x in zip(n, lines)])
+
+    return run
+
+
 def _across(fmt: str):
     """Records of lines gathered over an edge."""
 
@@ -366,37 +409,68 @@ def format_of(spark: SparkSession, paths: list[str]) -> str:
     return sniff(next((h for h in (head_bytes(spark, p) for p in paths) if h), b""))
 
 
-def read_reads(spark: SparkSession, path: str, fmt: str | None = None, keep_place: bool = False) -> DataFrame:
-    """rid, name, sequence, qualities of a file, a folder or a glob; the format is taken from the content of the first file that has any."""
+def _scan(spark: SparkSession, path: str, fmt: str | None) -> tuple[DataFrame, DataFrame | None, DataFrame | None, bool]:
+    """Records (f, start, i, ...); a row a file (f, ord) if there are several; a row a block (f, start, n) where that takes no framing; whether ``i`` is gapless."""
     files = _files(spark, path)
     fmt = fmt or format_of(spark, [p for p, n in files if n])
-    order = spark.createDataFrame([(p, k) for k, (p, _) in enumerate(files)], "path string, ord long").withColumn("f", F.xxhash64("path"))
+    order, totals = spark.createDataFrame([(p, k) for k, (p, _) in enumerate(files)], "path string, ord long"), None
+    # the sources' metadata and the listing write local paths in two ways; a plus is itself in both
+    bare = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    raw = spark.read.format("binaryFile").load([p for p, _ in files])
     if fmt == "bam" or any(p.endswith(WHOLE_CODECS) for p, _ in files):
-        raw = spark.read.format("binaryFile").load([p for p, _ in files]).select(F.xxhash64("path").alias("f"), "path", "content")
-        framed = raw.mapInArrow(_whole_files(fmt), SCHEMA)
-        order = raw.select("f", "path").join(F.broadcast(order.select(F.regexp_replace("path", "^file:/+", "/").alias("p"), "ord")), F.regexp_replace("path", "^file:/+", "/") == F.col("p")).select("f", "ord")
-        dense = True
+        whole, paths = True, raw.select(F.xxhash64("path").alias("f"), bare(F.col("path")).alias("p"))
+        framed = raw.select(F.xxhash64("path").alias("f"), "path", "content").mapInArrow(_whole_files(fmt), SCHEMA)
     else:
+        # only names are read here, not contents
+        paths = raw.select(F.xxhash64("_metadata.file_path").alias("f"), bare(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))).alias("p"))
         text = spark.read.option("lineSep", "\n").text([p for p, _ in files])
         lines = text.select(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("start"), "value")
         most = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
         whole = all(p.endswith(".gz") for p, _ in files) or (sum(n for _, n in files) <= most and not any(p.endswith(".bz2") for p, _ in files) and _one_split(spark, files, most))
         framed = lines.mapInArrow(_inner(fmt, whole), SCHEMA)
-        if not whole:
-            framed = framed.unionByName(_over_edges(lines, fmt))
-        # the text source's metadata and the listing write local paths in two ways
-        paths = text.select("_metadata.file_path").distinct() if len(files) > 1 else None
-        dense = whole
-        if paths is not None:
-            bare = lambda c: F.regexp_replace(F.url_decode(c), "^file:/+", "/")
-            order = paths.join(order.select(F.regexp_replace("path", "^file:/+", "/").alias("p"), "ord"), bare(F.col("file_path")) == F.col("p")).select(F.xxhash64("file_path").alias("f"), "ord")
+        if whole:
+            totals = lines.mapInArrow(_totals(fmt), TOTALS)
+        else:
+            gathered = _over_edges(lines, fmt)
+            framed = framed.unionByName(gathered.where(F.size("lines") > 0).mapInArrow(_across(fmt), SCHEMA))
+            totals = gathered.mapInArrow(_totals_over_edges(fmt), TOTALS)
     if len(files) == 1:
-        placed = framed.withColumn("ord", F.lit(0).cast("long"))
-    else:
-        placed = framed.join(order.select("f", "ord"), "f")
+        return framed, None, totals, whole
+    return framed, paths.join(F.broadcast(order.select(bare(F.col("path")).alias("p"), "ord")), "p").select("f", "ord"), totals, False
+
+
+def _with_order(df: DataFrame, order: DataFrame | None) -> DataFrame:
+    """The number of each row's file; the table of files has been listed on the driver and so is small enough for every task."""
+    return df.withColumn("ord", F.lit(0).cast("long")) if order is None else df.join(F.broadcast(order), "f")
+
+
+def read_reads(spark: SparkSession, path: str, fmt: str | None = None, keep_place: bool = False) -> DataFrame:
+    """rid, name, sequence, qualities of a file, a folder or a glob; the format is taken from the content of the first file that has any."""
+    framed, order, _, dense = _scan(spark, path, fmt)
     rid = F.shiftleft("ord", PLACE_BITS) + F.col("start") + F.col("i")
-    out = placed.select(rid.alias("rid"), "name", "sequence", "qualities", *(["ord", "start", "i"] if keep_place else []))
-    return out.withMetadata("rid", {"dense": dense and len(files) == 1})
+    out = _with_order(framed, order).select(rid.alias("rid"), "name", "sequence", "qualities", *(["ord", "start", "i"] if keep_place else []))
+    return out.withMetadata("rid", {"dense": dense})
+
+
+def read_numbered(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
+    """As ``read_reads``, with gapless ``rid``: 0 for the first record and so on.
+
+    Nothing but a row a block is shuffled or sent to all tasks: its number of
+    records, and how many there are before it.
+    """
+    framed, order, totals, dense = _scan(spark, path, fmt)
+    if dense:
+        return framed.select(F.col("i").alias("rid"), "name", "sequence", "qualities")
+    if totals is None:
+        totals = framed.groupBy("f", "start").agg(F.count("*").alias("n"))
+    base = _before(_with_order(totals, order)).select("f", "start", "base")
+    return framed.join(F.broadcast(base), ["f", "start"]).select((F.col("base") + F.col("i")).alias("rid"), "name", "sequence", "qualities")
+
+
+def _before(counts: DataFrame) -> DataFrame:
+    """``base``: the sum of ``n`` over the blocks before each, a row a block."""
+    before = Window.orderBy("ord", "start").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
 
 
 def _bytes(text: str) -> int:
@@ -414,14 +488,13 @@ def _one_split(spark: SparkSession, files: list[tuple[str, int]], most: int) ->
 
 
 def _over_edges(lines: DataFrame, fmt: str) -> DataFrame:
-    """Records that go over the edges of blocks: a few lines a block are gathered, in order of blocks."""
+    """Lines of records that go over the edges of blocks (f, start, n, lines): a few a block are gathered, in order of blocks; ``n`` records lie before them in the block."""
     edges = lines.mapInArrow(_edges(fmt), EDGES)
     upto = Window.partitionBy("f").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = edges.withColumn("from", F.max(F.when((F.col("kind") == 1) | (F.col("start") == 0), F.col("start"))).over(upto))
-    gathered = run.groupBy("f", F.col("from").alias("start")).agg(
+    return run.groupBy("f", F.col("from").alias("start")).agg(
         F.max(F.when(F.col("start") == F.col("from"), F.col("n"))).alias("n"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "kind", "lines"))), lambda x: x["lines"])).alias("lines")
     )
-    return gathered.where(F.size("lines") > 0).mapInArrow(_across(fmt), SCHEMA)
 
 
 def numbered(reads: DataFrame) -> DataFrame:
@@ -431,17 +504,16 @@ def numbered(reads: DataFrame) -> DataFrame:
     """
     if reads.schema["rid"].metadata.get("dense"):
         return reads.drop("ord", "start", "i")
-    counts = reads.groupBy("ord", "start").agg(F.count("*").alias("n"))
-    before = Window.orderBy("ord", "start").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).select("ord", "start", "base")
-    return reads.join(base, ["ord", "start"]).withColumn("rid", F.col("base") + F.col("i")).drop("ord", "start", "i", "base")
+    base = _before(reads.groupBy("ord", "start").agg(F.count("*").alias("n"))).select("ord", "start", "base")
+    return reads.join(F.broadcast(base), ["ord", "start"]).withColumn("rid", F.col("base") + F.col("i")).drop("ord", "start", "i", "base")
 
 
 def names_match(a: Column, b: Column) -> Column:
     """Whether two headers have one id: up to the first white space, without a last 1, 2 or 3 if both have one."""
-    a, b = (F.regexp_extract(c, r"^[^ \t]*", 0) for c in (a, b))
-    digit = "[123]$"
-    return (a == b) | (F.rlike(a, F.lit(digit)) & F.rlike(b, F.lit(digit)) & (F.regexp_replace(a, digit, "") == F.regexp_replace(b, digit, "")))
+    a, b = (F.substring_index(F.substring_index(c, " ", 1), "\t", 1) for c in (a, b))
+    digit = lambda c: F.right(c, F.lit(1)).isin("1", "2", "3")
+    bare = lambda c: F.left(c, F.length(c) - 1)
+    return (a == b) | (digit(a) & digit(b) & (bare(a) == bare(b)))
 
 
 def _checked_pairs(df: DataFrame) -> DataFrame:
@@ -459,19 +531,22 @@ def read_pairs(spark: SparkSession, path1: str, path2: str, fmt: str | None = No
     """Two files in lock-step: rid, name1, sequence1, qualities1, name2, sequence2, qualities2."""
     sides = []
     for k, p in ((1, path1), (2, path2)):
-        df = numbered(read_reads(spark, p, fmt, keep_place=True))
+        df = read_numbered(spark, p, fmt)
         sides.append(df.select("rid", *[F.col(c).alias(f"{c}{k}") for c in ("name", "sequence", "qualities")]))
     return _checked_pairs(sides[0].join(sides[1], "rid", "full"))
 
 
 def read_interleaved(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     """One file in which first and second reads alternate."""
-    return pair_up(numbered(read_reads(spark, path, fmt, keep_place=True)))
+    return pair_up(read_numbered(spark, path, fmt))
 
 
 def pair_up(reads: DataFrame) -> DataFrame:
-    """Reads of gapless ``rid``, two and two."""
-    row = F.struct("name", "sequence", "qualities")
-    both = reads.groupBy(F.expr("rid div 2").alias("pair")).agg(*[F.max(F.when(F.pmod("rid", F.lit(2)) == k, row)).alias(f"r{k + 1}") for k in (0, 1)])
-    return _checked_pairs(both.select(F.col("pair").alias("rid"), *[F.col(f"r{k}")[c].alias(f"{c}{k}") for k in (1, 2) for c in ("name", "sequence", "qualities")]))
-
+    """Reads of gapless ``rid``, two and two: each is sorted once and sees the next one of its pair only."""
+    of = Window.partitionBy(F.expr("rid div 2")).orderBy("rid")
+    row, second = F.struct("rid", "name", "sequence", "qualities"), F.pmod("rid", F.lit(2)) == 1
+    both = reads.select("rid", row.alias("row")).select("rid", "row", F.lag("rid").over(of).alias("last"), F.lead("row").over(of).alias("next")).where("last is null")
+    one = F.when(~second, F.col("row"))
+    two = F.when(second, F.col("row")).when(F.col("next")["rid"] == F.col("rid") + 1, F.col("next"))
+    both = both.select(F.expr("rid div 2").alias("rid"), one.alias("r1"), two.alias("r2"))
+    return _checked_pairs(both.select("rid", *[F.col(f"r{k}")[c].alias(f"{c}{k}") for k in (1, 2) for c in ("name", "sequence", "qualities")]))

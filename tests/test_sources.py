@@ -9,6 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 import zstandard
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from strandweave.sources import fastx
 
@@ -134,6 +135,53 @@ def test_pairs(spark, tmp_path):
     assert [(r.sequence1, r.sequence2) for r in fastx.read_interleaved(spark, str(mixed)).collect()] == [("AC", "TT")]
 
 
+@pytest.mark.parametrize("fmt, size, ext", [("fastq", 1 << 20, ""), ("fastq", 1500, ""), ("fastq", 290, ""), ("fasta", 1 << 20, ""), ("fasta", 290, ""), ("fastq", 290, ".gz"), ("fasta", 290, ".xz")])
+def test_numbers_of_records_of_several_files(spark, tmp_path, split_size, fmt, size, ext):
+    split_size(size)
+    pack = {"": bytes, ".gz": gzip.compress, ".xz": lzma.compress}[ext]
+    text = FASTQ + "\n" if fmt == "fastq" else FASTA
+    for k, x in enumerate([text.replace("@r", "@0r"), "", text.replace("@r", "@2r"), text[: text.index("@r1 ")] if fmt == "fastq" else ">one\nAC\n"]):
+        (tmp_path / f"{k} a+b.{fmt}{ext}").write_bytes(pack(x.encode()))
+    numbered = fastx.read_numbered(spark, str(tmp_path)).orderBy("rid").collect()
+    plain = fastx.read_reads(spark, str(tmp_path)).orderBy("rid").collect()
+    assert [r.rid for r in numbered] == list(range(2 * len(RECS) + 1))
+    assert [tuple(r)[1:] for r in numbered] == [tuple(r)[1:] for r in plain]
+    assert [r.rid for r in fastx.numbered(fastx.read_reads(spark, str(tmp_path), keep_place=True)).orderBy("rid").collect()] == [r.rid for r in numbered]
+
+
+def test_numbering_moves_no_records(spark, tmp_path, split_size):
+    """However large the table: the only shuffles of records are those that bring two reads together."""
+    for k in (1, 2):
+        (tmp_path / f"{k}.fastq").write_text(FASTQ)
+    split_size(1500)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if all tables were large
+    try:
+        plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" not in plan(fastx.read_numbered(spark, str(tmp_path)))
+        assert plan(fastx.read_pairs(spark, str(tmp_path), str(tmp_path))).count("SortMergeJoin") == 1
+        both = plan(fastx.read_interleaved(spark, str(tmp_path)))
+        assert "SortMergeJoin" not in both and "SortAggregate" not in both
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_pair_up_needs_both_reads_once(spark):
+    def reads(*rids):
+        return spark.createDataFrame([(k, f"r{k // 2}/{k % 2 + 1}", "A" * k, "I" * k) for k in rids], "rid long, name string, sequence string, qualities string")
+
+    got = fastx.pair_up(reads(3, 4, 0, 2, 5, 1)).orderBy("rid").collect()
+    assert [(r.rid, r.name1, r.sequence1, r.name2, r.sequence2) for r in got] == [(k, f"r{k}/1", "A" * 2 * k, f"r{k}/2", "A" * (2 * k + 1)) for k in range(3)]
+    for bad in ((0, 1, 2), (0, 1, 3), (0, 0)):
+        with pytest.raises(PySparkException):
+            fastx.pair_up(reads(*bad)).collect()
+
+
+def test_names_match(spark):
+    pairs = [("a/1 x", "a/2 y"), ("a", "a"), ("a1", "a4"), ("a1\tx", "a3"), ("1", "2"), ("", ""), ("a/1", "b/2"), ("a b", "a c"), ("é1", "é2"), ("a", "a1")]
+    df = spark.createDataFrame(pairs, "a string, b string").select(fastx.names_match(F.col("a"), F.col("b")))
+    assert [r[0] for r in df.collect()] == [True, True, False, True, True, True, False, True, True, False]
+
+
 def test_empty_file(spark, tmp_path):
     (tmp_path / "e.fastq").write_text("")
     assert fastx.read_reads(spark, str(tmp_path / "e.fastq")).count() == 0
