@@ -103,8 +103,23 @@ def prefilter(cutter: Cutter, seq: Column) -> Column | None:
         if isinstance(a, Linked) or a.prefilter.parts is None:
             return None
         parts |= dict.fromkeys(a.prefilter.parts)
-    if not parts or len(parts) > MAX_PARTS:
-        return None
+    return _holds_one(parts, seq) if parts and len(parts) <= MAX_PARTS else None
+
+
+def pair_prefilter(cutter1: Cutter, cutter2: Cutter, seq1: Column, seq2: Column) -> Column | None:
+    """As ``prefilter``: for the i-th adapters of both, both reads must pass."""
+    conditions, size = [], 0
+    for adapters in zip(cutter1.adapters, cutter2.adapters):
+        known = [(a.prefilter.parts, seq) for a, seq in zip(adapters, (seq1, seq2)) if not isinstance(a, Linked) and a.prefilter.parts]
+        size += sum(len(parts) for parts, _ in known)
+        if not known or size > MAX_PARTS:
+            return None
+        conditions.append(reduce(lambda a, b: a & b, [_holds_one(*x) for x in known]))
+    return reduce(lambda a, b: a | b, conditions)
+
+
+def _holds_one(parts, seq: Column) -> Column:
+    """Whether one of the parts (text, from, to) is in its place in a sequence."""
     upper = F.upper(seq)
     windows = {None: upper}
     conditions = []
@@ -125,16 +140,24 @@ def found_in(cutter: Cutter, seq: Column, narrow: bool = True) -> Column:
     return _search(cutter)(seq if known is None else F.when(known, seq))
 
 
-def found_in_pairs(cutter1: Cutter, cutter2: Cutter, seq1: Column, seq2: Column) -> Column:
+def found_in_pairs(cutter1: Cutter, cutter2: Cutter, seq1: Column, seq2: Column, narrow: bool = True) -> Column:
     """struct (first, second) of matches of adapters in pairs."""
     payload1, payload2 = cutter1.payload, cutter2.payload
+    known = pair_prefilter(cutter1, cutter2, seq1, seq2) if narrow else None
+    # the first read is null where no pair of adapters can match
+    seen = seq1 if known is None else F.when(known, seq1)
 
     @F.arrow_udf(f"struct<first:{MATCHES},second:{MATCHES}>")
     def search(a: pa.Array, b: pa.Array) -> pa.Array:
-        both = pair_rounds(_built(payload1)[0], _built(payload2)[0], a.to_pylist(), b.to_pylist())
-        return pa.StructArray.from_arrays([_as_arrow(x) for x in both], names=["first", "second"])
+        live = np.flatnonzero(a.is_valid().to_numpy(zero_copy_only=False))
+        both = pair_rounds(_built(payload1)[0], _built(payload2)[0], *[x.take(pa.array(live)).to_pylist() for x in (a, b)])
+        out: tuple[list, list] = [[] for _ in a], [[] for _ in a]
+        for found, some in zip(out, both):
+            for i, f in zip(live, some):
+                found[i] = f
+        return pa.StructArray.from_arrays([_as_arrow(x) for x in out], names=["first", "second"])
 
-    return search(seq1, seq2)
+    return search(seen, seq2)
 
 
 def last(matches: Column) -> Column:
@@ -209,14 +232,14 @@ def search_both_strands(df: DataFrame, p: str, cutter: Cutter, suffix: str | Non
     return apply_action(df, p, cutter.action)
 
 
-def search_pairs(df: DataFrame, p1: str, p2: str, cutter1: Cutter, cutter2: Cutter) -> DataFrame:
+def search_pairs(df: DataFrame, p1: str, p2: str, cutter1: Cutter, cutter2: Cutter, narrow: bool = True) -> DataFrame:
     """The i-th adapters of both lists must match both reads of a pair."""
     if len(cutter1.adapters) != len(cutter2.adapters):
         raise ValueError("adapters in pairs need two lists of one length")
     if not cutter1.adapters:
         raise ValueError("no adapters were given")
     action = "trim" if cutter1.action == "crop" else cutter1.action
-    df = df.withColumn("_both", found_in_pairs(cutter1, cutter2, F.col(f"{p1}sequence"), F.col(f"{p2}sequence")))
+    df = df.withColumn("_both", found_in_pairs(cutter1, cutter2, F.col(f"{p1}sequence"), F.col(f"{p2}sequence"), narrow))
     df = df.withColumns({f"{p1}matches": F.col("_both.first"), f"{p2}matches": F.col("_both.second")}).drop("_both")
     for p in (p1, p2):
         # without a match of the pair nothing is done, not even turned to upper case

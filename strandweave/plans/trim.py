@@ -122,7 +122,7 @@ def _adapters(df: DataFrame, spec: TrimSpec) -> DataFrame:
     if spec.pair_adapters:
         if cutters[0][1] is None or cutters[1][1] is None:
             raise ValueError("adapters in pairs need two lists of one length")
-        return matching.search_pairs(df, "r1_", "r2_", cutters[0][1], cutters[1][1])
+        return matching.search_pairs(df, "r1_", "r2_", cutters[0][1], cutters[1][1], spec.prefilter)
     if spec.both_strands and spec.second is not None and any(c for _, c in cutters):
         return matching.search_swapped(df, "r1_", "r2_", cutters[0][1], cutters[1][1], suffix, spec.prefilter)
     for p, c in cutters:

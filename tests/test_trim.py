@@ -153,3 +153,23 @@ def test_steps_and_filters_of_ones_own(spark):
     assert report.json_report(stats)["read_counts"]["filtered"]["begins_with_t"] == 1 and "begins_with_t" in report.full_report(stats)
     with pytest.raises(ValueError):
         TrimSpec(filters=[("too_short", lambda p: F.lit(True))])
+
+
+def test_prefilter_of_pairs_changes_nothing(spark):
+    pairs = queries.synthetic_pairs(spark, SF)
+    for first, second in ((["AGATCGGAAGAG", "ACGTACG"], ["CTTCCG", "CGTACGT"]), (["AGATCG", "ACG...TTA"], ["ACGT", "CGTACGT"]), (["AGATCGGAAGAG", "ANNC"], ["CTTCCG", "CNNT"])):
+        spec = [TrimSpec(Side(adapters(*first, max_errors=0.2)), Side(adapters(*second, max_errors=0.2)), pair_adapters=True, prefilter=x) for x in (True, False)]
+        got, plain = (trim(pairs, x).select("rid", "r1_matches", "r2_matches", "r1_sequence", "r2_sequence").orderBy("rid").collect() for x in spec)
+        assert got == plain and any(r.r1_matches for r in got)
+
+
+def test_pairs_are_aligned_only_where_both_reads_may_match(monkeypatch):
+    from strandweave.functions.adapters import pair_rounds
+    from strandweave.functions.align import Aligner
+
+    aligned, locate = [], Aligner.locate_many
+    monkeypatch.setattr(Aligner, "locate_many", lambda self, reads: aligned.extend(reads) or locate(self, reads))
+    ones, twos = ["CCCAGATCGGAAGAG"] * 100, ["AAAAAAAAAAAA"] * 99 + ["TTTCTTCCGTTT"]
+    found = pair_rounds(adapters("AGATCGGAAGAG"), adapters("CTTCCG"), ones, twos)
+    assert [[i for i, x in enumerate(f) if x] for f in found] == [[99], [99]]
+    assert len(aligned) == 2
